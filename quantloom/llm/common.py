@@ -93,6 +93,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(taken: Sequence[str], name: str) -> str:
+    """name, with as many underscores before it as it takes to be none of taken, in whatever case."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = f"_{name}"
+    return name
+
+
 def spread(columns: Sequence[Column], n: int) -> Column:
     """A number from 0 to n - 1 that deals rows out evenly whatever their keys."""
     return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from quantloom.llm.chat import OP9_SQL, op9_chat_formatting
 from quantloom.llm.decontaminate import op6_benchmark_decontamination
+from quantloom.llm.line_dedup import op3_line_dedup
 from quantloom.llm.packing import op1_best_fit_packing
 from quantloom.llm.quality_rules import op8_quality_rules
+from quantloom.llm.secrets import op7_secret_scans
 from quantloom.llm.toxicity import op10_toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op3_line_dedup,
         op6_benchmark_decontamination,
+        op7_secret_scans,
         op8_quality_rules,
+        op9_chat_formatting,
         op10_toxicity,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_chat_formatting": OP9_SQL}
