@@ -52,20 +52,18 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def counted_join(rows: DataFrame, groups: DataFrame, keys: Sequence[str], n_rows: int, n: str = "n") -> DataFrame:
-    """Inner equi-join of rows with groups, where groups has one row a key and n >= that key's number of rows.
+def counted_join(rows: DataFrame, groups: DataFrame, keys: Sequence[str], n_rows: int, how: str = "inner", n: str = "n") -> DataFrame:
+    """Inner or left equi-join of rows with groups, where groups has one row a key and n >= that key's number of rows.
 
     Keys that hold at least 1/HEAVY_KEYS of all rows number at most HEAVY_KEYS whatever the input's size, so
     those groups are broadcast and their rows never meet in one task. All other keys go through a shuffle join
-    in which no key has more than that share.
+    in which no key has more than that share. rows and groups are read twice, so both should be staged.
     """
     keys = list(keys)
     floor = max(2, -(-n_rows // HEAVY_KEYS))
-    heavy = F.broadcast(groups.filter(F.col(n) >= floor))
-    light = groups.filter(F.col(n) < floor)
-    return rows.join(heavy, keys).unionByName(
-        rows.join(F.broadcast(groups.filter(F.col(n) >= floor).select(*keys)), keys, "left_anti").join(light, keys)
-    )
+    heavy, light = groups.filter(F.col(n) >= floor), groups.filter(F.col(n) < floor)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(heavy), keys).unionByName(rest.join(light, keys, how))
 
 
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

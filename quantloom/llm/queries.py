@@ -5,6 +5,7 @@ from __future__ import annotations
 from quantloom.llm.chat import OP9_SQL, op9_chat_formatting
 from quantloom.llm.decontaminate import op6_benchmark_decontamination
 from quantloom.llm.line_dedup import op3_line_dedup
+from quantloom.llm.minhash import op5_minhash_near_dedup
 from quantloom.llm.packing import op1_best_fit_packing
 from quantloom.llm.quality_rules import op8_quality_rules
 from quantloom.llm.secrets import op7_secret_scans
@@ -15,6 +16,7 @@ QUERIES = {
     for f in (
         op1_best_fit_packing,
         op3_line_dedup,
+        op5_minhash_near_dedup,
         op6_benchmark_decontamination,
         op7_secret_scans,
         op8_quality_rules,
