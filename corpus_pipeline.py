@@ -6,9 +6,12 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quantloom.llm.common import read, shared_folder
 from quantloom.llm.decontaminate import decontaminate
+from quantloom.llm.line_dedup import line_dedup
+from quantloom.llm.minhash import near_duplicates
 from quantloom.llm.packing import pack
 from quantloom.llm.quality_rules import quality_rules
 
@@ -16,24 +19,41 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id has a verdict row; ids are unique, so no key is large."""
-    return docs.join(verdicts.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    """The rows of docs whose doc_id (null too) has a verdict row; ids are unique, so no key is large."""
+    ids = verdicts.select(F.col("doc_id").alias("kept_id"))
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules or their host's verdict reject go."""
     return keep(docs, quality_rules(docs).filter("kept"))
 
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates go; all documents stay, with n_chars of what is left."""
+    out = line_dedup(docs.select(*COLUMNS))
+    return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group of near-duplicates stays."""
+    return keep(docs, near_duplicates(docs).filter("kept"))
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
     return keep(docs, decontaminate(docs, read(spark, sf_dir, "benchmark")).filter("n_hit = 0"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document, with its place in a training sequence."""
     return pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("minhash_near_dedup", near_duplicate_stage),
     ("benchmark_decontamination", decontamination_stage),
     ("best_fit_packing", packing_stage),
 ]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quantloom.llm.chat import OP9_SQL, op9_chat_formatting
+from quantloom.llm.cotraining import op2_quality_classifier
 from quantloom.llm.decontaminate import op6_benchmark_decontamination
 from quantloom.llm.line_dedup import op3_line_dedup
 from quantloom.llm.minhash import op5_minhash_near_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_quality_classifier,
         op3_line_dedup,
         op5_minhash_near_dedup,
         op6_benchmark_decontamination,
