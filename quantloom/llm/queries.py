@@ -9,6 +9,7 @@ from quantloom.llm.line_dedup import op3_line_dedup
 from quantloom.llm.minhash import op5_minhash_near_dedup
 from quantloom.llm.packing import op1_best_fit_packing
 from quantloom.llm.quality_rules import op8_quality_rules
+from quantloom.llm.repeats import op4_suffix_array_dedup
 from quantloom.llm.secrets import op7_secret_scans
 from quantloom.llm.toxicity import op10_toxicity
 
@@ -18,6 +19,7 @@ QUERIES = {
         op1_best_fit_packing,
         op2_quality_classifier,
         op3_line_dedup,
+        op4_suffix_array_dedup,
         op5_minhash_near_dedup,
         op6_benchmark_decontamination,
         op7_secret_scans,
