@@ -8,19 +8,39 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Rows:
-    """Sparse binary rows: the indices of the features that each has."""
+    """Sparse binary rows: the indices of the features that each has, worked through in blocks of bounded size."""
+
+    BLOCK = 1 << 20
 
     def __init__(self, rows: list[np.ndarray], width: int):
         self.width, self.n = width, len(rows)
-        self.lengths = np.asarray([len(r) for r in rows], np.int64)
-        self.index = np.concatenate(rows).astype(np.int64) if rows else np.empty(0, np.int64)
-        self.row = np.repeat(np.arange(self.n), self.lengths)
+        self.index = np.concatenate(rows).astype(np.int32) if rows else np.empty(0, np.int32)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(r) for r in rows])
+
+    def blocks(self):
+        for i in range(0, len(self.index), self.BLOCK):
+            yield self.index[i : i + self.BLOCK], self.row[i : i + self.BLOCK]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.index], self.n)
+        out = np.zeros(self.n)
+        for index, row in self.blocks():
+            out += np.bincount(row, w[index], self.n)
+        return out
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.index, g[self.row], self.width)
+        out = np.zeros(self.width)
+        for index, row in self.blocks():
+            out += np.bincount(index, g[row], self.width)
+        return out
+
+    def narrowed(self, kept: np.ndarray) -> Rows:
+        """The same rows with the kept features alone, renumbered."""
+        to = np.full(self.width, -1, np.int32)
+        to[kept] = np.arange(len(kept), dtype=np.int32)
+        out = Rows([], len(kept))
+        held = to[self.index] >= 0
+        out.n, out.index, out.row = self.n, to[self.index[held]], self.row[held]
+        return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -22,17 +22,20 @@ class ToxicityModel:
 
     bits: the features are 2 ** bits hash buckets. max_positive, max_negative: the fit takes at most so many
     labelled rows of either class, the first by hash of doc_id. smoothing: of the log-count ratios. penalty,
-    steps: of the regression. least_rows: a feature needs so many rows in the fit.
+    steps: of the regression. least_rows, least_ratio: a feature needs so many rows in the fit,
+    and so large a ratio. folds: fits whose scores of unseen rows calibrate the last fit on all.
     """
 
     orders: tuple[int, ...] = (4, 6)
     bits: int = 18
-    max_positive: int = 3000
-    max_negative: int = 5000
+    max_positive: int = 2000
+    max_negative: int = 2400
     smoothing: float = 1.0
     penalty: float = 3e-4
-    steps: int = 60
+    steps: int = 40
     least_rows: int = 3
+    least_ratio: float = 0.3
+    folds: int = 2
 
 
 def ngrams(text: bytes, orders: tuple[int, ...], bits: int, scratch: np.ndarray) -> np.ndarray:
@@ -79,33 +82,47 @@ class Fitted:
         return float(sigmoid(self.slope * (self.weights[index].sum() + self.intercept) + self.shift))
 
 
-def fit(rows: list[tuple[np.ndarray, int]], model: ToxicityModel) -> Fitted:
-    """Weights times log-count ratios, calibrated. Without both classes every score is the prior's side of 0.5."""
+def fit(rows: list[np.ndarray], y: np.ndarray, model: ToxicityModel) -> Fitted:
+    """Weights times log-count ratios. Without both classes every score is on the side of the one there is, or 0.5.
+
+    Calibrated on scores of rows by fits that haven't seen them, one for each fold.
+    """
     width = 1 << model.bits
-    y = np.asarray([r[1] for r in rows], float)
     if not len(y) or y.min() == y.max():
         return Fitted(np.zeros(width), 0.0, 1.0, 0.0 if not len(y) else (2.0 if y[0] else -2.0))
-    x = Rows([r[0] for r in rows], width)
-    pos, neg = x.back(y), x.back(1 - y)
-    p, q = pos + model.smoothing, neg + model.smoothing
-    ratio = np.log(p / (y.sum() + 2 * model.smoothing)) - np.log(q / ((1 - y).sum() + 2 * model.smoothing))
-    ratio[pos + neg < model.least_rows] = 0
-    kept = np.flatnonzero(np.abs(ratio) > 0.05)
-    narrow = np.full(width, -1)
-    narrow[kept] = np.arange(len(kept))
-    held = narrow[x.index] >= 0
-    x.index, x.row, x.width = narrow[x.index][held], x.row[held], len(kept)
-    scale = ratio[kept]
-    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    w, b = fit_logistic(lambda w: x.dot(w * scale), lambda g: x.back(g) * scale, len(kept), y, weight, model.penalty, model.steps)
-    slope, shift = fit_platt(x.dot(w * scale) + b, y)
-    out = np.zeros(width, np.float64)
+    x = Rows(rows, width)
+    rows.clear()
+    folds = np.arange(len(y)) % model.folds
+    for label in (0, 1):
+        own = np.flatnonzero(y == label)
+        folds[own] = np.arange(len(own)) % model.folds
+    unseen = np.zeros(len(y))
+    for k in range(model.folds):
+        seen = folds != k
+        if y[seen].min() < y[seen].max():
+            w, b = weigh(x, y, seen.astype(float), model)
+            unseen[~seen] = (x.dot(w) + b)[~seen]
+    slope, shift = fit_platt(unseen, y)
+    w, b = weigh(x, y, np.ones(len(y)), model)
+    return Fitted(w, b, max(slope, 1e-3), shift)
+
+
+def weigh(x: Rows, y: np.ndarray, use: np.ndarray, model: ToxicityModel) -> tuple[np.ndarray, float]:
+    """Weights, ratios included, and intercept from the rows with use 1."""
+    pos, neg = x.back(y * use), x.back((1 - y) * use)
+    n_pos, n_neg, smooth = (y * use).sum(), ((1 - y) * use).sum(), model.smoothing
+    ratio = np.log((pos + smooth) / (n_pos + 2 * smooth)) - np.log((neg + smooth) / (n_neg + 2 * smooth))
+    kept = np.flatnonzero((pos + neg >= model.least_rows) & (np.abs(ratio) > model.least_ratio))
+    own, scale = x.narrowed(kept), ratio[kept]
+    weight = use * np.where(y > 0, 0.5 / n_pos, 0.5 / n_neg)
+    w, b = fit_logistic(lambda w: own.dot(w * scale), lambda g: own.back(g) * scale, len(kept), y, weight, model.penalty, model.steps)
+    out = np.zeros(x.width)
     out[kept] = w * scale
-    return Fitted(out, b, slope, shift)
+    return out, b
 
 
-def sampled(chosen: DataFrame, model: ToxicityModel) -> list[tuple[np.ndarray, int]]:
-    """Features and label of each chosen row, made on the executors."""
+def sampled(chosen: DataFrame, model: ToxicityModel) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features and labels of the chosen rows, made on the executors."""
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         scratch = np.empty(1 << model.bits, np.int32)
@@ -114,7 +131,8 @@ def sampled(chosen: DataFrame, model: ToxicityModel) -> list[tuple[np.ndarray, i
 
     out = arrow_map(chosen.select("doc_id", "text", "y"), of, "doc_id long, x binary, y int")
     rows = [(r["doc_id"], np.frombuffer(r["x"], np.int32), r["y"]) for r in out.toLocalIterator()]
-    return [(x, y) for _, x, y in sorted(rows, key=lambda r: (r[0], r[2], len(r[1])))]
+    rows.sort(key=lambda r: (r[0], r[2], len(r[1])))
+    return [r[1] for r in rows], np.asarray([r[2] for r in rows], float)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, model: ToxicityModel = ToxicityModel()) -> DataFrame:
@@ -125,7 +143,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: ToxicityModel = Toxicity
     held_out null. Labels without a document, or null, are ignored; of several labels the largest counts. With
     one class or none all scores are alike. Empty docs: no rows.
     """
-    fitted = fit(sampled(labelled(docs, labels, "toxic", {1: model.max_positive, 0: model.max_negative}), model), model)
+    chosen = labelled(docs, labels, "toxic", {1: model.max_positive, 0: model.max_negative})
+    fitted = fit(*sampled(chosen, model), model)
     sent = docs.sparkSession.sparkContext.broadcast(fitted)  # 2 ** bits numbers, whatever the input
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
