@@ -70,10 +70,17 @@ def test_against_all_pairs(spark):
     assert got == brute(rows) and len(out) == len(rows)
 
 
-def test_forced_splits_lose_nothing(spark):
-    rows = corpus(2, 3, 30)
-    got, _ = result(spark, rows, direct=0, salts=3)
-    assert got == brute(rows)
+def test_near_misses_of_one_base(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(120):
+        own = list(base)
+        for at in rng.sample(range(200), rng.choice([1, 2, 3, 4, 5, 6, 8])):
+            own[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    got, _ = result(spark, rows, salts=3)
+    assert got == brute(rows) and len({c for _, c, _ in got.values()}) > 5
 
 
 def test_whole_table(spark):
