@@ -18,10 +18,11 @@ def stream(spark: SparkSession, path: str, ddl: str, files: int = 100) -> DataFr
 
 def bars(events: DataFrame, symbol: str = "event_type", value: str = "value", at: str = "ts", nth: str = "event_id", every: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(symbol, timestamp, open, high, low, close, volume) by window; on a stream, rows later than late are left out."""
-    events = events.withWatermark(at, late) if events.isStreaming else events
+    if events.isStreaming:  # watermarks need a TIMESTAMP
+        events = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
     by = events.groupBy(F.col(symbol).alias("symbol"), F.window(at, every).alias("_w"))
     out = by.agg(F.min_by(value, nth).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, nth).alias("close"), F.count("*").cast("double").alias("volume"))
-    return out.select("symbol", F.col("_w.start").alias("timestamp"), "open", "high", "low", "close", "volume")
+    return out.select("symbol", F.col("_w.start").cast("timestamp_ntz").alias("timestamp"), "open", "high", "low", "close", "volume")
 
 
 def upsert_stream(df: DataFrame, path: str, keys: Sequence[str], order: str, checkpoint: str) -> StreamingQuery:
