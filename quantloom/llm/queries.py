@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quantloom.llm.chat import OP9_SQL, op9_chat_formatting
+from quantloom.llm.chat import op9_chat_formatting
 from quantloom.llm.cotraining import op2_quality_classifier
 from quantloom.llm.decontaminate import op6_benchmark_decontamination
 from quantloom.llm.line_dedup import op3_line_dedup
 from quantloom.llm.minhash import op5_minhash_near_dedup
+from quantloom.llm.oracles import ORACLES as ORACLES
 from quantloom.llm.packing import op1_best_fit_packing
 from quantloom.llm.quality_rules import op8_quality_rules
 from quantloom.llm.repeats import op4_suffix_array_dedup
@@ -28,4 +29,3 @@ QUERIES = {
         op10_toxicity,
     )
 }
-ORACLES: dict[str, str] = {"op9_chat_formatting": OP9_SQL}
