@@ -42,11 +42,12 @@ def hourly_sessions(spark: SparkSession, start: str, end: str, holidays: DataFra
 
 
 def next_trading_day(dates: DataFrame, sessions: DataFrame, on: str = "date") -> DataFrame:
-    """dates with the first session on or after each date; the calendar is one small series."""
-    both = dates.select(F.col(on).alias("_at"), F.lit(0).alias("_side"), F.struct(*dates.columns).alias("_row"))
+    """dates with the first session on or after each date; only the distinct dates are put in order, as one small series."""
+    both = dates.select(F.col(on).alias("_at"), F.lit(0).alias("_side")).distinct()
     both = both.unionByName(sessions.select(F.col("session").alias("_at"), F.lit(1).alias("_side"), F.col("session")), allowMissingColumns=True)
     over = W.orderBy(F.desc("_at"), F.desc("_side"))
-    return both.withColumn("session", last_known("session", over)).filter("_side = 0").select("_row.*", "session")
+    found = both.withColumn("session", last_known("session", over)).filter("_side = 0").select(F.col("_at").alias(on), "session")
+    return dates.join(found, on).select(*dates.columns, "session")
 
 
 def rebalance_dates(spark: SparkSession, start: str, end: str, freq: str = "M", holidays: DataFrame | None = None) -> DataFrame:
