@@ -56,14 +56,17 @@ def counted_join(rows: DataFrame, groups: DataFrame, keys: Sequence[str], n_rows
     """Inner or left equi-join of rows with groups, where groups has one row a key and n >= that key's number of rows.
 
     Keys that hold at least 1/HEAVY_KEYS of all rows number at most HEAVY_KEYS whatever the input's size, so
-    those groups are broadcast and their rows never meet in one task. All other keys go through a shuffle join
-    in which no key has more than that share. rows and groups are read twice, so both should be staged.
+    their hashes are fetched, those groups are broadcast and their rows never meet in one task. All other keys
+    go through a shuffle join in which no key has more than that share. Both are read twice, so stage them.
     """
     keys = list(keys)
     floor = max(2, -(-n_rows // HEAVY_KEYS))
-    heavy, light = groups.filter(F.col(n) >= floor), groups.filter(F.col(n) < floor)
-    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(heavy), keys).unionByName(rest.join(light, keys, how))
+    hashed = F.xxhash64(*keys)
+    heavy = sorted({r[0] for r in groups.filter(F.col(n) >= floor).select(hashed).collect()})
+    if not heavy:
+        return rows.join(groups, keys, how)
+    own = hashed.isin(heavy)
+    return rows.filter(own).join(F.broadcast(groups.filter(own)), keys, how).unionByName(rows.filter(~own).join(groups.filter(~own), keys, how))
 
 
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Operator 5: near-duplicates by one-permutation hashing, banded buckets and star-shaped candidate edges.
 
 The bands only propose pairs; every link is confirmed on the full shingle sets. In a bucket, each member is
-compared with the hub. Where that leaves a bucket with several components, the pairs across components are
-compared too if they number a bounded multiple of the members; a larger such bucket is split by further bands
-and treated alike, and in the last split all pairs across components are compared.
+compared with the hub. Where that leaves a bucket with several components, the members outside the largest one
+are compared with all members, except where their sets can't be similar enough: shingles that no other
+candidate has are in no intersection, which tells apart most members that merely share a passage or a base.
 """
 
 from __future__ import annotations
@@ -29,17 +29,15 @@ DDL = "doc_id long, n_shingles long, fp_high long, fp_low long, bands array<long
 class NearDuplicates:
     """Links need 100 * intersection >= percent * union of the sets of shingle-word shingles.
 
-    bands of rows values: at 75 % a pair is in no common bucket with a probability of (1 - 0.75 ** 4) ** 32, or
-    5 in a million. direct: pairs across a bucket's components a member, up to which all are compared at once.
-    splits: levels of buckets. salts: tasks over which a hub's, or a bucket's, rows are dealt.
+    bands of rows values: at 75 % a pair is in no common bucket with a probability of (1 - 0.75 ** 6) ** 64, or
+    4 in a million; at 10 % it is in one with 6 in a hundred thousand, so that a passage which many documents
+    share doesn't make them candidates. salts: tasks over which a hub's, or a bucket's, rows are dealt.
     """
 
     shingle: int = 5
     percent: int = 75
-    bands: int = 32
-    rows: int = 4
-    direct: int = 64
-    splits: int = 3
+    bands: int = 64
+    rows: int = 6
     salts: int = 64
 
 
@@ -104,7 +102,8 @@ def signatures(docs: DataFrame, rules: NearDuplicates) -> DataFrame:
     """Set size, fingerprint and band hashes of each row of docs; the fingerprint is of the whole set."""
 
     def scan(batches):
-        sign = OnePermutation(rules.bands * rules.rows)
+        used = rules.bands * rules.rows
+        sign = OnePermutation(1 << (used - 1).bit_length())
         for batch in batches:
             sizes, high, low, bands = [], [], [], []
             for text in utf8(batch):
@@ -113,7 +112,7 @@ def signatures(docs: DataFrame, rules: NearDuplicates) -> DataFrame:
                 sizes.append(len(own))
                 high.append(digest[0])
                 low.append(digest[1])
-                bands.append(banded(sign(own), rules.rows) if len(own) else np.empty(0, np.int64))
+                bands.append(banded(sign(own)[:used], rules.rows) if len(own) else np.empty(0, np.int64))
             yield record(SCHEMA, [batch.column(0), sizes, high, low, bands])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, DDL)
@@ -156,42 +155,42 @@ def starred(rows: DataFrame, rules: NearDuplicates, label: str) -> DataFrame:
     return out
 
 
-def sized(a: str, b: str, percent: int):
-    """No more than that much smaller: else the sets can't be similar enough."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def alike(a, b, percent: int, a_max=None, b_max=None):
+    """Whether sets of sizes a and b, of which a_max and b_max may be in both, can be similar enough."""
+    both = F.least(a if a_max is None else a_max, b if b_max is None else b_max)
+    return (100 + percent) * both >= percent * (a + b)
 
 
-def open_members(members: DataFrame, labels: DataFrame | None, rules: NearDuplicates) -> DataFrame:
-    """Members of buckets of three or more that hold several components, with label, major and cross, staged.
+def shared_sizes(sets: DataFrame) -> DataFrame:
+    """rep and own, how many of its shingles no other set has, where there are some."""
+    once = sets.select("doc", F.explode("held").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc").alias("rep"))
+    return once.filter("n = 1").groupBy("rep").agg(F.count("*").alias("own"))
 
-    major: the label of most members; cross: how many pairs of members are of two components.
-    """
-    rows = members.filter(F.col("n") > 2)
-    if labels is not None:
-        rows = rows.join(labels.select(F.col("v").alias("rep"), F.col("m").alias("label")), "rep", "left")
-    else:
-        rows = rows.withColumn("label", F.lit(None).cast("long"))
-    rows = staged(rows.select("key", "rep", "size", "n", "hub", F.coalesce("label", "rep").alias("label")), "labelled")
-    by = rows.groupBy("key", "label").agg(F.count("*").alias("own"))
-    by = by.groupBy("key").agg(F.max(F.struct("own", "label"))["label"].alias("major"), F.sum("own").alias("n"), F.sum(F.col("own") * F.col("own")).alias("squares"), F.count("*").alias("parts"))
-    by = staged(by.filter(F.col("parts") > 1).select("key", "major", "n", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("cross")), "open")
-    out = staged(counted_join(rows.drop("n"), by, ["key"], rows.count()), "unlike")
-    dropped(rows)
-    return out
 
+def cross_pairs(nodes: DataFrame, rules: NearDuplicates) -> DataFrame:
+    """Distinct pairs (a, b) across components in a bucket that can be similar enough.
 
-def cross_pairs(rows: DataFrame, rules: NearDuplicates) -> DataFrame:
-    """Distinct pairs (a, b) of rows of one bucket and two labels, of like sizes, but for those with the hub.
-
-    The members outside the bucket's largest component, copied to each salt, meet all members, dealt by salt.
+    nodes: rep, size, shared (shingles that others have too), label (component) and bands. Of the members
+    outside a bucket's largest component, those that no partner of the bucket's least size can match go; only
+    buckets with others left are gone through, each of these, copied to every salt, against all members by salt.
     """
-    minor = rows.filter(F.col("label") != F.col("major")).select("key", F.col("rep").alias("x"), F.col("size").alias("x_size"), F.col("label").alias("x_label"))
-    minor = minor.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(rules.salts - 1))))
-    whole = rows.select("key", "rep", "size", "label", "major", "hub", spread(["rep"], rules.salts).alias("salt"))
-    pairs = whole.join(minor, ["key", "salt"])
+    rows = nodes.select(F.explode("bands").alias("key"), "rep", "size", "shared", "label")
+    by = rows.groupBy("key", "label").agg(F.count("*").alias("own"), F.min("size").alias("least"))
+    by = by.groupBy("key").agg(F.max(F.struct("own", "label"))["label"].alias("major"), F.sum("own").alias("n"), F.count("*").alias("parts"), F.min("least").alias("least"))
+    mixed = staged(by.filter("parts > 1 AND n > 2").select("key", "major", "n", "least"), "mixed")
+    n_rows = rows.count()
+    minor = counted_join(rows, mixed, ["key"], n_rows)
+    partner = F.greatest(F.col("least").cast("double"), F.lit(rules.percent / 100) * F.col("size"))
+    minor = minor.filter((F.col("label") != F.col("major")) & alike(F.col("size"), partner, rules.percent, F.col("shared"), F.col("size")))
+    minor = staged(minor, "minor")
+    open_ = staged(minor.select("key", "n", "major").distinct(), "open")
+    whole = counted_join(rows, open_, ["key"], n_rows).withColumn("salt", spread(["rep"], rules.salts))
+    few = minor.select("key", F.col("rep").alias("x"), F.col("size").alias("x_size"), F.col("shared").alias("x_shared"), F.col("label").alias("x_label"))
+    few = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(rules.salts - 1))))
+    pairs = whole.join(few, ["key", "salt"])
     once = (F.col("label") == F.col("major")) | (F.col("x") < F.col("rep"))
-    untested = (F.col("x") != F.col("hub")) & (F.col("rep") != F.col("hub"))
-    pairs = pairs.filter((F.col("label") != F.col("x_label")) & once & untested & sized("size", "x_size", rules.percent))
+    close = alike(F.col("size"), F.col("x_size"), rules.percent, F.col("shared"), F.col("x_shared"))
+    pairs = pairs.filter((F.col("label") != F.col("x_label")) & once & close)
     return pairs.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
 
 
@@ -213,23 +212,17 @@ def near_duplicates(docs: DataFrame, rules: NearDuplicates = NearDuplicates()) -
     release(spark)
     sets = staged(full_sets(docs, members.select("rep").distinct(), rules.shingle), "sets")
     release(spark)
-    star = members.filter((F.col("rep") != F.col("hub")) & sized("size", "hub_size", rules.percent))
+    star = members.filter((F.col("rep") != F.col("hub")) & alike(F.col("size"), F.col("hub_size"), rules.percent))
     links = staged(confirmed(star.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), sets, rules), "confirmed")
-    for level in range(1, rules.splits + 1):
-        labels = components(links)
-        unlike = open_members(members, labels, rules)
-        wide = F.lit(False) if level == rules.splits else F.col("cross") > rules.direct * F.col("n")
-        found = confirmed(cross_pairs(unlike.filter(~wide), rules), sets, rules)
-        links = staged(links.unionByName(found), "confirmed")
-        broad = unlike.filter(wide)
-        if broad.isEmpty():
-            break
-        further = broad.select("key", "rep", "size").join(groups.select("rep", F.explode("bands").alias("band")), "rep").filter(F.col("band") != F.col("key"))
-        members = starred(further.select(F.xxhash64("key", "band").alias("key"), "rep", "size"), rules, "split")
-        star = members.filter((F.col("rep") != F.col("hub")) & sized("size", "hub_size", rules.percent))
-        found = confirmed(star.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), sets, rules)
-        links = staged(links.unionByName(found), "confirmed")
-        release(spark)
+    dropped(members)
+    labels = components(links).select(F.col("v").alias("rep"), F.col("m").alias("label"))
+    nodes = groups.select("rep", F.col("n_shingles").alias("size"), "bands").join(sets.select(F.col("doc").alias("rep")), "rep", "left_semi")
+    nodes = nodes.join(labels, "rep", "left").join(shared_sizes(sets), "rep", "left")
+    shared = F.col("size") - F.coalesce("own", F.lit(0))
+    nodes = staged(nodes.select("rep", "size", "bands", shared.alias("shared"), F.coalesce("label", "rep").alias("label")), "nodes")
+    release(spark)
+    links = staged(links.unionByName(confirmed(cross_pairs(nodes, rules), sets, rules)), "confirmed")
+    release(spark)
     labels = components(links)
     named = groups.join(labels.select(F.col("v").alias("rep"), "m"), "rep", "left")
     named = named.select(*KEY, "n", F.coalesce("m", "rep").alias("component_id"), F.col("m").isNotNull().alias("linked"))
