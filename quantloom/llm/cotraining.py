@@ -96,8 +96,8 @@ class CoTrained:
 def co_train(views: tuple[list[np.ndarray], list[np.ndarray]], y: np.ndarray, prior: float, rules: CoTraining) -> CoTrained:
     """y: 1, 0 or -1 for unlabelled rows. One labelled row in four calibrates and is in no fit.
 
-    In each round, each view labels the pool rows of which it is surest, by class in the share of the prior, for
-    the other view, which fits on them from then on. With one class or none, all scores are that class's or 0.5.
+    In each round, each view, calibrated anew, labels the pool rows of which it is surest, by class in the share
+    of the prior, for the other view, which fits on them from then on; a view that tells nothing is never sure. With one class or none, all scores are that class's or 0.5.
     """
     widths = (1 << rules.text_bits, 1 << rules.meta_bits)
     known = y >= 0
@@ -113,7 +113,9 @@ def co_train(views: tuple[list[np.ndarray], list[np.ndarray]], y: np.ndarray, pr
         if turn == rules.rounds:
             break
         for v in (0, 1):
-            p = sigmoid(x[v].dot(fitted[v].weights) + fitted[v].intercept)
+            raw = x[v].dot(fitted[v].weights) + fitted[v].intercept
+            slope, shift = fit_platt(raw[held], y[held], balanced=True)
+            p = sigmoid(max(slope, 0.0) * raw + (shift if slope > 0 else 0.0))
             free = np.flatnonzero((y < 0) & (labels[1 - v] < 0))
             take = rules.share * (y < 0).sum()
             for label, share in ((1, sigmoid(prior)), (0, 1 - sigmoid(prior))):
@@ -121,11 +123,9 @@ def co_train(views: tuple[list[np.ndarray], list[np.ndarray]], y: np.ndarray, pr
                 own = free[sure[free] >= rules.confident]
                 labels[1 - v][own[np.argsort(-sure[own], kind="stable")][: int(take * share)]] = label
     for v in (0, 1):
-        # held-out rows are balanced by weight in the sample; the true prior goes in by the odds' shift
         raw = x[v].dot(fitted[v].weights) + fitted[v].intercept
-        fitted[v].slope, fitted[v].shift = fit_platt(raw[held], y[held])
-        sample = np.log(max((y[held] == 1).sum(), 1) / max((y[held] == 0).sum(), 1))
-        fitted[v].slope, fitted[v].shift = max(fitted[v].slope, 0.0), fitted[v].shift + prior - sample
+        slope, shift = fit_platt(raw[held], y[held], balanced=True)
+        fitted[v].slope, fitted[v].shift = (slope, shift + prior) if slope > 0 else (0.0, prior)
     return CoTrained(*fitted, prior=prior)
 
 

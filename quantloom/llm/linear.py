@@ -70,23 +70,29 @@ def fit_logistic(dot, back, width: int, y: np.ndarray, weight: np.ndarray, penal
     return w, b
 
 
-def fit_platt(score: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and intercept that calibrate scores to probabilities, with smoothed targets."""
+def fit_platt(score: np.ndarray, y: np.ndarray, balanced: bool = False, steps: int = 50) -> tuple[float, float]:
+    """Slope and intercept that calibrate scores to probabilities, with smoothed targets and a prior of one row's weight.
+
+    balanced: as if both classes were as frequent, so that scores which tell nothing get one half.
+    """
     pos, neg = y.sum(), len(y) - y.sum()
     if not pos or not neg:
-        return 1.0, 0.0
+        return (0.0, 0.0) if balanced else (1.0, 0.0)
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    weight = np.where(y > 0, len(y) / (2 * pos), len(y) / (2 * neg)) if balanced else np.ones(len(y))
+    mean, sd = score.mean(), score.std() or 1.0
+    x = (score - mean) / sd
     a, b = 1.0, 0.0
     for _ in range(steps):
-        p = sigmoid(a * score + b)
-        g = p - target
-        h = np.maximum(p * (1 - p), 1e-6)
-        hessian = np.array([[(h * score * score).sum() + 1e-6, (h * score).sum()], [(h * score).sum(), h.sum() + 1e-6]])
-        da, db = np.linalg.solve(hessian, [(g * score).sum(), g.sum()])
+        p = sigmoid(a * x + b)
+        g = weight * (p - target)
+        h = weight * np.maximum(p * (1 - p), 1e-6)
+        hessian = np.array([[(h * x * x).sum() + 1.0, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-6]])
+        da, db = np.linalg.solve(hessian, [(g * x).sum() + a, g.sum()])
         a, b = a - da, b - db
         if abs(da) + abs(db) < 1e-9:
             break
-    return float(a), float(b)
+    return float(a / sd), float(b - a * mean / sd)
 
 
 def once(index: np.ndarray, scratch: np.ndarray) -> np.ndarray:
