@@ -9,7 +9,7 @@ from collections import Counter
 from quantloom.llm import chat
 from quantloom.llm.decontaminate import decontaminate
 from quantloom.llm.quality_rules import QualityRules, beta_prior, measure, quality_rules
-from quantloom.llm.secrets import ACCESS, HEX, SecretRules, op7_secret_scans, scan_secrets
+from quantloom.llm.secrets import SecretRules, op7_secret_scans, scan_secrets
 
 DATA = "/root/testdata/sf0.001"
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
