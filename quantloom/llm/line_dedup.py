@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quantloom.llm.common import counted_join, fresh, read, staged
 
 DEPTH_PARTS = 4
+FIELD = "<*>"
 
 
 @dataclass(frozen=True)
@@ -17,8 +18,9 @@ class LineTemplates:
     """depth: leading tokens that lead to a leaf, below the token count. variable: tokens that match are a field.
 
     least_generalised: lines of at least so many tokens may also vary in one quarter of the tokens after the
-    leading ones. least_documents: a template recurs if it is in so many. least_families: and if these are of
-    so many families a document; a family is of documents that share their least other line, so that copies of
+    leading ones. least_documents: a template recurs if it is in so many documents, and least_families: of so many
+    families, whatever the number of documents. A family is of documents that share their least leaf among the
+    lines of their own if these hold least_own of the words, else among all others, so that copies and near copies of
     a document, which belong to near-duplicate detection, don't make its lines a template.
     """
 
@@ -26,47 +28,61 @@ class LineTemplates:
     variable: str = "[0-9]"
     least_generalised: int = 11
     least_documents: int = 10
-    least_families: float = 0.5
+    least_families: float = 10
+    least_own: float = 0.25
 
 
 def tokens(line: Column, rules: LineTemplates) -> Column:
     """The line's tokens with variable fields as <*>."""
-    masked = F.regexp_replace(line, rf"[^\s]*{rules.variable}[^\s]*", "<*>")
+    masked = F.regexp_replace(line, rf"[^\s]*{rules.variable}[^\s]*", FIELD)
     return F.split(F.trim(F.regexp_replace(masked, r"\s+", " ")), " ")
 
 
 def parsed(docs: DataFrame, rules: LineTemplates) -> DataFrame:
-    """doc_id, nth, leaf, exact and skeletons (hashes) for each line that has a token. doc_id must not be null.
+    """doc_id, nth, words, raw, leaf, exact and skeletons (hashes) for each line that has a token. doc_id must not be null.
 
     A leaf is the path of the tree: token count, then leading tokens. A template is the line's tokens with
     fields masked, or, for longer lines, those with one quarter of the rest left open too.
     """
     lines = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("nth", "line"))
-    lines = lines.select("doc_id", "nth", tokens(F.col("line"), rules).alias("t"))
+    lines = lines.select("doc_id", "nth", F.xxhash64("line").alias("raw"), tokens(F.col("line"), rules).alias("t"))
     lines = lines.filter((F.size("t") > 1) | (F.element_at("t", 1) != ""))
     n, depth = F.size("t"), rules.depth
     leaf = F.xxhash64(n, F.slice("t", 1, depth))
     cut = lambda q: depth + F.floor((n - depth) * q / DEPTH_PARTS).cast("int")
     open_part = lambda q: F.xxhash64(leaf, F.lit(q), F.slice("t", F.lit(1), cut(q)), F.slice("t", cut(q + 1) + 1, n))
     skeletons = F.when(n >= rules.least_generalised, F.array(*(open_part(q) for q in range(DEPTH_PARTS)))).otherwise(F.array().cast("array<long>"))
-    return lines.select("doc_id", "nth", leaf.alias("leaf"), F.xxhash64(F.lit("exact"), "t").alias("exact"), skeletons.alias("skeletons"))
+    return lines.select("doc_id", "nth", n.alias("words"), "raw", leaf.alias("leaf"), F.xxhash64(F.lit("exact"), "t").alias("exact"), skeletons.alias("skeletons"))
+
+
+def kin(lines: DataFrame, leaves: DataFrame, n_lines: int, rules: LineTemplates) -> DataFrame:
+    """doc_id, own and shared (the two least leaves of each kind) and mostly_own for each document.
+
+    Own lines are in leaves of too few lines to recur.
+    """
+    marked = counted_join(lines.select("doc_id", "leaf", "words"), leaves, ["leaf"], n_lines, "left")
+    least = lambda of: F.slice(F.array_sort(F.collect_set(F.when(of, F.col("leaf")))), 1, 2)
+    own = F.col("n").isNull()
+    out = marked.groupBy("doc_id").agg(least(own).alias("own"), least(~own).alias("shared"), F.sum(F.when(own, F.col("words")).otherwise(0)).alias("own_words"), F.sum("words").alias("words"))
+    return out.select("doc_id", "own", "shared", (F.col("own_words") >= rules.least_own * F.col("words")).alias("mostly_own"))
 
 
 def recurring(lines: DataFrame, rules: LineTemplates) -> tuple[DataFrame, DataFrame]:
     """Candidate rows (doc_id, nth, template), staged, and templates (template, n rows, documents, families) that recur."""
     n_lines = lines.count()
-    leaves = lines.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.least_documents)
-    own = counted_join(lines, staged(leaves, "leaves"), ["leaf"], n_lines)
-    own = own.select("doc_id", "nth", "exact", F.explode(F.concat(F.array("exact"), "skeletons")).alias("template"))
+    leaves = staged(lines.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.least_documents), "leaves")
+    own = counted_join(lines, leaves, ["leaf"], n_lines)
+    own = own.select("doc_id", "nth", "raw", "leaf", F.explode(F.concat(F.array("exact"), "skeletons")).alias("template"))
     own = staged(own, "templates")
     often = own.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.least_documents)
     rows = staged(counted_join(own, staged(often, "often"), ["template"], own.count()), "rows")
-    two = lines.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_set("exact")), 1, 2).alias("least"))
-    docs = rows.dropDuplicates(["doc_id", "template"]).join(two, "doc_id")
-    least = F.when(F.get("least", F.lit(0)) == F.col("exact"), F.get("least", F.lit(1))).otherwise(F.get("least", F.lit(0)))
-    families = docs.groupBy("template", F.coalesce(least, F.lit(0)).alias("family")).agg(F.count("*").alias("documents"))
+    docs = rows.groupBy("doc_id", "template").agg(F.min("leaf").alias("leaf"), F.min("raw").alias("raw"))
+    docs = docs.join(kin(lines, leaves, n_lines, rules), "doc_id")
+    other = lambda c: F.filter(c, lambda x: x != F.col("leaf"))
+    ranked = F.when(F.col("mostly_own"), F.concat(other("own"), other("shared"))).otherwise(F.concat(other("shared"), other("own")))
+    families = docs.groupBy("template", F.coalesce(F.get(ranked, F.lit(0)), "raw").alias("family")).agg(F.count("*").alias("documents"))
     found = families.groupBy("template").agg(F.sum("documents").alias("documents"), F.count("*").alias("families"))
-    found = found.filter((F.col("documents") >= rules.least_documents) & (F.col("families") >= rules.least_families * F.col("documents")))
+    found = found.filter((F.col("documents") >= rules.least_documents) & (F.col("families") >= rules.least_families))
     return rows, found.join(often, "template")
 
 
@@ -81,7 +97,7 @@ def line_dedup(docs: DataFrame, rules: LineTemplates = LineTemplates()) -> DataF
     lines = staged(parsed(docs, rules), "lines")
     rows, found = recurring(lines, rules)
     found = staged(found, "found")
-    drops = counted_join(rows.drop("n"), found, ["template"], rows.count())
+    drops = counted_join(rows.select("doc_id", "nth", "template"), found, ["template"], rows.count())
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     doc, nth = fresh(names, "_doc"), fresh(names, "_nth")
     drops = drops.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("nth").alias(nth))

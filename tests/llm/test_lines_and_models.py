@@ -70,6 +70,28 @@ def test_copies_of_a_document_keep_their_lines(spark):
     assert all(out[i] == copy for i in range(40)) and all("rights" not in out[100 + i] for i in range(20)) and "rights" in out[None]
 
 
+def words(rng, n):
+    return " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(3, 9))) for _ in range(n))
+
+
+def test_families_are_counted_whatever_the_copies(spark):
+    rng = random.Random(4)
+    page = "\n".join(words(rng, 12) for _ in range(6))
+    docs = [(i, page + "\nAll rights reserved here") for i in range(300)]
+    docs += [(1000 + i, words(rng, 12) + "\n" + words(rng, 9) + "\nAll rights reserved here") for i in range(40)]
+    footer = "\n".join(f"footer {w} of every page" for w in "abcde")
+    docs += [(2000 + i, words(rng, 12) + "\n" + footer) for i in range(40)]
+    docs += [(3000 + i, f"Seen {i} times today") for i in range(20)]
+    near = [words(rng, 12) for _ in range(10)]
+    for i in range(300):
+        docs.append((4000 + i, "\n".join(words(rng, 12) if k == i % 10 else x for k, x in enumerate(near))))
+    out = {r["doc_id"]: r["text"] for r in line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(out[i] == page for i in range(300)) and not any("rights" in out[1000 + i] for i in range(40))
+    assert not any("footer" in out[2000 + i] for i in range(40)) and all(len(out[2000 + i]) > 20 for i in range(40))
+    assert not any(out[3000 + i] for i in range(20))
+    assert all(out[i] == t for i, t in docs if i >= 4000)
+
+
 def labelled_corpus(spark, n=400):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 8)))
