@@ -11,6 +11,7 @@ from quantloom.llm.common import counted_join, fresh, read, staged
 
 DEPTH_PARTS = 4
 FIELD = "<*>"
+SKETCH, BUCKETS = 16, 64
 
 
 @dataclass(frozen=True)
@@ -22,6 +23,8 @@ class LineTemplates:
     families, whatever the number of documents. A family is of documents that share their least leaf among the
     lines of their own if these hold least_own of the words, else among all others, so that copies and near copies of
     a document, which belong to near-duplicate detection, don't make its lines a template.
+    long_words: a line of more words is a passage, no chance repeat; it recurs in least_alien documents of which no
+    two have a third of their other lines in common.
     """
 
     depth: int = 3
@@ -30,6 +33,8 @@ class LineTemplates:
     least_documents: int = 10
     least_families: float = 10
     least_own: float = 0.25
+    long_words: int = 50
+    least_alien: int = 2
 
 
 def tokens(line: Column, rules: LineTemplates) -> Column:
@@ -39,7 +44,7 @@ def tokens(line: Column, rules: LineTemplates) -> Column:
 
 
 def parsed(docs: DataFrame, rules: LineTemplates) -> DataFrame:
-    """doc_id, nth, words, raw, leaf, exact and skeletons (hashes) for each line that has a token. doc_id must not be null.
+    """doc_id, nth, words, raw, head, leaf, exact and skeletons (hashes) for each line that has a token. doc_id must not be null.
 
     A leaf is the path of the tree: token count, then leading tokens. A template is the line's tokens with
     fields masked, or, for longer lines, those with one quarter of the rest left open too.
@@ -52,23 +57,49 @@ def parsed(docs: DataFrame, rules: LineTemplates) -> DataFrame:
     cut = lambda q: depth + F.floor((n - depth) * q / DEPTH_PARTS).cast("int")
     open_part = lambda q: F.xxhash64(leaf, F.lit(q), F.slice("t", F.lit(1), cut(q)), F.slice("t", cut(q + 1) + 1, n))
     skeletons = F.when(n >= rules.least_generalised, F.array(*(open_part(q) for q in range(DEPTH_PARTS)))).otherwise(F.array().cast("array<long>"))
-    return lines.select("doc_id", "nth", n.alias("words"), "raw", leaf.alias("leaf"), F.xxhash64(F.lit("exact"), "t").alias("exact"), skeletons.alias("skeletons"))
+    return lines.select("doc_id", "nth", n.alias("words"), "raw", F.xxhash64(F.slice("t", 1, depth)).alias("head"), leaf.alias("leaf"), F.xxhash64(F.lit("exact"), "t").alias("exact"), skeletons.alias("skeletons"))
 
 
 def kin(lines: DataFrame, leaves: DataFrame, n_lines: int, rules: LineTemplates) -> DataFrame:
-    """doc_id, own and shared (the two least leaves of each kind) and mostly_own for each document.
+    """doc_id, own and shared (the two least leaves of each kind), mostly_own and sketch for each document.
 
-    Own lines are in leaves of too few lines to recur.
+    Own lines are in leaves of too few lines to recur. The sketch has the least heads (leading tokens) of the lines.
     """
-    marked = counted_join(lines.select("doc_id", "leaf", "words"), leaves, ["leaf"], n_lines, "left")
+    marked = counted_join(lines.select("doc_id", "head", "leaf", "words"), leaves, ["leaf"], n_lines, "left")
     least = lambda of: F.slice(F.array_sort(F.collect_set(F.when(of, F.col("leaf")))), 1, 2)
     own = F.col("n").isNull()
-    out = marked.groupBy("doc_id").agg(least(own).alias("own"), least(~own).alias("shared"), F.sum(F.when(own, F.col("words")).otherwise(0)).alias("own_words"), F.sum("words").alias("words"))
-    return out.select("doc_id", "own", "shared", (F.col("own_words") >= rules.least_own * F.col("words")).alias("mostly_own"))
+    out = marked.groupBy("doc_id").agg(least(own).alias("own"), least(~own).alias("shared"), F.sum(F.when(own, F.col("words")).otherwise(0)).alias("own_words"), F.sum("words").alias("words"), F.slice(F.array_sort(F.collect_set("head")), 1, SKETCH).alias("sketch"))
+    return out.select("doc_id", "own", "shared", "sketch", (F.col("own_words") >= rules.least_own * F.col("words")).alias("mostly_own"))
+
+
+def family() -> Column:
+    """The family of a document for a template in leaf, from the columns of kin."""
+    other = lambda c: F.filter(c, lambda x: x != F.col("leaf"))
+    ranked = F.when(F.col("mostly_own"), F.concat(other("own"), other("shared"))).otherwise(F.concat(other("shared"), other("own")))
+    return F.coalesce(F.get(ranked, F.lit(0)), "raw")
+
+
+def passages(lines: DataFrame, docs: DataFrame, rules: LineTemplates) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, nth, template), staged, and templates (template, n rows) of the long lines that recur.
+
+    Of each template's documents, those with the least and greatest sketch in each bucket of families are compared,
+    so that no template collects more than a bounded number.
+    """
+    long = lines.filter(F.col("words") > rules.long_words).select("doc_id", "nth", "raw", "head", "leaf", F.col("exact").alias("template"))
+    often = staged(long.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.least_alien), "often")
+    rows = staged(counted_join(long, often, ["template"], long.count()), "passages")
+    own = rows.groupBy("doc_id", "template").agg(F.min("leaf").alias("leaf"), F.min("raw").alias("raw"), F.min("head").alias("head")).join(docs, "doc_id")
+    own = own.select("template", F.pmod(family(), F.lit(BUCKETS)).alias("bucket"), F.filter("sketch", lambda x: x != F.col("head")).alias("sketch"))
+    ends = own.groupBy("template", "bucket").agg(F.min("sketch").alias("lo"), F.max("sketch").alias("hi"))
+    found = ends.groupBy("template").agg(F.array_distinct(F.flatten(F.collect_list(F.array("lo", "hi")))).alias("all"))
+    size = lambda x, y: F.greatest(F.size(x), F.size(y))
+    akin = lambda x, y: 3 * F.size(F.array_intersect(x, y)) >= size(x, y)
+    alien = F.filter("all", lambda x, i: ~F.exists(F.slice("all", F.lit(1), i), lambda y: akin(x, y)))
+    return rows.select("doc_id", "nth", "template"), found.filter(F.size(alien) >= rules.least_alien).join(often, "template").select("template", "n")
 
 
 def recurring(lines: DataFrame, rules: LineTemplates) -> tuple[DataFrame, DataFrame]:
-    """Candidate rows (doc_id, nth, template), staged, and templates (template, n rows, documents, families) that recur."""
+    """Candidate rows (doc_id, nth, template), staged, and templates (template, n rows) that recur; long lines may be in both twice."""
     n_lines = lines.count()
     leaves = staged(lines.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.least_documents), "leaves")
     own = counted_join(lines, leaves, ["leaf"], n_lines)
@@ -77,13 +108,13 @@ def recurring(lines: DataFrame, rules: LineTemplates) -> tuple[DataFrame, DataFr
     often = own.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.least_documents)
     rows = staged(counted_join(own, staged(often, "often"), ["template"], own.count()), "rows")
     docs = rows.groupBy("doc_id", "template").agg(F.min("leaf").alias("leaf"), F.min("raw").alias("raw"))
-    docs = docs.join(kin(lines, leaves, n_lines, rules), "doc_id")
-    other = lambda c: F.filter(c, lambda x: x != F.col("leaf"))
-    ranked = F.when(F.col("mostly_own"), F.concat(other("own"), other("shared"))).otherwise(F.concat(other("shared"), other("own")))
-    families = docs.groupBy("template", F.coalesce(F.get(ranked, F.lit(0)), "raw").alias("family")).agg(F.count("*").alias("documents"))
+    known = staged(kin(lines, leaves, n_lines, rules), "kin")
+    families = docs.join(known, "doc_id").groupBy("template", family().alias("family")).agg(F.count("*").alias("documents"))
     found = families.groupBy("template").agg(F.sum("documents").alias("documents"), F.count("*").alias("families"))
     found = found.filter((F.col("documents") >= rules.least_documents) & (F.col("families") >= rules.least_families))
-    return rows, found.join(often, "template")
+    more, long = passages(lines, known, rules)
+    found = found.join(often, "template").select("template", "n").unionByName(long).groupBy("template").agg(F.sum("n").alias("n"))
+    return rows.select("doc_id", "nth", "template").unionByName(more), found
 
 
 def line_dedup(docs: DataFrame, rules: LineTemplates = LineTemplates()) -> DataFrame:
@@ -97,7 +128,7 @@ def line_dedup(docs: DataFrame, rules: LineTemplates = LineTemplates()) -> DataF
     lines = staged(parsed(docs, rules), "lines")
     rows, found = recurring(lines, rules)
     found = staged(found, "found")
-    drops = counted_join(rows.select("doc_id", "nth", "template"), found, ["template"], rows.count())
+    drops = counted_join(rows, found, ["template"], rows.count())
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     doc, nth = fresh(names, "_doc"), fresh(names, "_nth")
     drops = drops.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("nth").alias(nth))

@@ -92,6 +92,19 @@ def test_families_are_counted_whatever_the_copies(spark):
     assert all(out[i] == t for i, t in docs if i >= 4000)
 
 
+def test_long_passages_of_few_documents(spark):
+    rng = random.Random(5)
+    passage, short = words(rng, 60), words(rng, 12)
+    docs = [(i, "\n".join([words(rng, 12), passage, short, words(rng, 12), words(rng, 9)])) for i in range(2)]
+    near = [words(rng, 60) for _ in range(8)]
+    docs += [(100 + i, "\n".join(words(rng, 60) if k == i else x for k, x in enumerate(near))) for i in range(6)]
+    docs += [(200 + i, words(rng, 1) + "\n" + near[7] + "\n" + words(rng, 3)) for i in range(1)]
+    docs += [(300 + i, near[0] * 2) for i in range(5)]
+    out = {r["doc_id"]: r["text"] for r in line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(passage not in out[i] and short in out[i] and len(out[i].split("\n")) == 4 for i in range(2))
+    assert all(out[i] == t.replace("\n" + near[7], "") for i, t in docs if i >= 100)
+
+
 def labelled_corpus(spark, n=400):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 8)))
