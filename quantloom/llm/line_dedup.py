@@ -25,6 +25,9 @@ class LineTemplates:
     a document, which belong to near-duplicate detection, don't make its lines a template.
     long_words: a line of more words is a passage, no chance repeat; it recurs in least_alien documents of which no
     two have a third of their other lines in common.
+    least_share: a token is constant at its position in a node (token count and leading tokens, fewer of these for
+    short lines) if it holds in least_documents lines there and in this share of them, or in more than half. Two sets
+    of constants, two templates. They need least_constant of the line's tokens, two at least.
     """
 
     depth: int = 3
@@ -35,6 +38,8 @@ class LineTemplates:
     least_own: float = 0.25
     long_words: int = 50
     least_alien: int = 2
+    least_share: float = 0.1
+    least_constant: float = 0.5
 
 
 def tokens(line: Column, rules: LineTemplates) -> Column:
@@ -44,20 +49,47 @@ def tokens(line: Column, rules: LineTemplates) -> Column:
 
 
 def parsed(docs: DataFrame, rules: LineTemplates) -> DataFrame:
-    """doc_id, nth, words, raw, head, leaf, exact and skeletons (hashes) for each line that has a token. doc_id must not be null.
+    """doc_id, nth, words, raw, head, leaf, node, exact, skeletons and t (hashes) for each line that has a token. doc_id must not be null.
 
     A leaf is the path of the tree: token count, then leading tokens. A template is the line's tokens with
-    fields masked, or, for longer lines, those with one quarter of the rest left open too.
+    fields masked, or, for longer lines, those with one quarter of the rest left open too, or the constant ones of
+    its node (see open_templates), which is a leaf but for short lines, whose leading tokens may be fields.
     """
     lines = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("nth", "line"))
     lines = lines.select("doc_id", "nth", F.xxhash64("line").alias("raw"), tokens(F.col("line"), rules).alias("t"))
     lines = lines.filter((F.size("t") > 1) | (F.element_at("t", 1) != ""))
     n, depth = F.size("t"), rules.depth
     leaf = F.xxhash64(n, F.slice("t", 1, depth))
+    node = F.xxhash64(n, F.slice("t", F.lit(1), F.when(n <= 4, 1).when(n < rules.least_generalised, 2).otherwise(depth)))
     cut = lambda q: depth + F.floor((n - depth) * q / DEPTH_PARTS).cast("int")
     open_part = lambda q: F.xxhash64(leaf, F.lit(q), F.slice("t", F.lit(1), cut(q)), F.slice("t", cut(q + 1) + 1, n))
     skeletons = F.when(n >= rules.least_generalised, F.array(*(open_part(q) for q in range(DEPTH_PARTS)))).otherwise(F.array().cast("array<long>"))
-    return lines.select("doc_id", "nth", n.alias("words"), "raw", F.xxhash64(F.slice("t", 1, depth)).alias("head"), leaf.alias("leaf"), F.xxhash64(F.lit("exact"), "t").alias("exact"), skeletons.alias("skeletons"))
+    return lines.select("doc_id", "nth", n.alias("words"), "raw", F.xxhash64(F.slice("t", 1, depth)).alias("head"), leaf.alias("leaf"), node.alias("node"), F.xxhash64(F.lit("exact"), "t").alias("exact"), skeletons.alias("skeletons"), F.transform("t", lambda x: F.hash(x)).alias("t"))
+
+
+def open_templates(lines: DataFrame, n_lines: int, rules: LineTemplates) -> DataFrame:
+    """Rows of lines whose node has enough lines to recur, with open: the templates of the constant tokens.
+
+    Tokens are counted by node and position, pre-aggregated; what is constant goes back to lines by counted_join.
+    """
+    nodes = staged(lines.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.least_documents), "nodes")
+    held = staged(counted_join(lines, nodes, ["node"], n_lines), "held")
+    counts = held.select("node", "n", F.posexplode("t").alias("at", "token")).groupBy("node", "n", "at", "token").agg(F.count("*").alias("c"))
+    c, fixed = F.col("c"), F.col("token") != F.hash(F.lit(FIELD))
+    common = fixed & (c >= rules.least_documents) & (c >= rules.least_share * F.col("n"))
+    kept = lambda of, name: F.collect_list(F.when(of, F.col("token"))).alias(name)
+    places = counts.groupBy("node", "n", "at").agg(kept(common, "common"), kept(fixed & (2 * c > F.col("n")), "most"))
+    shapes = places.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("at", "common", "most"))).alias("shape"))
+    shapes = staged(shapes.select("node", "n", F.col("shape.common").alias("common"), F.col("shape.most").alias("most")), "shapes")
+    shaped = counted_join(held.drop("n"), shapes, ["node"], held.count())
+
+    def template(constants: str) -> Column:
+        left = F.transform("t", lambda x, i: F.when(F.array_contains(F.get(constants, i), x), x))
+        n_left = F.size(F.filter(left, lambda x: x.isNotNull()))
+        enough = (n_left >= 2) & (n_left >= rules.least_constant * F.col("words"))
+        return F.when(enough, F.xxhash64("node", F.lit("open"), F.transform(left, lambda x: F.coalesce(x, F.lit(0)))))
+
+    return shaped.withColumn("open", F.array_compact(F.array_distinct(F.array(template("common"), template("most"))))).drop("t", "common", "most", "n")
 
 
 def kin(lines: DataFrame, leaves: DataFrame, n_lines: int, rules: LineTemplates) -> DataFrame:
@@ -102,8 +134,8 @@ def recurring(lines: DataFrame, rules: LineTemplates) -> tuple[DataFrame, DataFr
     """Candidate rows (doc_id, nth, template), staged, and templates (template, n rows) that recur; long lines may be in both twice."""
     n_lines = lines.count()
     leaves = staged(lines.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.least_documents), "leaves")
-    own = counted_join(lines, leaves, ["leaf"], n_lines)
-    own = own.select("doc_id", "nth", "raw", "leaf", F.explode(F.concat(F.array("exact"), "skeletons")).alias("template"))
+    own = open_templates(lines, n_lines, rules)
+    own = own.select("doc_id", "nth", "raw", "leaf", F.explode(F.concat(F.array("exact"), "skeletons", "open")).alias("template"))
     own = staged(own, "templates")
     often = own.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.least_documents)
     rows = staged(counted_join(own, staged(often, "often"), ["template"], own.count()), "rows")

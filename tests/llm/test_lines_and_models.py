@@ -105,6 +105,18 @@ def test_long_passages_of_few_documents(spark):
     assert all(out[i] == t.replace("\n" + near[7], "") for i, t in docs if i >= 100)
 
 
+def test_fields_of_words(spark):
+    rng = random.Random(6)
+    names, places = [words(rng, 1) for _ in range(5)], [words(rng, 1) for _ in range(5)]
+    docs = []
+    for i in range(50):
+        name, place = names[i % 5], places[i // 5 % 5]
+        field = [f"Posted by {name} in {place}", f"Filed under {words(rng, 1)}", f"This article was written by {words(rng, 1)} for the weekly paper that is printed in {words(rng, 1)} every day"]
+        docs.append((i, "\n".join([words(rng, 12), *field, "The " + words(rng, 4)])))
+    out = {r["doc_id"]: r["text"] for r in line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(out[i] == t.split("\n")[0] + "\n" + t.split("\n")[-1] for i, t in docs)
+
+
 def labelled_corpus(spark, n=400):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 8)))
