@@ -42,7 +42,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
-    return keep(docs, decontaminate(docs, read(spark, sf_dir, "benchmark")).filter("n_hit = 0"))
+    return keep(docs, decontaminate(docs, read(spark, sf_dir, "benchmark"), unnamed=True).filter("n_hit = 0"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,10 +67,10 @@ def tables(items: list[tuple[int, bytes]], size: int) -> list[WuManber]:
     return [WuManber(k, v) for k, v in sorted(by_length.items())]
 
 
-def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
+def blocks(benchmark: DataFrame, block_bytes: int, unnamed: bool = False) -> Iterator[list[tuple[int, bytes]]]:
     """The benchmark's items in lists of at most block_bytes of text (or one item)."""
     held, size = [], 0
-    rows = benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), F.col("text").cast("binary"))
+    rows = benchmark.filter(F.col("text").isNotNull() & (F.col("item_id").isNotNull() | F.lit(unnamed))).select(F.col("item_id").cast("long"), F.col("text").cast("binary"))
     for item, text in rows.toLocalIterator():
         if held and size + len(text) > block_bytes:
             yield held
@@ -81,17 +81,18 @@ def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, b
         yield held
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8_000_000, unnamed: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, items (ids whose windows occur, ascending) and spans (hit word runs) for each row of docs.
 
     The benchmark is the stated query set: it is sent to the executors in blocks of at most block_bytes, each a
     broadcast of bounded size, and every document is searched for every block; memory holds one block's tables
     at a time. No shuffle. Null or empty texts, and texts without words, have no words and no hits; so have all
     documents if the benchmark is empty or null. Repeated items or windows count each item once; repeated
-    documents give one row each. Other columns are ignored.
+    documents give one row each. Other columns are ignored. unnamed: items with a null item_id are searched too, and
+    those that occur are one null at the end of items; without it they are left out.
     """
     context = docs.sparkSession.sparkContext
-    sent = [context.broadcast(b) for b in blocks(benchmark, block_bytes)]
+    sent = [context.broadcast(b) for b in blocks(benchmark, block_bytes, unnamed)]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = tables(sent[0].value, window) if len(sent) == 1 else None
@@ -111,7 +112,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
                     else:
                         runs.append([start, end])
                 hits.append(sum(e - s for s, e in runs))
-                items.append(sorted({i for h in hit for i in h[2]}))
+                items.append(sorted({i for h in hit for i in h[2]}, key=lambda i: (i is None, i or 0)))
                 spans.append([{"start": s, "end": e} for s, e in runs])
             yield record(SCHEMA, [batch.column(0), [len(w) for w in texts], hits, items, spans])
 
@@ -119,7 +120,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    out = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), unnamed=True)
     names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
     return out.select(
         "doc_id",

@@ -7,7 +7,7 @@ import re
 from collections import Counter
 
 from quantloom.llm import chat
-from quantloom.llm.decontaminate import decontaminate
+from quantloom.llm.decontaminate import decontaminate, op6_benchmark_decontamination
 from quantloom.llm.quality_rules import QualityRules, beta_prior, measure, quality_rules
 from quantloom.llm.secrets import SecretRules, op7_secret_scans, scan_secrets
 
@@ -86,6 +86,14 @@ def test_windows(spark):
     assert len(none) == len(docs) and not any(r["n_hit"] for r in none) and decontaminate(frame.filter("false"), bench).collect() == []
 
 
+def test_items_without_an_id(spark, tmp_path):
+    spark.createDataFrame([(None, "one two three"), (7, "four five"), (None, "six")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, "a one two three b four five"), (2, "six"), (3, "four five"), (4, "five four")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = op6_benchmark_decontamination(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in out} == {1: (5, 2, True), 2: (1, 1, True), 3: (2, 1, True), 4: (0, 0, False)}
+
+
 def base_spans(text):
     kinds = (
         ("assign", re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 12),
