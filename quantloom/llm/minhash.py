@@ -2,27 +2,29 @@
 
 The bands only propose pairs; every link is confirmed on the full shingle sets. In a bucket, each member is
 compared with the hub. Where that leaves a bucket with several components, the members outside the largest one
-are compared with all members, except where their sets can't be similar enough: shingles that no other
-candidate has are in no intersection, which tells apart most members that merely share a passage or a base.
+are held against all members, and those pairs are confirmed whose sets can be similar enough. Two bounds tell:
+shingles that no other candidate has are in no intersection, and an intersection has no more shingles in each
+part of the hash space than the side with fewer there. So near-misses of a base hardly ever make a pair.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import counted_join, dropped, read, record, release, spread, staged, utf8
+from quantloom.llm.common import counted_join, dropped, read, record, release, staged, utf8
 from quantloom.llm.graph import components
 
 KEY = ["n_shingles", "fp_high", "fp_low"]
 MULTIPLY, FINISH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-SCHEMA = (("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp_high", pa.int64()), ("fp_low", pa.int64()), ("bands", pa.list_(pa.int64())))
-DDL = "doc_id long, n_shingles long, fp_high long, fp_low long, bands array<long>"
+SCHEMA = (("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("fp_high", pa.int64()), ("fp_low", pa.int64()), ("bands", pa.list_(pa.int64())))
+DDL = "doc_id long, row long, n_shingles long, fp_high long, fp_low long, bands array<long>"
 
 
 @dataclass(frozen=True)
@@ -31,14 +33,16 @@ class NearDuplicates:
 
     bands of rows values: at 75 % a pair is in no common bucket with a probability of (1 - 0.75 ** 6) ** 64, or
     4 in a million; at 10 % it is in one with 6 in a hundred thousand, so that a passage which many documents
-    share doesn't make them candidates. salts: tasks over which a hub's, or a bucket's, rows are dealt.
+    share doesn't make them candidates. share: rows of a hub or a bucket that meet in one task, about; larger ones
+    are dealt over more tasks. parts: of the hash space, for the bound on intersections.
     """
 
     shingle: int = 5
     percent: int = 75
     bands: int = 64
     rows: int = 6
-    salts: int = 64
+    share: int = 2000
+    parts: int = 128
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:
@@ -98,8 +102,18 @@ def banded(signature: np.ndarray, rows: int) -> np.ndarray:
     return ((out ^ (out >> np.uint64(32))) * FINISH).view(np.int64)
 
 
-def signatures(docs: DataFrame, rules: NearDuplicates) -> DataFrame:
-    """Set size, fingerprint and band hashes of each row of docs; the fingerprint is of the whole set."""
+def fingerprint(own: np.ndarray) -> np.ndarray:
+    """Two 64-bit halves of a hash of the whole set."""
+    return np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), "<i8")
+
+
+def keyed(docs: DataFrame, row: str | None) -> DataFrame:
+    key = F.col(row).cast("long") if row else F.xxhash64("text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("row"), "text")
+
+
+def signatures(docs: DataFrame, rules: NearDuplicates, row: str | None) -> DataFrame:
+    """Set size, fingerprint and band hashes of each row of docs, with the column row, or else a hash of the text."""
 
     def scan(batches):
         used = rules.bands * rules.rows
@@ -108,48 +122,58 @@ def signatures(docs: DataFrame, rules: NearDuplicates) -> DataFrame:
             sizes, high, low, bands = [], [], [], []
             for text in utf8(batch):
                 own = shingles(text, rules.shingle)
-                digest = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), "<i8")
+                digest = fingerprint(own)
                 sizes.append(len(own))
                 high.append(digest[0])
                 low.append(digest[1])
                 bands.append(banded(sign(own)[:used], rules.rows) if len(own) else np.empty(0, np.int64))
-            yield record(SCHEMA, [batch.column(0), sizes, high, low, bands])
+            yield record(SCHEMA, [batch.column(0), batch.column(1), sizes, high, low, bands])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, DDL)
+    return keyed(docs, row).mapInArrow(scan, DDL)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """doc and its sorted shingle hashes for the wanted ids (rep), made from the texts again."""
+    """node and its sorted shingle hashes for the wanted nodes, made again from the texts of their least rows.
+
+    docs: as keyed. wanted: node, fingerprint, least_id and least_row, the doc_id and row to read.
+    """
 
     def scan(batches):
         for batch in batches:
-            sets = [shingles(t, size).view(np.int64) for t in utf8(batch)]
-            yield record((("doc", pa.int64()), ("held", pa.list_(pa.int64()))), [batch.column(0), sets])
+            nodes, sets = [], []
+            for node, high, low, text in zip(*(batch.column(k).to_pylist() for k in ("node", "fp_high", "fp_low")), utf8(batch), strict=True):
+                own = shingles(text, size)
+                if (fingerprint(own) == (high, low)).all():
+                    nodes.append(node)
+                    sets.append(own.view(np.int64))
+            yield record((("node", pa.int64()), ("held", pa.list_(pa.int64()))), [nodes, sets])
 
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    return ids.mapInArrow(scan, "doc long, held array<long>").dropDuplicates(["doc"])
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("row") == F.col("least_row")))
+    return texts.select("node", "fp_high", "fp_low", "text").mapInArrow(scan, "node long, held array<long>").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, rules: NearDuplicates) -> DataFrame:
     """Those of the distinct pairs (a, b) whose full sets are similar enough.
 
-    A hub's set is fetched once for each of its salts, so that its pairs are dealt over as many tasks.
+    A hub's set is fetched once for each share of its pairs, so that these are dealt over as many tasks.
     """
-    pairs = pairs.select("a", "b", spread(["b"], rules.salts).alias("salt"))
-    asked = pairs.select("a", "salt").distinct().join(sets.withColumnsRenamed({"doc": "a", "held": "held_a"}), "a")
-    both = pairs.join(asked, ["a", "salt"]).join(sets.withColumnsRenamed({"doc": "b", "held": "held_b"}), "b")
+    pairs = staged(pairs, "pairs")
+    n_shares = max(64, -(-pairs.count() // (64 * rules.share)))
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(n_shares)).alias("salt"))
+    asked = dealt.select("a", "salt").distinct().join(sets.withColumnsRenamed({"node": "a", "held": "held_a"}), "a")
+    both = dealt.join(asked, ["a", "salt"]).join(sets.withColumnsRenamed({"node": "b", "held": "held_b"}), "b")
     common = F.size(F.array_intersect("held_a", "held_b"))
     union = F.size("held_a") + F.size("held_b") - F.col("common")
     both = both.select("a", "b", "held_a", "held_b", common.alias("common"))
     return both.filter(100 * F.col("common") >= rules.percent * union).select("a", "b")
 
 
-def starred(rows: DataFrame, rules: NearDuplicates, label: str) -> DataFrame:
-    """Bucket rows (key, rep, size) with n, hub and hub_size, staged, without those of buckets of one."""
+def starred(rows: DataFrame, label: str) -> DataFrame:
+    """Bucket rows (key, node, size) with n, hub and hub_size, staged, without those of buckets of one."""
     rows = staged(rows, label)
-    hub = F.min(F.struct(F.col("rep").alias("rep"), F.col("size").alias("size"))).alias("hub")
+    hub = F.min(F.struct(F.col("node").alias("node"), F.col("size").alias("size"))).alias("hub")
     buckets = rows.groupBy("key").agg(F.count("*").alias("n"), hub).filter(F.col("n") > 1)
-    buckets = staged(buckets.select("key", "n", F.col("hub.rep").alias("hub"), F.col("hub.size").alias("hub_size")), "buckets")
+    buckets = staged(buckets.select("key", "n", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size")), "buckets")
     out = staged(counted_join(rows, buckets, ["key"], rows.count()), "members")
     dropped(rows)
     return out
@@ -161,76 +185,120 @@ def alike(a, b, percent: int, a_max=None, b_max=None):
     return (100 + percent) * both >= percent * (a + b)
 
 
-def shared_sizes(sets: DataFrame) -> DataFrame:
-    """rep and own, how many of its shingles no other set has, where there are some."""
-    once = sets.select("doc", F.explode("held").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc").alias("rep"))
-    return once.filter("n = 1").groupBy("rep").agg(F.count("*").alias("own"))
+def meeting(a: Column, b: Column) -> Column:
+    """The most shingles that sets with so many in each part of the hash space can have in common."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda n, x: n + x)
+
+
+def lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """The values of each list; of a null none."""
+    values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+    return (values[a:b] for a, b in zip(offsets, offsets[1:]))
+
+
+def shared_parts(sets: DataFrame, rules: NearDuplicates) -> DataFrame:
+    """node, shared (how many of its shingles other sets have too) and parts (these, by part of the hash space).
+
+    parts is null for a set with more in a part than a short holds; the bound by parts doesn't bear on it then.
+    """
+    once = sets.select("node", F.explode("held").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    alone = once.filter("n = 1").groupBy("node").agg(F.collect_list("shingle").alias("alone"))
+
+    def scan(batches):
+        for batch in batches:
+            shared, parts = [], []
+            for held, alone in zip(lists(batch.column("held")), lists(batch.column("alone")), strict=True):
+                own = np.setdiff1d(held, alone, assume_unique=True).view(np.uint64)
+                counts = np.bincount(((own * FINISH) >> np.uint64(32)).astype(np.int64) % rules.parts, minlength=rules.parts)
+                shared.append(len(own))
+                parts.append(counts if counts.max(initial=0) < 1 << 15 else None)
+            yield record((("node", pa.int64()), ("shared", pa.int64()), ("parts", pa.list_(pa.int16()))), [batch.column("node"), shared, parts])
+
+    return sets.join(alone, "node", "left").select("node", "held", "alone").mapInArrow(scan, "node long, shared long, parts array<short>")
 
 
 def cross_pairs(nodes: DataFrame, rules: NearDuplicates) -> DataFrame:
     """Distinct pairs (a, b) across components in a bucket that can be similar enough.
 
-    nodes: rep, size, shared (shingles that others have too), label (component) and bands. Of the members
-    outside a bucket's largest component, those that no partner of the bucket's least size can match go; only
-    buckets with others left are gone through, each of these, copied to every salt, against all members by salt.
+    nodes: node, size, shared, parts (see shared_parts), label (component) and bands. Of the members outside a
+    bucket's largest component, those that no partner of the bucket's least size can match go; only buckets with
+    others left are gone through, each of these, copied to every share of its bucket, against all members.
     """
-    rows = nodes.select(F.explode("bands").alias("key"), "rep", "size", "shared", "label")
+    rows = nodes.select(F.explode("bands").alias("key"), "node", "size", "shared", "label")
     by = rows.groupBy("key", "label").agg(F.count("*").alias("own"), F.min("size").alias("least"))
-    by = by.groupBy("key").agg(F.max(F.struct("own", "label"))["label"].alias("major"), F.sum("own").alias("n"), F.count("*").alias("parts"), F.min("least").alias("least"))
-    mixed = staged(by.filter("parts > 1 AND n > 2").select("key", "major", "n", "least"), "mixed")
+    by = by.groupBy("key").agg(F.max(F.struct("own", "label"))["label"].alias("major"), F.sum("own").alias("n"), F.count("*").alias("components"), F.min("least").alias("least"))
+    mixed = staged(by.filter("components > 1 AND n > 2").select("key", "major", "n", "least"), "mixed")
     n_rows = rows.count()
     minor = counted_join(rows, mixed, ["key"], n_rows)
     partner = F.greatest(F.col("least").cast("double"), F.lit(rules.percent / 100) * F.col("size"))
     minor = minor.filter((F.col("label") != F.col("major")) & alike(F.col("size"), partner, rules.percent, F.col("shared"), F.col("size")))
-    minor = staged(minor, "minor")
-    open_ = staged(minor.select("key", "n", "major").distinct(), "open")
-    whole = counted_join(rows, open_, ["key"], n_rows).withColumn("salt", spread(["rep"], rules.salts))
-    few = minor.select("key", F.col("rep").alias("x"), F.col("size").alias("x_size"), F.col("shared").alias("x_shared"), F.col("label").alias("x_label"))
-    few = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(rules.salts - 1))))
-    pairs = whole.join(few, ["key", "salt"])
-    once = (F.col("label") == F.col("major")) | (F.col("x") < F.col("rep"))
+    minor = staged(minor.withColumn("shares", F.ceil(F.col("n") / rules.share).cast("int")), "minor")
+    open_ = staged(minor.select("key", "n", "major", "shares").distinct(), "open")
+    parts = nodes.select("node", "parts")
+    whole = counted_join(rows, open_, ["key"], n_rows).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")).join(parts, "node")
+    few = minor.join(parts, "node").select("key", "shares", *(F.col(k).alias(f"x_{k}") for k in ("node", "size", "shared", "label", "parts")))
+    few = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    once = (F.col("label") == F.col("major")) | (F.col("x_node") < F.col("node"))
     close = alike(F.col("size"), F.col("x_size"), rules.percent, F.col("shared"), F.col("x_shared"))
-    pairs = pairs.filter((F.col("label") != F.col("x_label")) & once & close)
-    return pairs.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+    closer = F.coalesce((100 + rules.percent) * meeting(F.col("parts"), F.col("x_parts")) >= rules.percent * (F.col("size") + F.col("x_size")), F.lit(True))
+    here = few.withColumnsRenamed({"key": "x_key", "salt": "x_salt"})
+    met = (F.col("key") == F.col("x_key")) & (F.col("salt") == F.col("x_salt"))
+    pairs = whole.join(here, met & (F.col("label") != F.col("x_label")) & once & close & closer)
+    return pairs.select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, rules: NearDuplicates = NearDuplicates()) -> DataFrame:
+def near_duplicates(docs: DataFrame, rules: NearDuplicates = NearDuplicates(), row: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs.
 
-    Copies (equal sets) are grouped by fingerprint and stand for one; only one of them is compared. A null or
-    empty text, or one without words, has no shingles and no links. A null doc_id has no links, a null
-    component_id, and is kept. Rows that share a doc_id count as one node with the sets of either. An empty
-    table gives no rows; other columns are ignored.
+    Copies (equal sets) are one node, whatever their number; one of them is compared. component_id is the least
+    doc_id of the component, and rows with that doc_id are kept. A null or empty text, or one without words, has
+    no shingles and no links. A null doc_id has no links, a null component_id, and is kept. Rows that share a
+    doc_id are linked each by its own text. An empty table gives no rows; other columns are ignored.
+
+    row: a column of longs, one for each row, which the result has too. Then nulls of doc_id are linked as well
+    and come last, and of each component the one row with the least doc_id, then row, is kept.
     """
     spark = docs.sparkSession
-    signed = staged(signatures(docs, rules), "signatures")
-    linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    groups = signed.filter(linkable).groupBy(*KEY).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"))
-    groups = staged(groups, "groups")
-    rows = groups.select(F.explode("bands").alias("key"), "rep", F.col("n_shingles").alias("size"))
-    members = starred(rows, rules, "banded")
+    signed = staged(signatures(docs, rules, row), "signatures")
+    linkable = F.col("n_shingles") > 0
+    if not row:
+        linkable = linkable & F.col("doc_id").isNotNull()
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    groups = signed.filter(linkable).groupBy(*KEY).agg(F.min(first).alias("least"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+    groups = staged(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
+    members = starred(groups.select(F.explode("bands").alias("key"), "node", F.col("n_shingles").alias("size")), "banded")
     release(spark)
-    sets = staged(full_sets(docs, members.select("rep").distinct(), rules.shingle), "sets")
+    wanted = groups.join(members.select("node").distinct(), "node", "left_semi")
+    wanted = wanted.select("node", "fp_high", "fp_low", F.col("least.doc_id").alias("least_id"), F.col("least.row").alias("least_row"))
+    sets = staged(full_sets(keyed(docs, row), wanted, rules.shingle), "sets")
     release(spark)
-    star = members.filter((F.col("rep") != F.col("hub")) & alike(F.col("size"), F.col("hub_size"), rules.percent))
-    links = staged(confirmed(star.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), sets, rules), "confirmed")
+    star = members.filter((F.col("node") != F.col("hub")) & alike(F.col("size"), F.col("hub_size"), rules.percent))
+    links = staged(confirmed(star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, rules), "confirmed")
     dropped(members)
-    labels = components(links).select(F.col("v").alias("rep"), F.col("m").alias("label"))
-    nodes = groups.select("rep", F.col("n_shingles").alias("size"), "bands").join(sets.select(F.col("doc").alias("rep")), "rep", "left_semi")
-    nodes = nodes.join(labels, "rep", "left").join(shared_sizes(sets), "rep", "left")
-    shared = F.col("size") - F.coalesce("own", F.lit(0))
-    nodes = staged(nodes.select("rep", "size", "bands", shared.alias("shared"), F.coalesce("label", "rep").alias("label")), "nodes")
+    labels = components(links).select(F.col("v").alias("node"), F.col("m").alias("label"))
+    nodes = groups.select("node", F.col("n_shingles").alias("size"), "bands").join(shared_parts(sets, rules), "node")
+    nodes = staged(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "nodes")
     release(spark)
     links = staged(links.unionByName(confirmed(cross_pairs(nodes, rules), sets, rules)), "confirmed")
+    dropped(sets)
+    dropped(nodes)
     release(spark)
-    labels = components(links)
-    named = groups.join(labels.select(F.col("v").alias("rep"), "m"), "rep", "left")
-    named = named.select(*KEY, "n", F.coalesce("m", "rep").alias("component_id"), F.col("m").isNotNull().alias("linked"))
-    named = staged(named.filter((F.col("n") > 1) | F.col("linked")).drop("linked"), "named")
-    plain = signed.select("doc_id", *KEY)
-    out = counted_join(plain.filter(linkable), named, KEY, plain.count(), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = out.unionByName(plain.filter(~linkable | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    labels = components(links).select(F.col("v").alias("node"), "m")
+    named = groups.join(labels, "node", "left").select("node", *KEY, "n", "least", F.coalesce("m", "node").alias("m"), F.col("m").isNotNull().alias("linked"))
+    named = staged(named, "named")
+    linked = named.filter("linked").select("m").distinct()
+    tops = named.join(linked, "m", "left_semi").groupBy("m").agg(F.min("least").alias("top"), F.count("*").alias("n_nodes"))
+    tops = staged(tops, "tops")
+    topped = counted_join(named, tops, ["m"], named.count(), "left", n="n_nodes").select(*KEY, "n", F.coalesce("top", "least").alias("top"), F.col("top").isNotNull().alias("linked"))
+    topped = staged(topped.filter((F.col("n") > 1) | F.col("linked")).drop("linked"), "topped")
+    plain = signed.select("doc_id", "row", *KEY)
+    out = counted_join(plain.filter(linkable), topped, KEY, plain.count(), "left").withColumn("top", F.coalesce("top", first))
+    out = out.select("doc_id", "row", "n_shingles", F.col("top.doc_id").alias("component_id"), F.col("top.row").alias("kept_row"))
+    alone = plain.filter(~linkable).select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row").alias("kept_row"))
+    out = out.unionByName(alone)
+    if row:
+        return out.select("doc_id", F.col("row").alias(row), "n_shingles", "component_id", (F.col("row") == F.col("kept_row")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 import re
 
 from quantloom.llm.graph import components
-from quantloom.llm.minhash import NearDuplicates, near_duplicates, shingles
+from quantloom.llm.minhash import NearDuplicates, near_duplicates, shared_parts, shingles
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id string, kept int"
 DATA = "/root/testdata/sf0.001"
@@ -79,7 +79,7 @@ def test_near_misses_of_one_base(spark):
         for at in rng.sample(range(200), rng.choice([1, 2, 3, 4, 5, 6, 8])):
             own[at] = f"x{rng.randrange(10**6)}"
         rows.append((i, " ".join(own)))
-    got, _ = result(spark, rows, salts=3)
+    got, _ = result(spark, rows, share=3)
     assert got == brute(rows) and len({c for _, c, _ in got.values()}) > 5
 
 
@@ -95,6 +95,28 @@ def test_empty_and_null(spark):
     assert got == {None: (2, None, True), 1: (2, 1, True)} and len(out) == 3
 
 
+def test_shared_and_missing_ids(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, near, 10), (1, "quite another text of seven words", 11), (2, near + " x", 12), (None, near, 13), (None, "quite another text of seven words", 14), (3, "", 15), (2, near + " x", 16)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key long")
+    out = [(r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(docs).collect()]
+    assert sorted(out, key=str) == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (2, 1, False), (None, None, True), (None, None, True), (3, 3, True)], key=str)
+    kept = {r["key"]: (r["component_id"], r["kept"]) for r in near_duplicates(docs, row="key").collect()}
+    assert kept == {10: (1, True), 11: (1, True), 12: (1, False), 13: (1, False), 14: (1, False), 15: (3, True), 16: (1, False)}
+
+
+def test_bound_by_parts_is_a_bound(spark):
+    rng = random.Random(12)
+    sets = [(n, sorted(rng.sample(range(1 << 40), 30)) ) for n in range(4)]
+    sets += [(9, sorted({*sets[0][1][:20], *sets[1][1][:9], 5}))]
+    got = {r["node"]: r for r in shared_parts(spark.createDataFrame(sets, "node long, held array<long>"), NearDuplicates(parts=8)).collect()}
+    held = dict(sets)
+    for n, r in got.items():
+        assert r["shared"] == sum(r["parts"]) == len([x for x in held[n] if any(x in held[m] for m in held if m != n)])
+        for m, q in got.items():
+            assert m == n or len(set(held[n]) & set(held[m])) <= sum(map(min, r["parts"], q["parts"]))
+
+
 def test_short_sequences_are_one_shingle():
     assert len(shingles(b"a b", 5)) == 1 and len(shingles(b"a b c d e f", 5)) == 2 and not len(shingles(b" ", 5))
 
