@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from quantloom.llm.repeats import Repeats, bucket_repeats, intervals, op4_suffix_array_dedup, remove_repeats
+from quantloom.llm.repeats import Repeats, bucket_repeats, intervals, op4_suffix_array_dedup, remove_repeats, repeats
 
 SCHEMA = "doc_id long, text string, doc string, spans int, source string"
 
@@ -76,6 +76,45 @@ def test_intervals_of_a_sorted_list():
 
 def test_occurrences_are_whole():
     rules = Repeats(span=6, gram=2)
-    rows = sorted([(b"abcd", b"xyz", 1, 5), (b"abcd", b"xyw", 2, 9), (b"abce", b"xyz", 3, 7)])
-    found = {(near, far): [(d, a) for d, a, _ in occ] for near, far, occ in bucket_repeats(rows, rules)}
+    rows = sorted([(b"abcd", b"xyz", 1, 5, 1), (b"abcd", b"xyw", 2, 9, 1), (b"abce", b"xyz", 3, 7, 1)])
+    found = {(near, far): [m[:2] for m in occ] for near, far, occ in bucket_repeats(rows, rules)}
     assert found == {(0, 0): [(1, 5), (2, 9)], (1, 2): [(1, 5), (2, 9), (3, 7)], (3, 3): [(1, 5), (3, 7)]}
+    found = {(near, far): [m[:2] for m in occ] for near, far, occ in bucket_repeats(rows, rules, 1, 1)}
+    assert found == {(1, 1): [(1, 5), (2, 9), (3, 7)]}
+    copied = [(b"abcd", b"xyz", 1, 5, 2)]
+    assert [(near, far, len(occ)) for near, far, occ in bucket_repeats(copied, rules)] == [(0, 3, 1)]
+
+
+@pytest.mark.parametrize("rules", [{}, {"bucket": 2}])
+def test_groups_hold_all_occurrences(spark, rules):
+    """Each window that occurs twice or more is in groups that name all its places, with one first place."""
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    passage = noise(260)
+    docs = [(i, noise(40) + passage[rng.randrange(120) : rng.randrange(200, 260)] + noise(30)) for i in range(9)] + [(20, "x" * 200), (21, passage), (22, passage)]
+    frame = spark.createDataFrame(docs, "doc long, text string")
+    places = {}
+    for doc, text in docs:
+        for s in range(len(text) - 99):
+            places.setdefault(text[s : s + 100], set()).add((doc, s))
+    texts, groups = dict(docs), {}
+    for r in repeats(frame, Repeats(**rules)).collect():
+        groups.setdefault((r["anchor"], r["group"], r["end"] - r["start"]), []).append((r["doc"], r["start"], r["first"]))
+    covered = set()
+    for (_, _, size), found in groups.items():
+        strings = {texts[d][s : s + size] for d, s, _ in found}
+        assert len(strings) == 1 and len(found) > 1 and [f for *_, f in sorted(found)] == [True] + [False] * (len(found) - 1)
+        string = strings.pop()
+        for k in range(size - 99):
+            assert places[string[k : k + 100]] == {(d, s + k) for d, s, _ in found}
+            covered.add(string[k : k + 100])
+    assert covered == {w for w, where in places.items() if len(where) > 1}
+
+
+def test_texts_that_share_an_id(spark):
+    long = "".join(chr(97 + i * i * 7 % 26) for i in range(300))
+    rows = [(0, long), (1, long), (1, "a short text here"), (1, "a short text here"), (2, long[100:])]
+    docs = spark.createDataFrame([(d, t) for d, t in rows], "doc_id long, text string")
+    out = sorted((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"])) for r in remove_repeats(docs).collect())
+    own = brute([(0, long)])[0][1]
+    assert out == [(0, 300, own), (1, 17, 0), (1, 17, 0), (1, 300, 300), (2, 200, 200)]
