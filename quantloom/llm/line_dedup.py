@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import counted_join, fresh, read, staged
+from quantloom.llm.common import counted_join, dropped, fresh, read, staged
 
 DEPTH_PARTS = 4
 FIELD = "<*>"
@@ -43,9 +43,10 @@ class LineTemplates:
 
 
 def tokens(line: Column, rules: LineTemplates) -> Column:
-    """The line's tokens with variable fields as <*>."""
-    masked = F.regexp_replace(line, rf"[^\s]*{rules.variable}[^\s]*", FIELD)
-    return F.split(F.trim(F.regexp_replace(masked, r"\s+", " ")), " ")
+    """The line's tokens with variable fields as <*>; only lines that have any are gone through for fields and for blanks other than single ones."""
+    masked = F.when(line.rlike(rules.variable), F.regexp_replace(line, rf"[^\s]*{rules.variable}[^\s]*", FIELD)).otherwise(line)
+    single = F.when(line.rlike(r"[\t\x0B\f\r]|  "), F.regexp_replace(masked, r"\s+", " ")).otherwise(masked)
+    return F.split(F.trim(single), " ")
 
 
 def parsed(docs: DataFrame, rules: LineTemplates) -> DataFrame:
@@ -56,26 +57,31 @@ def parsed(docs: DataFrame, rules: LineTemplates) -> DataFrame:
     its node (see open_templates), which is a leaf but for short lines, whose leading tokens may be fields.
     """
     lines = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("nth", "line"))
-    lines = lines.select("doc_id", "nth", F.xxhash64("line").alias("raw"), tokens(F.col("line"), rules).alias("t"))
-    lines = lines.filter((F.size("t") > 1) | (F.element_at("t", 1) != ""))
+    lines = lines.filter(F.col("line").rlike(r"\S"))
+    lines = lines.select("doc_id", "nth", F.xxhash64("line").alias("raw"), F.transform(tokens(F.col("line"), rules), lambda x: F.xxhash64(x)).alias("t"))
     n, depth = F.size("t"), rules.depth
     leaf = F.xxhash64(n, F.slice("t", 1, depth))
     node = F.xxhash64(n, F.slice("t", F.lit(1), F.when(n <= 4, 1).when(n < rules.least_generalised, 2).otherwise(depth)))
     cut = lambda q: depth + F.floor((n - depth) * q / DEPTH_PARTS).cast("int")
-    open_part = lambda q: F.xxhash64(leaf, F.lit(q), F.slice("t", F.lit(1), cut(q)), F.slice("t", cut(q + 1) + 1, n))
+    open_part = lambda q: F.xxhash64(F.lit(q), n, F.slice("t", F.lit(1), cut(q)), F.slice("t", cut(q + 1) + 1, n))
     skeletons = F.when(n >= rules.least_generalised, F.array(*(open_part(q) for q in range(DEPTH_PARTS)))).otherwise(F.array().cast("array<long>"))
-    return lines.select("doc_id", "nth", n.alias("words"), "raw", F.xxhash64(F.slice("t", 1, depth)).alias("head"), leaf.alias("leaf"), node.alias("node"), F.xxhash64(F.lit("exact"), "t").alias("exact"), skeletons.alias("skeletons"), F.transform("t", lambda x: F.hash(x)).alias("t"))
+    return lines.select("doc_id", "nth", n.alias("words"), "raw", F.xxhash64(F.slice("t", 1, depth)).alias("head"), leaf.alias("leaf"), node.alias("node"), F.xxhash64(F.lit("exact"), "t").alias("exact"), skeletons.alias("skeletons"), F.transform("t", short).alias("t"))
 
 
-def open_templates(lines: DataFrame, n_lines: int, rules: LineTemplates) -> DataFrame:
-    """Rows of lines whose node has enough lines to recur, with open: the templates of the constant tokens.
+def short(token: Column) -> Column:
+    """32 bits of a token's hash, for counts by position."""
+    return F.shiftright(token, 32).cast("int")
+
+
+def open_templates(lines: DataFrame, n_lines: int, rules: LineTemplates) -> tuple[DataFrame, DataFrame]:
+    """Rows of lines whose node has enough lines to recur, with open: the templates of the constant tokens; the staged table behind them.
 
     Tokens are counted by node and position, pre-aggregated; what is constant goes back to lines by counted_join.
     """
     nodes = staged(lines.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.least_documents), "nodes")
     held = staged(counted_join(lines, nodes, ["node"], n_lines), "held")
     counts = held.select("node", "n", F.posexplode("t").alias("at", "token")).groupBy("node", "n", "at", "token").agg(F.count("*").alias("c"))
-    c, fixed = F.col("c"), F.col("token") != F.hash(F.lit(FIELD))
+    c, fixed = F.col("c"), F.col("token") != short(F.xxhash64(F.lit(FIELD)))
     common = fixed & (c >= rules.least_documents) & (c >= rules.least_share * F.col("n"))
     kept = lambda of, name: F.collect_list(F.when(of, F.col("token"))).alias(name)
     places = counts.groupBy("node", "n", "at").agg(kept(common, "common"), kept(fixed & (2 * c > F.col("n")), "most"))
@@ -89,7 +95,7 @@ def open_templates(lines: DataFrame, n_lines: int, rules: LineTemplates) -> Data
         enough = (n_left >= 2) & (n_left >= rules.least_constant * F.col("words"))
         return F.when(enough, F.xxhash64("node", F.lit("open"), F.transform(left, lambda x: F.coalesce(x, F.lit(0)))))
 
-    return shaped.withColumn("open", F.array_compact(F.array_distinct(F.array(template("common"), template("most"))))).drop("t", "common", "most", "n")
+    return shaped.withColumn("open", F.array_compact(F.array_distinct(F.array(template("common"), template("most"))))).drop("t", "common", "most", "n"), held
 
 
 def kin(lines: DataFrame, leaves: DataFrame, n_lines: int, rules: LineTemplates) -> DataFrame:
@@ -134,11 +140,13 @@ def recurring(lines: DataFrame, rules: LineTemplates) -> tuple[DataFrame, DataFr
     """Candidate rows (doc_id, nth, template), staged, and templates (template, n rows) that recur; long lines may be in both twice."""
     n_lines = lines.count()
     leaves = staged(lines.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.least_documents), "leaves")
-    own = open_templates(lines, n_lines, rules)
+    own, held = open_templates(lines, n_lines, rules)
     own = own.select("doc_id", "nth", "raw", "leaf", F.explode(F.concat(F.array("exact"), "skeletons", "open")).alias("template"))
     own = staged(own, "templates")
-    often = own.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.least_documents)
-    rows = staged(counted_join(own, staged(often, "often"), ["template"], own.count()), "rows")
+    dropped(held)
+    often = staged(own.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.least_documents), "often")
+    rows = staged(counted_join(own, often, ["template"], own.count()), "rows")
+    dropped(own)
     docs = rows.groupBy("doc_id", "template").agg(F.min("leaf").alias("leaf"), F.min("raw").alias("raw"))
     known = staged(kin(lines, leaves, n_lines, rules), "kin")
     families = docs.join(known, "doc_id").groupBy("template", family().alias("family")).agg(F.count("*").alias("documents"))
@@ -149,6 +157,18 @@ def recurring(lines: DataFrame, rules: LineTemplates) -> tuple[DataFrame, DataFr
     return rows.select("doc_id", "nth", "template").unionByName(more), found
 
 
+def without(lines: Column, drops: Column) -> Column:
+    """The lines but for those at drops (ascending, from 0), joined: the runs between the drops, each a slice."""
+
+    def kept(x: Column) -> Column:
+        before = lambda i: F.when(i == 0, -1).otherwise(F.get(x["drops"], i - 1))
+        after = lambda i: F.when(i == F.size(x["drops"]), F.size(x["lines"])).otherwise(F.get(x["drops"], i))
+        runs = F.transform(F.sequence(F.lit(0), F.size(x["drops"])), lambda i: F.slice(x["lines"], before(i) + 2, after(i) - before(i) - 1))
+        return F.array_join(F.flatten(runs), "\n")
+
+    return F.get(F.transform(F.array(F.struct(lines.alias("lines"), drops.alias("drops"))), kept), F.lit(0))
+
+
 def line_dedup(docs: DataFrame, rules: LineTemplates = LineTemplates()) -> DataFrame:
     """All columns of docs, with the lines of recurring templates dropped from text, and n_lines and n_dropped.
 
@@ -166,8 +186,7 @@ def line_dedup(docs: DataFrame, rules: LineTemplates = LineTemplates()) -> DataF
     drops = drops.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("nth").alias(nth))
     joined = docs.select(*names).join(drops, F.col("doc_id") == F.col(doc), "left")
     split = F.split("text", "\n")
-    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains(nth, i)), "\n")
-    text = F.when(F.col(nth).isNull(), F.col("text")).otherwise(kept)
+    text = F.when(F.col(nth).isNull(), F.col("text")).otherwise(without(split, F.array_sort(nth)))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")
     n_dropped = F.when(F.col(nth).isNull(), 0).otherwise(F.size(nth)).cast("long")
     return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in names), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))

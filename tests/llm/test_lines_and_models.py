@@ -92,6 +92,18 @@ def test_families_are_counted_whatever_the_copies(spark):
     assert all(out[i] == t for i, t in docs if i >= 4000)
 
 
+def test_header_and_footer_whatever_their_wording(spark):
+    rng = random.Random(11)
+    docs, pages = [], []
+    for turn in range(6):
+        header, footer = words(rng, 5), words(rng, 7)
+        pages += [(100 * turn + i, words(rng, 9), header, footer) for i in range(40)]
+    docs = [(i, f"{header}\n{own}\n{footer}") for i, own, header, footer in pages] + [(9000, "\n\n".join(f"{pages[0][2]}\nown {c}" for c in "abcde"))]
+    out = {r["doc_id"]: r for r in line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(out[i]["text"] == own and out[i]["n_dropped"] == 2 for i, own, *_ in pages)
+    assert out[9000]["text"] == "\n\n".join(f"own {c}" for c in "abcde")
+
+
 def test_long_passages_of_few_documents(spark):
     rng = random.Random(5)
     passage, short = words(rng, 60), words(rng, 12)
