@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +31,10 @@ class EntropyClass:
 
 @dataclass(frozen=True)
 class SecretRules:
-    """classes: tried on each candidate in order. allowed: candidates that match one of these whole are no secrets."""
+    """classes: tried on each candidate in order. allowed: candidates that match one of these whole are no secrets.
+
+    A candidate can be as long as a text, so what repeats a group must be possessive (++), which needs no stack.
+    """
 
     classes: tuple[EntropyClass, ...] = (
         EntropyClass("entropy_hex", "[0-9a-fA-F]", 20, 2.95),
@@ -41,57 +45,79 @@ class SecretRules:
         "[A-Z]+",
         "[0-9]+",
         "[-=_+/]+",
-        "[A-Za-z]+([-_/][A-Za-z]+)+",
+        "[A-Za-z]++(?:[-_/][A-Za-z]++)++",
         "[A-Z0-9]*EXAMPLE[A-Z0-9]*",
-        "(0123456789|abcdef|ABCDEF)+[0-9a-zA-Z]{0,10}",
+        "(?:0123456789|abcdef|ABCDEF)++[0-9a-zA-Z]{0,10}",
     )
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def placed(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value, group>> of the leftmost non-overlapping matches; code points, end exclusive.
+    """array<struct<start, end, value>> of the leftmost non-overlapping matches; code points, end exclusive.
 
-    The parts between the matches give their places: a match starts after as many parts and one match less.
+    The parts between the matches give their places: a match starts after as many parts and one match less. The
+    lengths are summed over runs of about the root of the number of matches, so that no list grows by copies.
     """
-    matches, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.arrays_zip(matches.alias("value"), parts.alias("part"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found"))
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"), F.split(text, pattern, -1).alias("part"))
+    sized = F.transform(F.filter(pairs, lambda p: p["value"].isNotNull()), lambda p: F.struct(p["value"].alias("value"), F.length(p["part"]).alias("skip"), F.length(p["value"]).alias("size")))
+
+    def one(state: Column, m: Column) -> Column:
+        start = state["at"] + m["skip"]
+        span = F.struct(start.alias("start"), (start + m["size"]).alias("end"), m["value"].alias("value"))
+        return F.struct((start + m["size"]).alias("at"), F.array_append(state["found"], span).alias("found"))
 
-    def step(state: Column, pair: Column) -> Column:
-        at = state["at"] + F.length(pair["part"])
-        end = at + F.length(pair["value"])
-        found = F.array_append(state["found"], F.struct(at.alias("start"), end.alias("end"), pair["value"].alias("value")))
-        return F.struct(end.alias("at"), found.alias("found"))
+    def within(run: Column) -> Column:
+        found = F.array().cast("array<struct<start:int,end:int,value:string>>")
+        return F.aggregate(run["matches"], F.struct(run["at"].alias("at"), found.alias("found")), one, lambda s: s["found"])
 
-    whole = F.filter(pairs, lambda p: p["value"].isNotNull())
-    return F.when(text.rlike(pattern), F.aggregate(whole, start, step, lambda s: s["found"]))
+    def ahead(state: Column, run: Column) -> Column:
+        at = state["at"] + F.aggregate(run, F.lit(0), lambda n, m: n + m["skip"] + m["size"])
+        return F.struct(at.alias("at"), F.array_append(state["runs"], F.struct(state["at"].alias("at"), run.alias("matches"))).alias("runs"))
+
+    def whole(matches: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(matches))).cast("int")
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / size).cast("int")), lambda k: F.slice(matches, k * size + 1, size))
+        none = F.array().cast("array<struct<at:int,matches:array<struct<value:string,skip:int,size:int>>>>")
+        starts = F.aggregate(runs, F.struct(F.lit(0).alias("at"), none.alias("runs")), ahead, lambda s: s["runs"])
+        return F.flatten(F.transform(starts, within))
+
+    return F.when(text.rlike(pattern), bound(sized, whole))
 
 
 def hot_span(run: Column, window: int, least: float) -> Column:
     """struct<first, last>: the first and last ends of windows of the run with least bits a character, or 0 and 0.
 
-    A window's counts follow from those of the one before: one character leaves and one enters. With c of each
-    character in n, the entropy is log2(n) - sum(c * log2(c)) / n; the sum is carried along.
+    A window's counts follow from those of the one before: one character leaves and one enters, and of the counts,
+    held as the signs of a string by character, these two are replaced. With c of each character in n, the entropy
+    is log2(n) - sum(c * log2(c)) / n; the sum is carried along. Runs are of ASCII.
     """
+    zero, n_codes = ord("0"), 128
     terms = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)))
     term, code = (lambda c: F.get(terms, c)), F.ascii
-    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+    count = lambda held, c: F.ascii(F.substring(held, c + 1, F.lit(1))) - zero
+    put = lambda held, c, n: F.overlay(held, F.chr(n + zero), c + 1, F.lit(1))
+    start = F.struct(F.lit("0" * n_codes).alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("first"), F.lit(0).alias("last"))
 
     def over(letters: Column) -> Column:
         def step(a: Column, i: Column) -> Column:
-            enters = code(F.get(letters, i))
-            leaves = F.when(i >= window, code(F.get(letters, i - window))).otherwise(F.lit(-1))
-            out = F.get(a["n"], leaves)
-            s = a["s"] - F.when(leaves >= 0, term(out) - term(out - 1)).otherwise(F.lit(0.0))
-            held = F.get(a["n"], enters) - F.when(leaves == enters, 1).otherwise(0)
+            enters, full = code(F.get(letters, i)), i >= window
+            leaves = code(F.get(letters, i - window))
+            out = count(a["n"], leaves)
+            s = a["s"] - F.when(full, term(out) - term(out - 1)).otherwise(F.lit(0.0))
+            held = count(a["n"], enters) - F.when(full & (leaves == enters), 1).otherwise(0)
             s = s + term(held + 1) - term(held)
-            n = F.transform(a["n"], lambda c, k: c + (k == enters).cast("int") - (k == leaves).cast("int"))
+            n = put(F.when(full, put(a["n"], leaves, out - 1)).otherwise(a["n"]), enters, held + 1)
             hot = (i >= window - 1) & (F.lit(math.log2(window)) - s / window >= least)
             first = F.when(hot & (a["first"] == 0), i + 1).otherwise(a["first"])
             return F.struct(n.alias("n"), s.alias("s"), first.alias("first"), F.when(hot, i + 1).otherwise(a["last"]).alias("last"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(letters) - 1), zero, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
+        return F.aggregate(F.sequence(F.lit(0), F.size(letters) - 1), start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
 
-    return F.get(F.transform(F.array(F.split(run, "")), over), F.lit(0))
+    return bound(F.split(run, ""), over)
 
 
 def entropy_spans(text: Column, kind: EntropyClass, allowed: tuple[str, ...]) -> Column:
@@ -142,5 +168,3 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(written(base).cast("binary"), 256).alias("base_sha256"),
         written(base + [k.name for k in rules.classes]).alias("spans"),
     )
-
-

@@ -138,6 +138,19 @@ def test_secrets(spark):
     assert scan_secrets(docs.filter("false")).collect() == []
 
 
+def test_secrets_in_runs_as_long_as_a_text(spark):
+    runs = ["ab-" * 350_000 + "ab", "abcdef" * 170_000, "0123456789" * 100_000, "A" * 1_000_000, "a" * 1_000_000, "7" * 1_000_000, "-=" * 500_000, "X9" * 300_000 + "EXAMPLE", "abcdefABCDEF" * 3000 + "k" * 11, "secret=" + "k9Qz7LmN2xVb8RtY4wPs6DfG1hJc3" * 9000, "a1b2c3d4e5f60718 " * 8000]
+    docs = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string")
+    for r in scan_secrets(docs).collect():
+        text = runs[r["doc_id"]]
+        got = [(k, s["start"], s["end"]) for k in ("assign", "access", "hex") for s in r[k]]
+        assert sorted(got) == sorted(base_spans(text)), text[:40]
+        if r["doc_id"] in (0, 3, 4, 5, 6, 7):
+            assert not r["entropy_key"]
+    hot = scan_secrets(docs.filter("doc_id = 9")).first()["entropy_key"]
+    assert [(s["start"], s["end"]) for s in hot] == [(0, len(runs[9]))]
+
+
 def test_secrets_whole_table(spark):
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     rows = op7_secret_scans(spark, DATA).collect()
