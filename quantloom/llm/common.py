@@ -16,14 +16,14 @@ HEAVY_KEYS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only where that is unset (tests, one machine)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir; a folder of our own only where that is unset and all runs on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quantloom-"))
-    return context.getCheckpointDir().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quantloom-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -35,6 +35,11 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def shares_ids(docs: DataFrame, name: str = "doc_id") -> bool:
+    """Whether rows share an id; nulls aside."""
+    return not docs.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more."""
     gc.collect()

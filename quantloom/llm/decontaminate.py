@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -81,42 +81,67 @@ def blocks(benchmark: DataFrame, block_bytes: int, unnamed: bool = False) -> Ite
         yield held
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8_000_000, unnamed: bool = False) -> DataFrame:
+def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
+    """The batches in lists of at least size bytes of text, but for the last."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.column("text").nbytes
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
+def runs_of(hits: list[tuple[int, int, list]]) -> list[list[int]]:
+    """The hit words as runs (start, end)."""
+    runs: list[list[int]] = []
+    for start, end in sorted((s, e) for s, e, _ in hits):
+        if runs and start <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], end)
+        else:
+            runs.append([start, end])
+    return runs
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 2_000_000, unnamed: bool = False, carry: Sequence[str] = (), chunk_bytes: int = 64_000_000) -> DataFrame:
     """doc_id, n_words, n_hit, items (ids whose windows occur, ascending) and spans (hit word runs) for each row of docs.
 
     The benchmark is the stated query set: it is sent to the executors in blocks of at most block_bytes, each a
-    broadcast of bounded size, and every document is searched for every block; memory holds one block's tables
-    at a time. No shuffle. Null or empty texts, and texts without words, have no words and no hits; so have all
-    documents if the benchmark is empty or null. Repeated items or windows count each item once; repeated
-    documents give one row each. Other columns are ignored. unnamed: items with a null item_id are searched too, and
-    those that occur are one null at the end of items; without it they are left out.
+    broadcast of bounded size, and every document is searched for every block. A task holds one block's tables at
+    a time; those of a single block are made once, those of several once for each chunk_bytes of texts. No shuffle.
+    Null or empty texts, and texts without words, have no words and no hits; so have all documents if the
+    benchmark is empty or null. Repeated items or windows count each item once; repeated documents give one row
+    each. Other columns are ignored. unnamed: items with a null item_id are searched too, and those that occur are
+    one null at the end of items; without it they are left out. With carry, carried is a struct of these columns.
     """
     context = docs.sparkSession.sparkContext
     sent = [context.broadcast(b) for b in blocks(benchmark, block_bytes, unnamed)]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = tables(sent[0].value, window) if len(sent) == 1 else None
-        for batch in batches:
-            texts = [words_of(t) for t in utf8(batch)]
+        for held in chunks(batches, chunk_bytes if len(sent) > 1 else 0):
+            texts = [t for batch in held for t in utf8(batch)]
             found: list[list] = [[] for _ in texts]
             for part in sent:
-                for table in only or tables(part.value, window):
-                    for k, words in enumerate(texts):
+                own = only or tables(part.value, window)
+                for k, words in enumerate(map(words_of, texts)):
+                    for table in own:
                         found[k].extend((start, start + table.length, items) for start, items in table.search(words))
-            hits, items, spans = [], [], []
-            for hit in found:
-                runs: list[list[int]] = []
-                for start, end, _ in sorted(hit, key=lambda h: h[:2]):
-                    if runs and start <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], end)
-                    else:
-                        runs.append([start, end])
-                hits.append(sum(e - s for s, e in runs))
-                items.append(sorted({i for h in hit for i in h[2]}, key=lambda i: (i is None, i or 0)))
-                spans.append([{"start": s, "end": e} for s, e in runs])
-            yield record(SCHEMA, [batch.column(0), [len(w) for w in texts], hits, items, spans])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, DDL)
+            at = 0
+            for batch in held:
+                here, at = range(at, at + batch.num_rows), at + batch.num_rows
+                runs = [runs_of(found[k]) for k in here]
+                items = [sorted({i for h in found[k] for i in h[2]}, key=lambda i: (i is None, i or 0)) for k in here]
+                spans = [[{"start": s, "end": e} for s, e in r] for r in runs]
+                out = record(SCHEMA, [batch.column("doc_id"), [len(words_of(texts[k])) for k in here], [sum(e - s for s, e in r) for r in runs], items, spans])
+                yield pa.RecordBatch.from_arrays([*out.columns, batch.column("carried")], names=[*out.schema.names, "carried"])
+
+    carried = F.struct(*carry) if carry else F.lit(None).cast("boolean")
+    bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", carried.alias("carried"))
+    out = bare.mapInArrow(scan, f"{DDL}, carried {bare.schema['carried'].dataType.simpleString()}")
+    return out if carry else out.drop("carried")
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

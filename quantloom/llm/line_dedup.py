@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import counted_join, dropped, fresh, read, staged
+from quantloom.llm.common import counted_join, dropped, fresh, read, shares_ids, staged
 
 DEPTH_PARTS = 4
 FIELD = "<*>"
@@ -174,17 +174,22 @@ def line_dedup(docs: DataFrame, rules: LineTemplates = LineTemplates()) -> DataF
 
     Native operations only. Lines travel as hashes; templates go back to lines by counted_join, so a template in
     a third of all documents meets in no task. Lines without a token stay. Null text stays null, with no lines;
-    rows with a null doc_id stay as they are. Rows that share a doc_id count as one document. Columns named
+    rows with a null doc_id stay as they are. Rows that share a doc_id are documents of their own. Columns named
     n_lines or n_dropped are replaced. Empty table: no rows.
     """
-    lines = staged(parsed(docs, rules), "lines")
+    key = fresh(docs.columns, "_key")
+    if shares_ids(docs):
+        docs = staged(docs.withColumn(key, F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "keyed")
+    else:
+        docs = docs.withColumn(key, F.col("doc_id").cast("long"))
+    lines = staged(parsed(docs.select(F.col(key).alias("doc_id"), "text"), rules), "lines")
     rows, found = recurring(lines, rules)
     found = staged(found, "found")
     drops = counted_join(rows, found, ["template"], rows.count())
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    doc, nth = fresh(names, "_doc"), fresh(names, "_nth")
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", key)]
+    doc, nth = fresh(docs.columns, "_doc"), fresh(docs.columns, "_nth")
     drops = drops.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("nth").alias(nth))
-    joined = docs.select(*names).join(drops, F.col("doc_id") == F.col(doc), "left")
+    joined = docs.select(*names, key).join(drops, F.col(key) == F.col(doc), "left")
     split = F.split("text", "\n")
     text = F.when(F.col(nth).isNull(), F.col("text")).otherwise(without(split, F.array_sort(nth)))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")

@@ -38,14 +38,16 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM d, unnest(range(1, len(w) - 1)) t(i)),
 c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g),
 r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM c, unnest([i, i + 1, i + 2]) u(p) WHERE n > 1 GROUP BY 1),
-l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, {_WORD}) GROUP BY 1),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, {_WORD}) GROUP BY 1),
 m AS (SELECT doc_id, source, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)),
-f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 25 * word_chars AS any_failed FROM m),
+  coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_words < 50 OR 100 * n_repeat_words > 50 * n_words
+  OR 100 * n_symbols > 25 * word_chars OR 100 * n_dup_lines > 50 * n_lines OR word_chars < 2 * n_words OR word_chars > 14 * n_words AS any_failed FROM m),
 h AS (SELECT source, count(*) AS n, sum(any_failed::INT) AS failed FROM f GROUP BY 1),
 p AS (SELECT sum(failed) / sum(n) AS mean, coalesce(var_samp(failed / n), 0) - sum(failed) / sum(n) * (1 - sum(failed) / sum(n)) * avg(1 / n) AS apart FROM h),
 q AS (SELECT mean, least(greatest(CASE WHEN apart <= 0 THEN 10000 ELSE mean * (1 - mean) / apart - 1 END, 2), 10000) AS weight FROM p),
-v AS (SELECT source, (failed + mean * weight) / (n + weight) > 0.6 AS host_failed FROM h, q)
+s AS (SELECT source, n + weight AS size, mean, (failed + mean * weight) / (n + weight) AS rate FROM h, q),
+v AS (SELECT source, rate - 2 * sqrt(rate * (1 - rate) / (size + 1)) > mean + 0.25 * (1 - mean) AS host_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_failed AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -13,22 +14,30 @@ from quantloom.llm.common import arrow_map, counted_join, read, record, staged,
 
 SYMBOLS = b"#*$%&|<>"
 CONTINUATION = bytes(range(0x80, 0xC0))
-SCHEMA = (("doc_id", pa.int64()), ("host", pa.string()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()))
-DDL = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+SCHEMA = (("doc_id", pa.int64()), ("host", pa.string()), *((c, pa.int64()) for c in COUNTS))
+DDL = "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS)
 
 
 @dataclass(frozen=True)
 class QualityRules:
-    """min_words, max_repeat_percent: the base rules. max_host_rate: a host goes if its shrunk failure rate is above.
+    """min_words, max_repeat_percent: the base rules, by which a document goes itself.
 
-    max_symbol_percent, max_dup_line_words_percent: further rules that count against the host alone.
+    Rules that count against the host alone: max_symbol_percent of word_chars, max_dup_line_percent of lines with a
+    word, and characters a word from least_word_chars to most_word_chars.
+    A host goes if its failure rate is surely too high: if the rate, shrunk by the prior, less sure standard
+    deviations, is above the corpus' rate by more than excess of what is between that and 1.
     least_prior, most_prior: bounds of the beta prior's weight in documents.
     """
 
     min_words: int = 50
     max_repeat_percent: int = 50
     max_symbol_percent: int = 25
-    max_host_rate: float = 0.6
+    max_dup_line_percent: int = 50
+    least_word_chars: int = 2
+    most_word_chars: int = 14
+    excess: float = 0.25
+    sure: float = 2.0
     least_prior: float = 2.0
     most_prior: float = 10_000.0
 
@@ -47,26 +56,31 @@ def repeated_words(words: list[bytes]) -> int:
     return total
 
 
-def measure(text: bytes) -> tuple[int, int, int, int, int]:
+def measure(text: bytes) -> tuple[int, ...]:
+    """COUNTS of a text."""
     words = text.split()
     lines = [x for x in text.split(b"\n") if x.strip()]
     return (
         len(words),
         len(b"".join(words).translate(None, CONTINUATION)),
         len(text) - len(text.translate(None, SYMBOLS)),
+        len(lines),
         len(lines) - len(set(lines)),
         repeated_words(words),
     )
 
 
-def measures(docs: DataFrame, host: str = "source") -> DataFrame:
-    """One row of counts a document; a null text counts as empty."""
+def measures(docs: DataFrame, host: str = "source", carry: Sequence[str] = ()) -> DataFrame:
+    """One row of counts a document, with the columns carry in a struct, carried; a null text counts as empty."""
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [measure(t) for t in utf8(batch)]
-        return record(SCHEMA, [batch.column(0), batch.column(1), *zip(*rows)])
+        own = record(SCHEMA, [batch.column(0), batch.column(1), *zip(*rows)])
+        return pa.RecordBatch.from_arrays([*own.columns, batch.column("carried")], names=[*own.schema.names, "carried"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), "text"), of, DDL)
+    carried = F.struct(*carry) if carry else F.lit(None).cast("boolean")
+    bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), "text", carried.alias("carried"))
+    return arrow_map(bare, of, f"{DDL}, carried {bare.schema['carried'].dataType.simpleString()}")
 
 
 def beta_prior(hosts: DataFrame, rules: QualityRules) -> tuple[float, float]:
@@ -86,30 +100,37 @@ def beta_prior(hosts: DataFrame, rules: QualityRules) -> tuple[float, float]:
     return mean * weight, (1 - mean) * weight
 
 
+def failures(measured: DataFrame, rules: QualityRules) -> DataFrame:
+    """measured with base_failed and any_failed."""
+    n, chars = F.col("n_words"), F.col("word_chars")
+    base = (n < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * n)
+    more = (100 * F.col("n_symbols") > rules.max_symbol_percent * chars) | (100 * F.col("n_dup_lines") > rules.max_dup_line_percent * F.col("n_lines"))
+    more = more | (chars < rules.least_word_chars * n) | (chars > rules.most_word_chars * n)
+    return measured.withColumn("base_failed", base).withColumn("any_failed", base | more)
+
+
 def host_verdicts(measured: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """host, n, failed, host_rate (posterior mean) and host_failed for each host; a null host is a host."""
     hosts = staged(measured.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("any_failed").cast("long")).alias("failed")), "hosts")
     a, b = beta_prior(hosts, rules)
-    rate = (F.col("failed") + F.lit(a)) / (F.col("n") + F.lit(a + b))
-    return hosts.withColumn("host_rate", rate).withColumn("host_failed", rate > rules.max_host_rate)
+    rate, mean = (F.col("failed") + F.lit(a)) / (F.col("n") + F.lit(a + b)), a / (a + b)
+    apart = F.sqrt(rate * (1 - rate) / (F.col("n") + F.lit(a + b + 1)))
+    return hosts.withColumn("host_rate", rate).withColumn("host_failed", rate - rules.sure * apart > mean + rules.excess * (1 - mean))
 
 
-def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), host: str = "source") -> DataFrame:
-    """Counts, rule results, host verdict and kept for each row of docs.
+def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), host: str = "source", carry: Sequence[str] = ()) -> DataFrame:
+    """Counts, rule results, host verdict and kept for each row of docs; with carry, carried, a struct of these columns.
 
     Documents are measured once and staged; hosts are pre-aggregated, so a host with a third of all rows is a
     few partial sums. The verdicts go back by counted_join. Null or empty text: no words, so it fails. Null
     host: a host of its own. Repeated rows: one result each. Empty table: no rows. Other columns are ignored.
     """
-    n, repeat = F.col("n_words"), F.col("n_repeat_words")
-    measured = measures(docs, host)
-    measured = measured.withColumn("base_failed", (n < rules.min_words) | (100 * repeat > rules.max_repeat_percent * n))
-    measured = measured.withColumn("any_failed", F.col("base_failed") | (100 * F.col("n_symbols") > rules.max_symbol_percent * F.col("word_chars")))
-    measured = measured.withColumn("host_key", F.coalesce(F.concat(F.lit("="), "host"), F.lit("null")))
-    measured = staged(measured, "measured")
-    verdicts = host_verdicts(measured, rules).withColumn("host_key", F.coalesce(F.concat(F.lit("="), "host"), F.lit("null"))).drop("host")
+    key = F.coalesce(F.concat(F.lit("="), "host"), F.lit("null"))
+    measured = staged(failures(measures(docs, host, carry), rules).withColumn("host_key", key), "measured")
+    verdicts = host_verdicts(measured, rules).withColumn("host_key", key)
     judged = counted_join(measured, verdicts.select("host_key", "n", "host_rate", "host_failed"), ["host_key"], measured.count())
-    return judged.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")).drop("host_key", "n")
+    out = judged.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")).drop("host_key", "n")
+    return out if carry else out.drop("carried")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

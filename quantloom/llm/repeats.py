@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import counted_join, dropped, read, record, release, staged, utf8
+from quantloom.llm.common import counted_join, dropped, read, record, release, shares_ids, staged, utf8
 
 SCHEMA = (("doc", pa.int64()), ("anchor", pa.int64()), ("region", pa.int64()), ("at", pa.int64()), ("before", pa.int32()), ("starts", pa.int32()))
 DDL = "doc long, anchor long, region long, at long, before int, starts int"
@@ -360,10 +360,10 @@ def remove_repeats(docs: DataFrame, rules: Repeats = Repeats()) -> DataFrame:
     bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     named, none = bare.filter(F.col("doc_id").isNotNull()), F.lit(None).cast("array<struct<start: long, end: long>>")
     unnamed = cut(bare.filter(F.col("doc_id").isNull()).withColumn("found", none), "doc_id")
-    if named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        texts = named.select(F.col("doc_id").alias("doc"), "text")
-    else:  # numbers in the order of doc_id and text instead of ids
+    if shares_ids(named):  # numbers in the order of doc_id and text instead of ids
         texts = staged(named.distinct().orderBy("doc_id", "text").withColumn("doc", F.monotonically_increasing_id()), "texts")
+    else:
+        texts = named.select(F.col("doc_id").alias("doc"), "text")
     listed = later(texts, rules).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("found"))
     release(spark)
     if "doc_id" in texts.columns:

@@ -92,6 +92,14 @@ def test_families_are_counted_whatever_the_copies(spark):
     assert all(out[i] == t for i, t in docs if i >= 4000)
 
 
+def test_rows_that_share_an_id(spark):
+    rng = random.Random(2)
+    own = [words(rng, 9) for _ in range(40)]
+    docs = [(7, own[i] + "\nAll rights reserved" if i % 2 else "All rights reserved\n" + own[i], "x") for i in range(40)]
+    out = [r["text"] for r in line_dedup(spark.createDataFrame(docs, "doc_id long, text string, _key string")).collect()]
+    assert sorted(out) == sorted(own)
+
+
 def test_header_and_footer_whatever_their_wording(spark):
     rng = random.Random(11)
     docs, pages = [], []

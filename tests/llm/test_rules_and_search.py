@@ -20,7 +20,7 @@ def measured(text):
     grams = Counter(zip(words, words[1:], words[2:]))
     inside = {i + k for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for k in range(3)}
     lines = [x for x in text.split("\n") if SPACE.search(x)]
-    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), sum(x in lines[:i] for i, x in enumerate(lines)), len(inside)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines), sum(x in lines[:i] for i, x in enumerate(lines)), len(inside)
 
 
 def test_measures():
@@ -45,6 +45,31 @@ def test_hosts(spark):
     assert quality_rules(docs.filter("false")).collect() == []
 
 
+def page(rng, kind=""):
+    line = lambda n: " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randrange(3, 8))) for _ in range(n))
+    lines = [line(8) for _ in range(10)]
+    odd = {"short": ["too short"], "lines": [lines[0], *lines[0:1] * 8, *lines], "symbols": ["#*$%&|<>" * 20, *lines], "long": [line(60).replace(" ", "") + " x"] + ["q" * 200 for _ in range(60)]}
+    return "\n".join(odd.get(kind, lines))
+
+
+def test_a_bad_host_goes_at_default_parameters(spark):
+    """One host of twelve has junk in half its documents, by each of the rules; its good half goes too, and no one else's."""
+    rng = random.Random(8)
+    for kind in ("short", "lines", "symbols", "long"):
+        docs = [(i, page(rng, kind if i % (2 if i < 100 else 12) == 0 else ""), f"host{i // 100}") for i in range(1200)] + [(5000 + i, page(rng, kind if i else ""), "little") for i in range(3)]
+        out = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+        assert all(r["any_failed"] == (page_kind > 0) for r, page_kind in ((out[i], i % (2 if i < 100 else 12) == 0) for i in range(1200)))
+        assert {i for i, r in out.items() if r["host_failed"]} == set(range(100)), kind
+        changed = [i for i, r in out.items() if not r["base_failed"] and not r["kept"]]
+        assert changed and all(i < 100 for i in changed) and len(changed) >= 50
+
+
+def test_columns_that_are_carried(spark):
+    docs = spark.createDataFrame([(None, None, "a", 1.5), (1, "x y", None, None)], "doc_id long, text string, source string, kept double")
+    out = quality_rules(docs, carry=["doc_id", "text", "kept"]).select("carried.*").collect()
+    assert sorted(map(tuple, out), key=str) == [(1, "x y", None), (None, None, 1.5)]
+
+
 def test_prior_from_moments(spark):
     rates = [(100, 10), (100, 20), (100, 30), (100, 40)]
     a, b = beta_prior(spark.createDataFrame(rates, "n long, failed long"), QualityRules())
@@ -79,9 +104,10 @@ def test_windows(spark):
     frame = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, items string")
     bench = spark.createDataFrame([(*b, 1) for b in items], "item_id long, text string, n_words int")
     want = searched(docs, [b for b in items if b[0] is not None])
-    for block in (8_000_000, 60):
-        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate(frame, bench, block_bytes=block).collect()}
-        assert got == want
+    for block, chunk in ((2_000_000, 0), (60, 200), (60, 1 << 20)):
+        out = decontaminate(frame, bench, block_bytes=block, chunk_bytes=chunk, carry=["doc_id", "items"]).collect()
+        assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in out} == want
+        assert all(r["carried"]["doc_id"] == r["doc_id"] and r["carried"]["items"] == "x" for r in out)
     none = decontaminate(frame, bench.filter("false")).collect()
     assert len(none) == len(docs) and not any(r["n_hit"] for r in none) and decontaminate(frame.filter("false"), bench).collect() == []
 
