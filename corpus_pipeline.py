@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import read, shared_folder
+from quantloom.llm.common import read, shared_folder, staged
 from quantloom.llm.decontaminate import decontaminate
 from quantloom.llm.line_dedup import line_dedup
 from quantloom.llm.minhash import near_duplicates
@@ -18,15 +18,9 @@ from quantloom.llm.quality_rules import quality_rules
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id (null too) has a verdict row; ids are unique, so no key is large."""
-    ids = verdicts.select(F.col("doc_id").alias("kept_id"))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or their host's verdict reject go."""
-    return keep(docs, quality_rules(docs).filter("kept"))
+    return quality_rules(docs, carry=COLUMNS).filter("kept").select("carried.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +30,16 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near-duplicates stays."""
-    return keep(docs, near_duplicates(docs).filter("kept"))
+    """One row of each group of near-duplicates stays, that with the least id; rows are told by a number that is written with them."""
+    rows = staged(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+    kept = near_duplicates(rows, row="row").filter("kept").select("row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
-    return keep(docs, decontaminate(docs, read(spark, sf_dir, "benchmark"), unnamed=True).filter("n_hit = 0"))
+    found = decontaminate(docs, read(spark, sf_dir, "benchmark"), unnamed=True, carry=COLUMNS)
+    return found.filter("n_hit = 0").select("carried.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
