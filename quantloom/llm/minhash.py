@@ -284,10 +284,9 @@ def near_duplicates(docs: DataFrame, rules: NearDuplicates = NearDuplicates(), r
     dropped(nodes)
     release(spark)
     labels = components(links).select(F.col("v").alias("node"), "m")
-    named = groups.join(labels, "node", "left").select("node", *KEY, "n", "least", F.coalesce("m", "node").alias("m"), F.col("m").isNotNull().alias("linked"))
+    named = groups.join(labels, "node", "left").select("node", *KEY, "n", "least", F.coalesce("m", "node").alias("m"))
     named = staged(named, "named")
-    linked = named.filter("linked").select("m").distinct()
-    tops = named.join(linked, "m", "left_semi").groupBy("m").agg(F.min("least").alias("top"), F.count("*").alias("n_nodes"))
+    tops = named.groupBy("m").agg(F.min("least").alias("top"), F.count("*").alias("n_nodes")).filter("n_nodes > 1")
     tops = staged(tops, "tops")
     topped = counted_join(named, tops, ["m"], named.count(), "left", n="n_nodes").select(*KEY, "n", F.coalesce("top", "least").alias("top"), F.col("top").isNotNull().alias("linked"))
     topped = staged(topped.filter((F.col("n") > 1) | F.col("linked")).drop("linked"), "topped")

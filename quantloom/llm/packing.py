@@ -106,20 +106,31 @@ class Slot:
     offset: int
 
 
+def by_sum(sums: np.ndarray, *of: np.ndarray) -> dict[int, tuple[np.ndarray, ...]]:
+    """Hash table from each sum to the entries of each array that have it, in their order."""
+    order = np.argsort(sums, kind="stable")
+    keys, at = np.unique(sums[order], return_index=True)
+    return dict(zip(keys.tolist(), zip(*(np.split(x[order], at[1:]) for x in of)), strict=True)) if len(keys) else {}
+
+
 class LengthSums:
-    """The pieces left of each length, with the pairs of lengths hashed by their sum; a triple is a third beside such a pair."""
+    """The pieces left of each length, and hash tables of the sums of pairs and of triples of lengths.
+
+    An entry of pairs is two lengths, the shorter one first. An entry of triples is a third length, the longest
+    first, beside a sum of pairs, so that there are at most size ** 2 entries for all triples.
+    """
 
     def __init__(self, counts: dict[int, int], size: int):
         self.left = np.zeros(size + 1, np.int64)
         for k, n in counts.items():
             self.left[k] = n
         lengths = np.flatnonzero(self.left)
-        a, b = np.meshgrid(lengths, lengths, indexing="ij")
+        a, b = (x.ravel() for x in np.meshgrid(lengths, lengths, indexing="ij"))
         own = (a <= b) & (a + b < size)
-        a, b = a[own], b[own]
-        order = np.argsort(a + b, kind="stable")
-        sums, at = np.unique((a + b)[order], return_index=True)
-        self.pairs = dict(zip(sums.tolist(), zip(np.split(a[order], at[1:]), np.split(b[order], at[1:])), strict=True)) if len(sums) else {}
+        self.pairs = by_sum((a + b)[own], a[own], b[own])
+        third, pair = (x.ravel() for x in np.meshgrid(lengths[::-1], np.asarray(sorted(self.pairs), np.int64), indexing="ij"))
+        own = third + pair < size
+        self.triples = by_sum((third + pair)[own], third[own])
 
     def pair(self, gap: int) -> tuple[int, int] | None:
         """Of the available pairs with this sum, the one with the longest length."""
@@ -137,12 +148,14 @@ class LengthSums:
             return (gap,)
         if found := self.pair(gap):
             return found
-        for third in np.flatnonzero(self.left[: max(gap - 1, 0)])[::-1].tolist():
-            self.left[third] -= 1
-            found = self.pair(gap - third)
-            self.left[third] += 1
-            if found:
-                return (third, *found)
+        (thirds,) = self.triples.get(gap, ((),))
+        for third in thirds:
+            if self.left[third] > 0:
+                self.left[third] -= 1
+                found = self.pair(gap - int(third))
+                self.left[third] += 1
+                if found:
+                    return (int(third), *found)
         return None
 
     def take(self, pattern: tuple[int, ...]) -> tuple[tuple[int, ...], int]:
@@ -158,7 +171,7 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]
     """Patterns of lengths with the number of sequences of each. counts: pieces of each length from 1 to size.
 
     First, from the longest length down, multiples of a pattern whose gap is filled exactly by a single, a pair
-    or a triple, found in the hashed length sums under what is left; then best fit, the longest length that
+    or a triple, looked up in the hash tables of sums under what is left; then best fit, the longest length that
     fits. Each pattern is used until one of its lengths runs out, so the patterns number a few a length at most.
     """
     sums, out = LengthSums(counts, size), []
@@ -215,20 +228,21 @@ def pieces(docs: DataFrame, size: int, tokenizer: str | None, end_id: int) -> Da
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, DDL)
 
 
-def pack(docs: DataFrame, size: int = 2048, tokenizer: str | None = None, end_id: int = 0, deal: int = 256) -> DataFrame:
+def pack(docs: DataFrame, size: int = 2048, tokenizer: str | None = None, end_id: int = 0, share: int = 1_000_000) -> DataFrame:
     """Pieces of docs with sequence_id and offset in sequences of at most size ids.
 
     The plan is made on the counts of pieces by length, at most size rows whatever the input. A piece's rank
-    among those of its length is its rank within one of deal shares of that length plus the shares before, so
-    no length is ranked in one task. A null or empty text is the end id alone. Repeated rows are packed each;
+    among those of its length is its rank within one of the shares of that length plus the shares before; there
+    are as many shares as it takes for share pieces at most in each, about, so no length is ranked in one task. A null or empty text is the end id alone. Repeated rows are packed each;
     an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    cut = staged(pieces(docs, size, tokenizer, end_id), "pieces").withColumn("share", spread(["doc_id", "piece"], deal))
+    cut = staged(pieces(docs, size, tokenizer, end_id), "pieces")
+    cut = cut.withColumn("share", spread(["doc_id", "piece", "ids_crc32"], max(256, -(-cut.count() // share))))
     shares = staged(cut.groupBy("length", "share").agg(F.count("*").alias("n")), "shares")
     counts = {r["length"]: r["n"] for r in shares.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = shares.withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("share")) - F.col("n"))
-    ranked = cut.withColumn("own", F.row_number().over(W.partitionBy("length", "share").orderBy("doc_id", "piece", "start")) - 1)
+    ranked = cut.withColumn("own", F.row_number().over(W.partitionBy("length", "share").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
     ranked = ranked.join(before.select("length", "share", "before"), ["length", "share"])
     by_length: dict[int, list[Slot]] = {}
     for slot in slots(plan(counts, size)):

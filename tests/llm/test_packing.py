@@ -73,7 +73,7 @@ def test_packed_documents(spark):
     texts = {i: " ".join(rng.choice(["alpha", "Beta,", "x.", "ñu", "12"]) for _ in range(rng.choice([0, 1, 3, 20, 60, 200]))) for i in range(300)}
     texts |= dict(enumerate([None, *ODD], 1000))
     docs = spark.createDataFrame([(i, t, 5, "x") for i, t in texts.items()], "doc_id long, text string, length int, share string")
-    rows = pack(docs, size=64, deal=5).collect()
+    rows = pack(docs, size=64, share=5).collect()
     n, least = check(rows, texts, 64)
     assert least <= n <= best_fit(Counter(r["length"] for r in rows), 64)
 
