@@ -132,5 +132,14 @@ def short_hash(c: str | Column, n: int = 12) -> Column:
     return F.substring(F.sha2(col(c).cast("binary"), 256), 1, n)
 
 
+def fixed(c: str | Column, places: int = 4) -> Column:
+    """A number with so many places and no separators; n/a for NULL."""
+    return F.coalesce(F.regexp_replace(F.format_number(finite(c), places), ",", ""), F.lit("n/a"))
+
+
 def percent(c: str | Column, places: int = 2) -> Column:
-    return F.concat(F.format_number(100 * col(c), places), F.lit("%"))
+    return F.coalesce(F.concat(F.regexp_replace(F.format_number(100 * finite(c), places), ",", ""), F.lit("%")), F.lit("n/a"))
+
+
+def money(c: str | Column, places: int = 2) -> Column:
+    return F.coalesce(F.concat(F.lit("$"), F.format_number(finite(c), places)), F.lit("n/a"))

@@ -16,6 +16,19 @@ HOURLY = (540, 600, 660, 720, 780, 840, 900, 930)
 PERIODS = {"1d": 252, "1h": 1638}
 
 
+def periods_from_bar(bar: str | None) -> int:
+    """Sessions a year of a bar size; of an unknown one, of days."""
+    return PERIODS.get((bar or "").strip().lower(), PERIODS["1d"])
+
+
+def annual_factor(freq: str, trading_days: int = PERIODS["1d"]) -> int:
+    """Rows a year of a frequency of returns."""
+    factors = {"daily": trading_days, "weekly": 52, "monthly": 12}
+    if freq not in factors:
+        raise ValueError(f"frequency {freq!r} is none of {list(factors)}")
+    return factors[freq]
+
+
 def is_trading_day(day: Column) -> Column:
     return (F.weekday(day) < 5) & ~F.date_format(day, "MM-dd").isin(*CLOSED)
 

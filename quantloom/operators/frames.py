@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from quantloom.functions.columns import finite, last_known, ts
 
 
+#: The numeric columns of a price table.
+PRICES = ("open", "high", "low", "close", "adj_close", "volume")
+
+
 def normalize(df: DataFrame, required: Sequence[str] = (), numeric: Sequence[str] = (), date: str | None = "date") -> DataFrame:
     """Lower-case column names, checked; the date column as DATE, rows without one dropped; numeric ones as finite doubles."""
     df = df.toDF(*(c.lower().strip() for c in df.columns))
@@ -74,10 +78,35 @@ def merge_first_wins(first: DataFrame, *more: DataFrame, keys: Sequence[str] = (
     return out
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """target with source's rows put in by key, last write wins; columns that source lacks stay NULL for its rows."""
-    kept = target.join(source.select(*keys), list(keys), "left_anti")
-    return kept.unionByName(source, allowMissingColumns=True).select(*target.columns)
+def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order: Column | None = None) -> DataFrame:
+    """target with source's rows put in by key; columns that source lacks stay NULL for its rows.
+
+    Of source's rows of one key the last by order is put in; without order, the one with the greatest values. A
+    null in a key is a value like others.
+    """
+    rest = [c for c in source.columns if c not in keys]
+    rank = [order.desc_nulls_last()] if order is not None else []
+    source = dedup_first(source, keys, [*rank, *(F.desc_nulls_last(c) for c in (rest or keys))])
+    own = source.select(*(F.col(k).alias(f"_key_{k}") for k in keys))
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return target.join(own, same, "left_anti").unionByName(source, allowMissingColumns=True).select(*target.columns)
+
+
+def price_frame(df: DataFrame, required: Sequence[str] = ("adj_close",), key: str | None = "ticker", on: str = "date", order: Column | None = None) -> DataFrame:
+    """A price table checked: names in lower case with _ for blanks, required columns there, times without a zone,
+    numbers as finite doubles, and of rows of one (key, time) the last by order (else the greatest) alone.
+    """
+    df = df.toDF(*(c.lower().strip().replace(" ", "_") for c in df.columns))
+    missing = [c for c in (on, *required) if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    kind = dict(df.dtypes)[on]
+    time = F.col(on) if kind in ("date", "timestamp_ntz") else F.try_to_timestamp(F.col(on).cast("string")).cast("timestamp_ntz")
+    df = df.withColumn(on, time).filter(F.col(on).isNotNull())
+    df = df.withColumns({c: finite(F.col(c).try_cast("double")) for c in PRICES if c in df.columns})
+    keys = [k for k in (key, on) if k and k in df.columns]
+    rank = [order.desc_nulls_last()] if order is not None else []
+    return dedup_first(df, keys, [*rank, *(F.desc_nulls_last(c) for c in df.columns if c not in keys)])
 
 
 def fill_forward(df: DataFrame, columns: Sequence[str], key: str = "ticker") -> DataFrame:
@@ -92,6 +121,14 @@ def except_in(df: DataFrame, excluded: DataFrame, key: str = "symbol") -> DataFr
     return df.join(excluded.select(key), key, "left_anti")
 
 
+def dummies(df: DataFrame, group: str, keys: Sequence[str] = ("ticker",)) -> DataFrame:
+    """(date, keys, param, value): 1 or 0 for each group of a date but its first, named group_<name>; a null group has zeros."""
+    seen = df.select("date", F.col(group).alias("_g")).filter(F.col("_g").isNotNull()).distinct()
+    seen = seen.withColumn("_first", F.min("_g").over(W.partitionBy("date"))).filter(F.col("_g") > F.col("_first"))
+    value = F.coalesce(F.col(group) == F.col("_g"), F.lit(False)).cast("double")
+    return df.join(seen, "date").select("date", *keys, F.concat(F.lit(f"{group}_"), "_g").alias("param"), value.alias("value"))
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that a primary key would refuse, with their counts."""
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).filter("n_rows > 1")

@@ -42,10 +42,36 @@ def mean_corr(df: DataFrame, columns: Sequence[str], method: str = "spearman", m
     return cells.groupBy("row", "col").agg(ratio(F.sum(F.col("corr") * F.col("_w")), F.sum(known)).alias("corr"))
 
 
+def named_once(columns: Sequence[str]) -> list[str]:
+    """The names, refused if one comes twice."""
+    if len(set(columns)) < len(columns):
+        raise ValueError(f"names come twice: {sorted({c for c in columns if list(columns).count(c) > 1})}")
+    return list(columns)
+
+
+def paired(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), diagonal: bool = False, values: Sequence[str] = ()) -> DataFrame:
+    """(keep, row, col, a, b): for each row of df, its values in each pair of columns; values: other columns to take them from."""
+    values = list(values or columns)
+    pairs = (combinations_with_replacement if diagonal else combinations)(range(len(columns)), 2)
+    cells = [F.struct(F.lit(columns[i]).alias("row"), F.lit(columns[j]).alias("col"), F.col(values[i]).alias("a"), F.col(values[j]).alias("b")) for i, j in pairs]
+    return df.select(*keep, F.inline(F.array(*cells)))
+
+
 def series_corr(df: DataFrame, columns: Sequence[str], method: str = "pearson", dropna: str = "any") -> DataFrame:
+    """(row, col, corr): all ordered pairs of the columns of a wide frame, one row a date, however many columns.
+
+    Each pair is a group of its own. No rows, no cells.
+    """
+    columns = named_once(columns)
     if dropna != "none":
-        df = df.na.drop(dropna, subset=list(columns))
-    return corr_long(df, columns, method=method)
+        df = df.na.drop(dropna, subset=columns)
+    used = columns
+    if method == "spearman":
+        used = [f"_r_{c}" for c in columns]
+        df = df.withColumns({r: average_rank(c) for r, c in zip(used, columns, strict=True)})
+    half = paired(df, columns, diagonal=True, values=used).groupBy("row", "col").agg(corr(F.col("a"), F.col("b")).alias("corr"))
+    both = F.when(F.col("row") == F.col("col"), F.array(F.struct("row", "col"))).otherwise(F.array(F.struct("row", "col"), F.struct(F.col("col").alias("row"), F.col("row").alias("col"))))
+    return half.select(F.explode(both).alias("cell"), "corr").select("cell.row", "cell.col", "corr")
 
 
 def rolling_corr(df: DataFrame, x: str, y: str, window: int = 63, method: str = "pearson") -> DataFrame:
@@ -71,11 +97,11 @@ def rolling_corr(df: DataFrame, x: str, y: str, window: int = 63, method: str =
 
 
 def rolling_matrices(df: DataFrame, columns: Sequence[str], window: int = 63) -> DataFrame:
-    """(date, row, col, corr) of each pair of columns over full windows of dates, on the rows complete for the pair."""
-    over = W.orderBy("date")
-    wide = df.select("date", F.count(F.lit(1)).over(rolling(window, over)).alias("_n"), *(corr(F.col(a), F.col(b), rolling(window, over)).alias(f"_{i}") for i, (a, b) in enumerate(combinations(columns, 2))))
-    cells = [F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"), F.col(f"_{i}").alias("corr")) for i, (a, b) in enumerate(combinations(columns, 2))]
-    return wide.filter(F.col("_n") == window).select("date", F.inline(F.array(*cells)))
+    """(date, row, col, corr) of each pair of columns over full windows of dates, on the rows complete for the pair; a partition a pair."""
+    over = W.partitionBy("row", "col").orderBy("date")
+    cells = paired(df, named_once(columns), ["date"])
+    cells = cells.select("date", "row", "col", F.count(F.lit(1)).over(rolling(window, over)).alias("_n"), corr(F.col("a"), F.col("b"), rolling(window, over)).alias("corr"))
+    return cells.filter(F.col("_n") == window).drop("_n")
 
 
 def upper_triangle(cells: DataFrame, columns: Sequence[str], diagonal: bool = False) -> DataFrame:
@@ -93,7 +119,10 @@ def gram(df: DataFrame, y: str, x: Sequence[str], by: Sequence[str] = ()) -> Dat
 
 
 def solved(sums: DataFrame, x: Sequence[str], by: Sequence[str], by_ddl: str) -> DataFrame:
-    """alpha and betas of the least norm, a row for each row of sums, by pseudo-inverses of tiny matrices in Arrow batches."""
+    """alpha and betas of the least norm, a row for each row of sums, by pseudo-inverses of tiny matrices in Arrow batches.
+
+    Rows of sums over no complete rows (n = 0) have none.
+    """
     k, names = len(x) + 1, ["alpha", *x]
 
     def solve(batches):
@@ -105,7 +134,7 @@ def solved(sums: DataFrame, x: Sequence[str], by: Sequence[str], by_ddl: str) ->
                 yield pd.concat([pdf[list(by)].reset_index(drop=True), pd.DataFrame(beta, columns=names)], axis=1)
 
     ddl = ", ".join([by_ddl, *(f"`{c}` double" for c in names)] if by_ddl else [f"`{c}` double" for c in names])
-    return sums.select(*by, "zz", "zy").mapInPandas(solve, ddl)
+    return sums.filter("n > 0").select(*by, "zz", "zy").mapInPandas(solve, ddl)
 
 
 def ts_regression(df: DataFrame, y: str, x: Sequence[str], lags: int = 4) -> DataFrame:
@@ -167,7 +196,7 @@ def rolling_regression(df: DataFrame, y: str, x: Sequence[str], window: int = 63
         good = good & F.col(c).isNotNull()
     z = [F.lit(1.0), *(F.col(c) for c in x)]
     total = lambda c: F.coalesce(F.sum(F.when(good, c)).over(frame), F.lit(0.0))
-    sums = df.select("date", F.count(F.lit(1)).over(frame).alias("_n"), F.array(*(total(a * b) for a in z for b in z)).alias("zz"), F.array(*(total(a * F.col(y)) for a in z)).alias("zy"))
+    sums = df.select("date", F.count(F.lit(1)).over(frame).alias("_n"), F.array(*(total(a * b) for a in z for b in z)).alias("zz"), F.array(*(total(a * F.col(y)) for a in z)).alias("zy"), F.count(F.when(good, 1)).over(frame).alias("n"))
     return solved(sums.filter(F.col("_n") == window), x, ["date"], "date date")
 
 
@@ -178,17 +207,40 @@ def cross_section_betas(df: DataFrame, y: str, x: Sequence[str], min_names: int
     if group is None:
         wide = solved(gram(df, y, x, ["date"]), x, ["date"], "date date")
         return wide.unpivot(["date"], ["alpha", *x], "param", "beta")
-    names = list(x)
+    return grouped_betas(df, y, list(x), group)
+
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        dummies = pd.get_dummies(pdf[group].astype("string"), prefix=group, dtype=float).iloc[:, 1:]
-        z = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy(float), dummies.to_numpy(float)])
-        v = pdf[y].to_numpy(float)
-        good = np.isfinite(v) & np.isfinite(z).all(1)
-        beta = np.linalg.pinv(z[good]) @ v[good]
-        return pd.DataFrame({"date": pdf["date"].iloc[0], "param": ["alpha", *names, *dummies.columns], "beta": beta})
+def grouped_betas(df: DataFrame, y: str, x: list[str], group: str) -> DataFrame:
+    """(date, param, beta) with dummies group_<name> for all groups but a date's first among its complete rows.
+
+    Dummies take out each group's means, so the factors' betas come from sums of products within the groups; alpha
+    is what is left of the first group's mean, a dummy's beta what is left of its group's beside it. The sums
+    combine on the map side; a null group counts as the date's first. Only k x k systems, one a date, are
+    solved in Arrow batches.
+    """
+    k = len(x)
+    base = F.min(group).over(xs())
+    df = df.withColumn("_g", F.coalesce(F.col(group).cast("string"), base.cast("string"), F.lit(""))).na.drop("any", subset=[y, *x])
+    v, n = [F.col(c) for c in x], F.col("n")
+    sums = df.groupBy("date", "_g").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.array(*(F.sum(c) for c in v)).alias("sx"),
+        F.array(*(F.sum(a * b) for a in v for b in v)).alias("sxx"), F.array(*(F.sum(a * F.col(y)) for a in v)).alias("sxy"),
+    )
+    within = F.array(*(F.col("sxx")[i * k + j] - F.col("sx")[i] * F.col("sx")[j] / n for i in range(k) for j in range(k)))
+    beside = F.array(*(F.col("sxy")[i] - F.col("sx")[i] * F.col("sy") / n for i in range(k)))
+    each = F.struct(F.col("_g").alias("g"), (F.col("sy") / n).alias("my"), F.array(*(F.col("sx")[i] / n for i in range(k))).alias("mx"))
+    by = sums.select("date", within.alias("zz"), beside.alias("zy"), each.alias("each"))
+    by = by.groupBy("date").agg(F.array(*(F.sum(F.col("zz")[i]) for i in range(k * k))).alias("zz"), F.array(*(F.sum(F.col("zy")[i]) for i in range(k))).alias("zy"), F.array_sort(F.collect_list("each")).alias("each"))
+    by = by.select("date", "zz", "zy", F.transform("each", lambda e: e["g"]).alias("g"), F.transform("each", lambda e: e["my"]).alias("my"), F.flatten(F.transform("each", lambda e: e["mx"])).alias("mx"))
+
+    def solve(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                beta = np.linalg.pinv(np.asarray(r.zz, float).reshape(k, k), rcond=1e-12, hermitian=True) @ np.asarray(r.zy, float)
+                left = np.asarray(r.my, float) - np.asarray(r.mx, float).reshape(-1, k) @ beta
+                yield pd.DataFrame({"date": r.date, "param": ["alpha", *x, *(f"{group}_{g}" for g in r.g[1:])], "beta": [left[0], *beta, *(left[1:] - left[0])]})
 
-    return df.select("date", group, y, *names).groupBy("date").applyInPandas(one, "date date, param string, beta double")
+    return by.mapInPandas(solve, "date date, param string, beta double")
 
 
 def fama_macbeth(betas: DataFrame, lags: int = 4) -> DataFrame:

@@ -65,12 +65,22 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("ticker").alias("symbol"), "last_price", "adv", (F.col("last_price") * F.col("shares_out")).alias("market_cap"))
 
 
-def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(date, a, b, c): three brands' returns, as a wide frame of return series."""
+#: All brands of the part table.
+BRANDS = [f"Brand#{i}" for i in range(1, 26)]
+#: Three of them, as the names of a pair or of a regression's series.
+SERIES = {"Brand#11": "a", "Brand#22": "b", "Brand#5": "c"}
+
+
+def wide_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date, each of BRANDS): weekly returns as a wide frame of return series."""
     rets = asset_returns(prices(spark, sf_dir, "week"))
-    rets = rets.filter(F.col("ticker").isin("Brand#11", "Brand#22", "Brand#33"))
-    names = {"Brand#11": "a", "Brand#22": "b", "Brand#33": "c"}
-    return rets.groupBy("date").pivot("ticker", list(names)).agg(F.first("ret", ignorenulls=True)).withColumnsRenamed(names)
+    return rets.groupBy("date").pivot("ticker", BRANDS).agg(F.first("ret", ignorenulls=True))
+
+
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date, a, b, c): the returns of SERIES beside each other, on all dates of the table."""
+    wide = wide_returns(spark, sf_dir)
+    return wide.select("date", *(F.col(f"`{k}`").alias(v) for k, v in SERIES.items()))
 
 
 def factor_panel(df: DataFrame) -> DataFrame:
@@ -105,8 +115,9 @@ VIEWS = {
         JOIN (SELECT ticker, max_by(shares_out, date) AS shares_out FROM funda GROUP BY 1) r USING (ticker)""",
     "rets": "SELECT date, ticker, adj_close / lag(adj_close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM prices",
     "wrets": "SELECT date, ticker, adj_close / lag(adj_close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM weekly",
-    "series": """SELECT date, max(ret) FILTER (ticker = 'Brand#11') AS a, max(ret) FILTER (ticker = 'Brand#22') AS b, max(ret) FILTER (ticker = 'Brand#33') AS c
-        FROM wrets WHERE ticker IN ('Brand#11', 'Brand#22', 'Brand#33') GROUP BY date""",
+    "series": "SELECT date, " + ", ".join(f"max(ret) FILTER (ticker = '{k}') AS {v}" for k, v in SERIES.items()) + " FROM wrets GROUP BY date",
+    "wgrid": "SELECT d.date, t.ticker, w.ret FROM (SELECT DISTINCT date FROM wrets) d CROSS JOIN (SELECT DISTINCT ticker FROM wrets) t LEFT JOIN wrets w ON w.date = d.date AND w.ticker = t.ticker",
+    "pgrid": "SELECT d.date, t.ticker, w.adj_close FROM (SELECT DISTINCT date FROM prices) d CROSS JOIN (SELECT DISTINCT ticker FROM prices) t LEFT JOIN prices w ON w.date = d.date AND w.ticker = t.ticker",
     "sig": """SELECT date, ticker, adj_close / lag(adj_close, 1) OVER w - 1 AS x, lag(adj_close, 1) OVER w / lag(adj_close, 2) OVER w - 1 AS y,
         adj_close / avg(adj_close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) - 1 AS z,
         lead(adj_close, 1) OVER w / adj_close - 1 AS fwd_ret FROM weekly WINDOW w AS (PARTITION BY ticker ORDER BY date)""",

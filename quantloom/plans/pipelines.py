@@ -33,13 +33,19 @@ def performance_block(prices: DataFrame, weights: DataFrame) -> tuple[DataFrame,
     return figures.select(*(F.bround(c, 4).alias(c) if kind == "double" else F.col(c) for c, kind in figures.dtypes)), port
 
 
+def correlation_block(scores: DataFrame, names: Sequence[str], series: DataFrame | None = None, series_names: Sequence[str] = (), dropna: str = "any") -> dict[str, DataFrame]:
+    """cs_corr, the mean over dates of the scores' matrices, and ts_corr, the matrix of return series where there are some."""
+    out = {"cs_corr": mean_corr(scores, list(names))}
+    if series is not None:
+        out["ts_corr"] = series_corr(series, list(series_names), dropna=dropna)
+    return out
+
+
 def tearsheet(prices: DataFrame, weights: DataFrame, scores: DataFrame, names: Sequence[str], horizon: int = 21, series: DataFrame | None = None, series_names: Sequence[str] = ()) -> dict[str, DataFrame]:
     """Tables by name, each a plan of its own."""
     figures, port = performance_block(prices, weights)
-    out = {"summary": figures, "returns": port, "drawdowns": drawdown_table(port), "cs_corr": mean_corr(scores, list(names)), "ic": ic_table(scores, prices, list(names), horizon)}
-    if series is not None:
-        out["ts_corr"] = series_corr(series, list(series_names))
-    return out
+    out = {"summary": figures, "returns": port, "drawdowns": drawdown_table(port), "ic": ic_table(scores, prices, list(names), horizon)}
+    return out | correlation_block(scores, names, series, series_names)
 
 
 def small_tearsheet(scores: DataFrame, port: DataFrame, x: str = "score", y: str = "fwd_ret") -> DataFrame:

@@ -63,7 +63,9 @@ def s6_merge_fundamentals(s, d):
 @query("SELECT ticker, date, CASE WHEN date >= DATE '1998-01-01' THEN -adj_close ELSE adj_close END AS adj_close FROM prices", "adj_close")
 def s12_upsert(s, d):
     px = P.prices(s, d)
-    return fr.upsert(px, px.filter("date >= DATE'1998-01-01'").withColumn("adj_close", -F.col("adj_close")), ["ticker", "date"])
+    late = px.filter("date >= DATE'1998-01-01'").withColumn("nth", F.explode(F.array(F.lit(1), F.lit(2))))
+    late = late.withColumn("adj_close", F.when(F.col("nth") == 2, -F.col("adj_close")).otherwise(F.lit(7.0)))
+    return fr.upsert(px, late, ["ticker", "date"], order=F.col("nth"))
 
 
 @query("SELECT p_brand AS ticker, count(*) AS n_rows FROM part GROUP BY 1 HAVING count(*) > 1")
@@ -71,24 +73,22 @@ def s14_duplicate_keys(s, d):
     return fr.duplicate_keys(s.read.parquet(f"{d}/part.parquet").select(F.col("p_brand").alias("ticker")), ["ticker"])
 
 
-@query("SELECT date, ticker, adj_close FROM (SELECT date, 'BRAND#11' AS ticker, max(adj_close) FILTER (ticker = 'Brand#11') AS adj_close FROM prices GROUP BY date UNION ALL SELECT date, 'BRAND#22', max(adj_close) FILTER (ticker = 'Brand#22') FROM prices GROUP BY date)", "adj_close")
+@query("SELECT date, upper(ticker) AS ticker, adj_close FROM pgrid", "adj_close")
 def r1_wide_to_long(s, d):
-    px = P.prices(s, d)
-    return fr.wide_to_long(fr.long_to_wide(px, ["Brand#11", "Brand#22"], "ticker", "adj_close", "adj_close_"))
+    return fr.wide_to_long(fr.long_to_wide(P.prices(s, d), P.BRANDS, "ticker", "adj_close", "adj_close_"))
 
 
-@query('SELECT date, max(ret) FILTER (ticker = \'Brand#11\') AS "ret_Brand#11", max(ret) FILTER (ticker = \'Brand#22\') AS "ret_Brand#22" FROM rets GROUP BY date', '"ret_Brand#11"', '"ret_Brand#22"')
+@query("SELECT date, " + ", ".join(f"max(ret) FILTER (ticker = '{b}') AS \"ret_{b}\"" for b in P.BRANDS) + " FROM rets GROUP BY date", *(f'"ret_{b}"' for b in P.BRANDS))
 def r2_long_to_wide(s, d):
-    df = fr.long_to_wide(pf.asset_returns(P.prices(s, d)), ["Brand#11", "Brand#22"], "ticker", "ret")
-    return df
+    return fr.long_to_wide(pf.asset_returns(P.prices(s, d)), P.BRANDS, "ticker", "ret")
 
 
-@query("SELECT date, upper(ticker) AS ticker, adj_close AS px, ret FROM prices JOIN rets USING (date, ticker) WHERE ret IS NOT NULL AND ticker IN ('Brand#11', 'Brand#22')", "px", "ret")
+@query("SELECT date, upper(ticker) AS ticker, adj_close AS px, ret FROM prices JOIN rets USING (date, ticker) WHERE ret IS NOT NULL", "px", "ret")
 def r4_stack_matrices(s, d):
-    px, names = P.prices(s, d), ["Brand#11", "Brand#22"]
-    a = fr.long_to_wide(px, names, "ticker", "adj_close", "")
-    b = fr.long_to_wide(pf.asset_returns(px), names, "ticker", "ret", "")
-    return fr.stack_matrices(a, b, names, "px", "ret").withColumn("ticker", F.upper("ticker"))
+    px = P.prices(s, d)
+    a = fr.long_to_wide(px, P.BRANDS, "ticker", "adj_close", "")
+    b = fr.long_to_wide(pf.asset_returns(px), P.BRANDS, "ticker", "ret", "")
+    return fr.stack_matrices(a, b, P.BRANDS, "px", "ret").withColumn("ticker", F.upper("ticker"))
 
 
 @query("SELECT ticker, date, adj_close FROM prices QUALIFY row_number() OVER (PARTITION BY ticker, date_trunc('month', date) ORDER BY date) = 1", "adj_close")
@@ -602,9 +602,12 @@ def rc3_weighted_mean_corr(s, d):
     return st.mean_corr(signals(s, d), ["x", "y", "z"], weighted=True)
 
 
-@query(_cells("(SELECT * FROM series WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL)", "", "abc"), "corr")
+_PAIR = "CASE WHEN stddev_pop(CASE WHEN y.ret IS NOT NULL THEN x.ret END) {o} > 1e-12 AND stddev_pop(CASE WHEN x.ret IS NOT NULL THEN y.ret END) {o} > 1e-12 THEN covar_pop(x.ret, y.ret) {o} / (stddev_pop(CASE WHEN y.ret IS NOT NULL THEN x.ret END) {o} * stddev_pop(CASE WHEN x.ret IS NOT NULL THEN y.ret END) {o}) END"
+
+
+@query(f'SELECT x.ticker AS "row", y.ticker AS col, {_PAIR.format(o="")} AS corr FROM wrets x JOIN wrets y USING (date) WHERE date IN (SELECT date FROM wrets GROUP BY date HAVING count(ret) > 0) GROUP BY 1, 2', "corr")
 def rc5_series_corr(s, d):
-    return st.series_corr(P.series(s, d), ["a", "b", "c"])
+    return st.series_corr(P.wide_returns(s, d), P.BRANDS, dropna="all")
 
 
 _ROLL = "SELECT date, CASE WHEN count(a + b) OVER w = {n} AND stddev_pop(CASE WHEN b IS NOT NULL THEN a END) OVER w > 1e-12 AND stddev_pop(CASE WHEN a IS NOT NULL THEN b END) OVER w > 1e-12 THEN covar_pop(a, b) OVER w / (stddev_pop(CASE WHEN b IS NOT NULL THEN a END) OVER w * stddev_pop(CASE WHEN a IS NOT NULL THEN b END) OVER w) END AS corr FROM series WINDOW w AS (ORDER BY date ROWS BETWEEN {m} PRECEDING AND CURRENT ROW)"
@@ -623,10 +626,10 @@ def rc6_rolling_spearman(s, d):
     return st.rolling_corr(P.series(s, d), "a", "b", 13, "spearman")
 
 
-@query("""SELECT date, "row", col, corr FROM (""" + " UNION ALL ".join(f"""SELECT date, '{p}' AS "row", '{q}' AS col, CASE WHEN stddev_pop(CASE WHEN {q} IS NOT NULL THEN {p} END) OVER w > 1e-12 AND stddev_pop(CASE WHEN {p} IS NOT NULL THEN {q} END) OVER w > 1e-12
-    THEN covar_pop({p}, {q}) OVER w / (stddev_pop(CASE WHEN {q} IS NOT NULL THEN {p} END) OVER w * stddev_pop(CASE WHEN {p} IS NOT NULL THEN {q} END) OVER w) END AS corr, count(*) OVER w AS n FROM series WINDOW w AS (ORDER BY date ROWS BETWEEN 25 PRECEDING AND CURRENT ROW)""" for p, q in ("ab", "ac", "bc")) + ") WHERE n = 26", "corr")
+@query(f"""SELECT date, "row", col, corr FROM (SELECT x.date, x.ticker AS "row", y.ticker AS col, count(*) OVER w AS n, {_PAIR.format(o="OVER w")} AS corr FROM wgrid x JOIN wgrid y ON x.date = y.date AND substr(x.ticker, 7)::int < substr(y.ticker, 7)::int
+    WINDOW w AS (PARTITION BY x.ticker, y.ticker ORDER BY x.date ROWS BETWEEN 25 PRECEDING AND CURRENT ROW)) WHERE n = 26""", "corr")
 def rc7_rolling_matrices(s, d):
-    return st.rolling_matrices(P.series(s, d), ["a", "b", "c"], 26)
+    return st.rolling_matrices(P.wide_returns(s, d), P.BRANDS, 26)
 
 
 @query(f"SELECT * FROM ({_cells('sig', '')}) WHERE \"row\" < col", "corr")
@@ -652,7 +655,28 @@ def e3_ts_regression(s, d):
     return st.ts_regression(P.series(s, d), "a", ["b"])
 
 
-@query()
+def _two_regressors() -> dict[str, str]:
+    """Views of a on b and c: the 3 x 3 sums of products, their inverse by cofactors, scores and their lagged products."""
+    inverse = {"00": "sbb * scc - sbc * sbc", "01": "sc * sbc - sb * scc", "02": "sb * sbc - sc * sbb", "11": "n * scc - sc * sc", "12": "sb * sc - n * sbc", "22": "n * sbb - sb * sb"}
+    at = lambda i, j: f"i{min(i, j)}{max(i, j)}"
+    product = lambda i, j: " + ".join(f"{1 - h / 5!r} * (sum(g{i}_{h} * g{j}) + sum(g{j}_{h} * g{i}))" for h in range(1, 5))
+    error = lambda j: " + ".join(f"{at(j, k)} * s{k}{m} * {at(m, j)}" for k in range(3) for m in range(3))
+    return {
+        "abc_rows": "SELECT date, a, b, c FROM series WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL",
+        "abc_sums": "SELECT count(*)::DOUBLE AS n, sum(b) AS sb, sum(c) AS sc, sum(b * b) AS sbb, sum(c * c) AS scc, sum(b * c) AS sbc, sum(a) AS sa, sum(a * b) AS sab, sum(a * c) AS sac, var_pop(a) AS va FROM abc_rows",
+        "abc_inverse": "SELECT *, " + ", ".join(f"({v}) / det AS i{k}" for k, v in inverse.items()) + " FROM (SELECT *, n * (sbb * scc - sbc * sbc) - sb * (sb * scc - sbc * sc) + sc * (sb * sbc - sbb * sc) AS det FROM abc_sums)",
+        "abc_coef": "SELECT *, " + ", ".join(f"{at(i, 0)} * sa + {at(i, 1)} * sab + {at(i, 2)} * sac AS k{i}" for i in range(3)) + " FROM abc_inverse",
+        "abc_scores": "SELECT date, e, e AS g0, e * b AS g1, e * c AS g2 FROM (SELECT date, b, c, a - k0 - k1 * b - k2 * c AS e FROM abc_rows, abc_coef)",
+        "abc_lagged": "SELECT *, " + ", ".join(f"lag(g{i}, {h}) OVER (ORDER BY date) AS g{i}_{h}" for i in range(3) for h in range(1, 5)) + " FROM abc_scores",
+        "abc_products": "SELECT sum(e * e) AS see, " + ", ".join(f"sum(g{i} * g{j}) + {product(i, j)} AS s{i}{j}" for i in range(3) for j in range(3)) + " FROM abc_lagged",
+        "abc_fit": "SELECT n, 1 - see / (va * n) AS r2, k0, k1, k2, " + ", ".join(f"sqrt({error(j)}) AS e{j}" for j in range(3)) + " FROM abc_coef, abc_products",
+    }
+
+
+P.VIEWS |= _two_regressors()
+
+
+@query(" UNION ALL ".join(f"SELECT '{p}' AS param, k{i} AS coef, e{i} AS stderr, k{i} / e{i} AS tstat, r2, n::BIGINT AS n_obs FROM abc_fit" for i, p in enumerate(("alpha", "b", "c"))), "coef", "stderr", "tstat", "r2")
 def e3_ts_regression_two(s, d):
     return st.ts_regression(P.series(s, d), "a", ["b", "c"])
 
@@ -674,15 +698,46 @@ def e5_cross_section_betas(s, d):
     return st.cross_section_betas(signals(s, d), "fwd_ret", ["x"])
 
 
-@query("SELECT param, avg(beta) AS mean_beta, sqrt(greatest(sum(v * v) + " + " + ".join(f"{2 * (1 - h / 5)!r} * coalesce(sum(v * v{h}), 0)" for h in range(1, 5)) + ", 0)) / count(*) AS stderr, avg(beta) / (sqrt(greatest(sum(v * v) + " + " + ".join(f"{2 * (1 - h / 5)!r} * coalesce(sum(v * v{h}), 0)" for h in range(1, 5)) + ", 0)) / count(*)) AS tstat, count(*) AS n_dates FROM fmg GROUP BY param", "mean_beta", "stderr", "tstat")
+_ERROR = "sqrt(greatest(sum(v * v) + " + " + ".join(f"{2 * (1 - h / 5)!r} * coalesce(sum(v * v{h}), 0)" for h in range(1, 5)) + ", 0)) / count(*)"
+_MEANS = f"SELECT param, avg(beta) AS mean_beta, {_ERROR} AS stderr, avg(beta) / ({_ERROR}) AS tstat, count(*) AS n_dates FROM {{0}} GROUP BY param"
+
+
+@query(_MEANS.format("fmg"), "mean_beta", "stderr", "tstat")
 def e5_fama_macbeth(s, d):
     return st.fama_macbeth(st.cross_section_betas(signals(s, d), "fwd_ret", ["x"]))
 
 
-@query()
-def e5_fama_macbeth_groups(s, d):
+def _cut(c: str) -> str:
+    return f"least(greatest({c}, quantile_cont({c}, 0.01) OVER (PARTITION BY date)), quantile_cont({c}, 0.99) OVER (PARTITION BY date)) AS {c}w"
+
+
+#: Within a date, dummies take out each group's means: betas by sums within the groups, intercepts from what is left.
+P.VIEWS |= {
+    "grp_rows": "SELECT g.date, g.ticker, grp, fwd_ret, x, y FROM sig g ASOF JOIN cls k ON g.ticker = k.ticker AND g.date >= k.date WHERE grp IS NOT NULL",
+    "grp_cut": f"SELECT date, grp, fwd_ret, x, y, {_cut('x')}, {_cut('y')} FROM grp_rows QUALIFY count(*) OVER (PARTITION BY date) >= 10",
+    "grp_full": "SELECT date, grp, fwd_ret, xw, yw, " + ", ".join(f"{c} - avg({c}) OVER (PARTITION BY date, grp) AS {d}" for c, d in (("fwd_ret", "dr"), ("xw", "dx"), ("yw", "dy"))) + " FROM grp_cut WHERE x IS NOT NULL AND y IS NOT NULL AND fwd_ret IS NOT NULL",
+    "grp_beta": "SELECT date, (sxr * syy - syr * sxy) / (sxx * syy - sxy * sxy) AS bx, (syr * sxx - sxr * sxy) / (sxx * syy - sxy * sxy) AS byy FROM (SELECT date, sum(dx * dr) AS sxr, sum(dy * dr) AS syr, sum(dx * dx) AS sxx, sum(dy * dy) AS syy, sum(dx * dy) AS sxy FROM grp_full GROUP BY date)",
+    "grp_left": "SELECT date, grp, avg(fwd_ret) - any_value(bx) * avg(xw) - any_value(byy) * avg(yw) AS rest FROM grp_full JOIN grp_beta USING (date) GROUP BY date, grp",
+    "grp_base": "SELECT date, arg_min(rest, grp) AS base, min(grp) AS least FROM grp_left GROUP BY date",
+    "grp_long": "SELECT date, 'alpha' AS param, base AS beta FROM grp_base UNION ALL SELECT date, 'x', bx FROM grp_beta UNION ALL SELECT date, 'y', byy FROM grp_beta UNION ALL SELECT date, 'grp_' || grp, rest - base FROM grp_left JOIN grp_base USING (date) WHERE grp > least",
+    "grp_dev": "SELECT *, beta - avg(beta) OVER (PARTITION BY param) AS v FROM grp_long",
+    "grp_lag": "SELECT *, " + ", ".join(f"lag(v, {h}) OVER (PARTITION BY param ORDER BY date) AS v{h}" for h in range(1, 5)) + " FROM grp_dev",
+}
+
+
+def by_group(s, d) -> DataFrame:
     df = fr.asof(signals(s, d), P.labels(s, d)).filter("grp IS NOT NULL")
-    return st.fama_macbeth(st.cross_section_betas(df, "fwd_ret", ["x", "y"], group="grp"))
+    return st.cross_section_betas(df, "fwd_ret", ["x", "y"], group="grp")
+
+
+@query("SELECT date, param, beta FROM grp_long", "beta")
+def e5_cross_section_betas_groups(s, d):
+    return by_group(s, d)
+
+
+@query(_MEANS.format("grp_lag"), "mean_beta", "stderr", "tstat")
+def e5_fama_macbeth_groups(s, d):
+    return st.fama_macbeth(by_group(s, d))
 
 
 @query("SELECT date, u AS resid FROM u", "resid")
@@ -709,3 +764,6 @@ def g4_small_tearsheet(s, d):
 #: The backtest of daily momentum quintiles, at a grain that has enough tickers at the smallest scale.
 def flagship(s: SparkSession, d: str) -> DataFrame:
     return P.rounded(momentum_backtest(P.prices(s, d, "week"))["port"])
+
+
+from quantloom.plans import inventory as inventory  # noqa: E402  registers the queries of sources, sinks and reports

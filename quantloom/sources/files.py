@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import finite, symbol
@@ -120,10 +122,27 @@ def upsert_rows(df: DataFrame, connect, table: str, keys: Sequence[str], dialect
     df.foreachPartition(write)
 
 
-def upsert_parquet(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], staging: str) -> None:
-    """Upsert into a Parquet table: the new state is written to staging, then over the table."""
-    if not exists(spark, path):
-        source.write.parquet(path)
-        return
-    upsert(spark.read.parquet(path), source, keys).write.mode("overwrite").parquet(staging)
-    spark.read.parquet(staging).write.mode("overwrite").parquet(path)
+def upsert_parquet(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], staging: str, order: Column | None = None) -> None:
+    """Upsert into a Parquet table. The new state is written to staging whole, then takes the table's place by renames.
+
+    A reader finds the old table, the new one, or for the moment between two renames none, but never a half; what
+    was there before is at path.old until the next call.
+    """
+    jvm = spark.sparkContext._jvm
+    new = upsert(spark.read.parquet(path), source, keys, order) if exists(spark, path) else upsert(source.filter("false"), source, keys, order)
+    new.write.mode("overwrite").parquet(staging)
+    here, there, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, staging, path.rstrip("/") + ".old"))
+    system = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.delete(old, True)
+    if system.exists(here) and not system.rename(here, old) or not system.rename(there, here):
+        raise OSError(f"{staging} can't take the place of {path}")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or on one machine a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="quantloom-")
+    return f"{named.rstrip('/')}/{uuid.uuid4().hex}"

@@ -9,23 +9,29 @@ from pyspark.sql import functions as F
 from quantloom.functions.columns import finite, symbol
 from quantloom.operators.calendar import align_to_sessions
 from quantloom.operators.frames import merge_first_wins, only_in
+from quantloom.sources.files import write_table
 
 #: Header names that stand for the key columns.
 SYMBOLS = ("symbol", "ticker", "sym")
-DATES = ("date", "report_date", "period_end", "period_end_date", "asof", "as_of", "fiscal_date", "datadate")
+DATES = ("date", "report_date", "ref_date", "fiscal_date", "filing_date", "period_end", "period_end_date", "asof", "as_of", "datadate")
 
 
 def clean_header(name: str) -> str:
     return "_".join(name.strip().lower().replace("-", " ").replace("/", " ").split())
 
 
+def found(columns: list[str], names: tuple[str, ...]) -> str | None:
+    """The column that one of names stands for: as it is, or but for an s at either's end."""
+    singular = {c.rstrip("s"): c for c in columns}
+    return next((n for n in names if n in columns), next((singular[n.rstrip("s")] for n in names if n.rstrip("s") in singular), None))
+
+
 def load_csv(spark: SparkSession, path: str) -> DataFrame:
     """(symbol, date, metrics as doubles): keys found by alias, rows without them dropped, the last row of a key kept."""
     df = spark.read.option("header", True).csv(path)
     df = df.select("*", F.monotonically_increasing_id().alias("_nth"))
     df = df.toDF(*(c if c == "_nth" else clean_header(c) for c in df.columns))
-    key = next((c for c in SYMBOLS if c in df.columns), None)
-    date = next((c for c in DATES if c in df.columns), None)
+    key, date = found(df.columns, SYMBOLS), found(df.columns, DATES)
     if key is None or date is None:
         raise ValueError(f"no symbol or date column among {df.columns}")
     metrics = [c for c in df.columns if c not in (key, date, "_nth")]
@@ -46,3 +52,12 @@ def fundamentals(spark: SparkSession, paths: list[str], universe: DataFrame | No
     if sessions is not None:
         df = align_to_sessions(df, sessions, [c for c in df.columns if c not in ("symbol", "date")])
     return df
+
+
+def write_fundamentals(df: DataFrame, folder: str, freq: str = "Q") -> str:
+    """Write the table under the name of its frequency, Q or A; the path."""
+    if freq.upper() not in ("Q", "A"):
+        raise ValueError(f"frequency {freq!r} is neither Q nor A")
+    path = f"{folder.rstrip('/')}/fundamentals_{freq.upper()}.parquet"
+    write_table(df, path)
+    return path

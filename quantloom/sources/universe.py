@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.columns import symbol
 from quantloom.operators.frames import except_in
+from quantloom.sources.files import write_table
 from quantloom.sources.schemas import UNIVERSE
 
 FIELDS = [f.split()[0] for f in UNIVERSE.split(", ")]
@@ -65,3 +66,9 @@ def investable(df: DataFrame, min_price: float | None = None, min_dollar_volume:
     if min_cap is not None and "market_cap" in df.columns:
         df = df.filter(F.col("market_cap") >= min_cap)
     return df
+
+
+def save_universe(df: DataFrame, path: str) -> DataFrame:
+    """Write the universe as Parquet and read it back from there."""
+    write_table(df, path)
+    return df.sparkSession.read.parquet(path)
