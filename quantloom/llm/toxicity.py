@@ -58,9 +58,10 @@ def crc_mod(doc_id, mod: int = 5):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, limits: dict[int, int], held_out: bool = True) -> DataFrame:
-    """doc_id, text and y of at most limits[y] labelled rows for each y, the first by hash of doc_id.
+    """doc_id, text and y of at most limits[y] labelled rows for each y, the first by hash of doc_id, one row each.
 
-    The chosen ids are bounded by the limits, so they are broadcast and the texts aren't shuffled.
+    The chosen ids are bounded by the limits, so they are broadcast and only their texts are shuffled. Of rows that
+    share a doc_id, the one with the least text is taken, so that the rows are bounded as the ids are.
     """
     own = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     if held_out:
@@ -68,7 +69,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, limits: dict[int, i
     own = own.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     parts = [own.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in limits.items()]
     chosen = parts[0].unionByName(parts[1])
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 @dataclass

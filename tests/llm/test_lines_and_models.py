@@ -7,12 +7,13 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quantloom.llm.cotraining import LEVELS, CoTraining, Corpus, Pool, View, co_train, cuts, level, packed, quality_classifier, unpacked
 from quantloom.llm.line_dedup import LineTemplates, line_dedup
 from quantloom.llm.linear import Rows, fit_platt, once, sigmoid
-from quantloom.llm.toxicity import ToxicityModel, toxicity
+from quantloom.llm.toxicity import ToxicityModel, labelled, toxicity
 
 DATA = "/root/testdata/sf0.001"
 
@@ -165,6 +166,25 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r["score"] for r in none} == {0.5} and toxicity(docs.filter("false"), labels).collect() == []
 
 
+def test_toxicity_takes_one_row_an_id(spark):
+    docs, labels = labelled_corpus(spark, 40)
+    many = docs.unionByName(docs.filter("doc_id = 1").withColumn("text", F.explode(F.array_repeat(F.lit("zzz"), 500))))
+    rows = labelled(many, labels, "toxic", {1: 2000, 0: 2400}).collect()
+    assert len(rows) == len({r["doc_id"] for r in rows}) == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(40))
+    out = toxicity(many, labels, ToxicityModel(steps=5))
+    assert out.count() == many.count()
+
+
+def test_toxicity_on_the_driver_table(spark):
+    """Held-out labels of sf0.01: of 70 rows 6 are toxic, so the area under the curve tells more than the accuracy."""
+    data = DATA.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    own = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    held = [(r["score"], own[r["doc_id"]]) for r in toxicity(docs, labels).collect() if r["held_out"] and r["doc_id"] in own]
+    scores, toxic = (np.asarray(x) for x in zip(*held))
+    assert area(scores, toxic) > 0.9
+
+
 def test_toxicity_of_one_class(spark):
     docs, labels = labelled_corpus(spark, 40)
     assert all(r["score"] < 0.5 for r in toxicity(docs, labels.filter("toxic = 0"), ToxicityModel(steps=5)).collect())
