@@ -6,6 +6,8 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,12 +28,36 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: The list to which staged() adds its paths, within collecting().
+COLLECTED: ContextVar[list[str] | None] = ContextVar("collected", default=None)
+
+
+@contextmanager
+def collecting(paths: list[str]) -> Iterator[None]:
+    """Within, the paths of staged tables are added to paths, for deleted() once nothing reads them any more."""
+    token = COLLECTED.set(paths)
+    try:
+        yield
+    finally:
+        COLLECTED.reset(token)
+
+
+def deleted(spark: SparkSession, paths: list[str]) -> None:
+    """Delete the staged tables at paths, and empty the list."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back, which cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quantloom/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    if (paths := COLLECTED.get()) is not None:
+        paths.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -48,13 +74,8 @@ def release(spark: SparkSession) -> None:
 
 def dropped(df: DataFrame) -> None:
     """Delete the files behind a staged table that is no longer read."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        if "/quantloom/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    deleted(df.sparkSession, [f for f in folders if "/quantloom/" in f])
 
 
 def counted_join(rows: DataFrame, groups: DataFrame, keys: Sequence[str], n_rows: int, how: str = "inner", n: str = "n") -> DataFrame:
