@@ -174,12 +174,15 @@ def drawdown_curve(returns: DataFrame) -> DataFrame:
 
 
 def drawdown_episodes(returns: DataFrame) -> DataFrame:
-    """start, valley, end, depth, length_days and recovery_days of each spell below a peak; an open one has no end."""
+    """start, valley, end, depth, length_days and recovery_days of each spell below a peak; an open one has no end.
+
+    The valley is the first day of the greatest fall, to 12 places.
+    """
     curve = drawdown_curve(returns).withColumn("_flat", F.abs("drawdown") <= EPS)
     curve = curve.withColumn("_spell", F.sum(F.col("_flat").cast("int")).over(running(W.orderBy("date"))))
     ends = curve.filter("_flat").select((F.col("_spell") - 1).alias("_spell"), F.col("date").alias("end"))
     low = curve.filter(~F.col("_flat") & (F.col("drawdown") < 0)).groupBy("_spell")
-    spells = low.agg(F.min("date").alias("start"), F.min_by("date", F.struct("drawdown", "date")).alias("valley"), F.min("drawdown").alias("depth"), F.max("date").alias("_last"))
+    spells = low.agg(F.min("date").alias("start"), F.min_by("date", F.struct(F.round("drawdown", 12), "date")).alias("valley"), F.min("drawdown").alias("depth"), F.max("date").alias("_last"))
     out = spells.join(ends, "_spell", "left")
     return out.select(
         "start",

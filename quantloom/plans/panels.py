@@ -196,7 +196,7 @@ VIEWS |= {
         wealth / max(wealth) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM wealth""",
     "spells": """SELECT *, abs(drawdown) <= 1e-12 AS flat, sum(CASE WHEN abs(drawdown) <= 1e-12 THEN 1 ELSE 0 END) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS spell FROM curve""",
     "episodes": """SELECT start, valley, "end", depth, datediff('day', start, coalesce("end", last_day)) AS length_days, datediff('day', valley, "end") AS recovery_days
-        FROM (SELECT spell, min(date) AS start, arg_min(date, drawdown) AS valley, min(drawdown) AS depth, max(date) AS last_day FROM
+        FROM (SELECT spell, min(date) AS start, arg_min(date, round(drawdown, 12)) AS valley, min(drawdown) AS depth, max(date) AS last_day FROM
           (SELECT * FROM spells WHERE NOT flat AND drawdown < 0 ORDER BY date) GROUP BY spell)
         LEFT JOIN (SELECT spell - 1 AS spell, date AS "end" FROM spells WHERE flat) USING (spell)""",
 }
