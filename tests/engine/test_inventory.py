@@ -42,6 +42,18 @@ def test_upsert_parquet_keeps_what_was_before(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(path + ".old").collect()] == [(1, "a")] and not files.exists(spark, stage)
 
 
+def test_asof_by_stretches_of_time(spark):
+    rng = np.random.default_rng(4)
+    day = lambda: datetime.date(2020, 1, 1) + datetime.timedelta(int(rng.integers(0, 900)))
+    left = spark.createDataFrame([(str(rng.integers(0, 3)), day(), i) for i in range(300)] + [(None, day(), 900), ("0", None, 901)], "ticker string, date date, i int")
+    right = spark.createDataFrame([(str(k), datetime.date(2020, 1, 1) + datetime.timedelta(int(d)), float(d), None if d % 5 == 0 else "x") for k in range(2) for d in rng.choice(900, 25, replace=False)], "ticker string, date date, v double, w string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=lambda r: r[2])
+    want = rows(fr.asof(left, right))
+    assert len(want) == 302 and sum(r[3] is not None for r in want) > 100
+    for chunk in ("year", "month", "day"):
+        assert rows(fr.asof(left, right, chunk=chunk)) == want
+
+
 def test_price_frame(spark):
     rows = [("x", "2020-01-02 10:00:00", "1.5", 1), ("x", "2020-01-02 10:00:00", "2.5", 2), ("x", "nonsense", "3", 3), ("y", "2020-01-02", "oops", 4)]
     df = spark.createDataFrame(rows, "Ticker string, Date string, `Adj Close` string, nth int")
