@@ -12,6 +12,7 @@ from quantloom.functions.columns import average_rank, distinct_edges, quantile_e
 from quantloom.functions.columns import bins_by_quantile, bins_by_width
 from quantloom.operators.frames import asof
 
+#: The names under which equity and debt come.
 EQUITY = ("shareholders_equity", "total_equity", "book_equity", "equity")
 DEBT = ("total_debt", "debt_total", "short_long_term_debt_total")
 

@@ -56,6 +56,7 @@ def canonical_prices(df: DataFrame) -> DataFrame:
     if any(c.startswith("adj_close_") for c in df.columns):
         df = wide_to_long(df)
     pick = lambda *names: next((c for c in names if c in df.columns), None)
+    # fixed values: the names under which a price table has its columns
     ticker, date, price = pick("ticker", "symbol"), pick("date", "timestamp", "trade_date"), pick("adj_close", "px_adj_close", "close")
     if not (ticker and date and price):
         raise ValueError(f"no date, ticker and price in {df.columns}")

@@ -14,7 +14,7 @@ from quantloom.operators import portfolio as pf
 from quantloom.operators.frames import asof
 
 D1, D2 = dt.date(2020, 1, 2), dt.date(2020, 1, 3)
-NAMES = ["AAA", "BBB", "CCC", "DDD", "EEE"]
+NAMES = ["OAK", "ELM", "ASH", "FIR", "YEW"]
 
 
 def frame(spark, rows, value):
@@ -28,28 +28,29 @@ def wide(df, value):
 
 @pytest.fixture
 def scores(spark):
-    return frame(spark, [(D1, [1.0, 2.0, 3.0, 4.0, 5.0]), (D2, [10.0, 8.0, None, 6.0, 4.0])], "score")
+    return frame(spark, [(D1, [-3.5, 0.25, 4.0, 7.25, 12.0]), (D2, [31.0, 22.5, None, 14.0, 3.0])], "score")
 
 
 def test_row_quintiles(scores):
     got = wide(fac.row_quintiles(scores), "quintile")
     assert [got[D1, n] for n in NAMES] == [1, 2, 3, 4, 5]
-    assert got[D2, "CCC"] is None and got[D2, "AAA"] > got[D2, "BBB"] > got[D2, "DDD"] > got[D2, "EEE"]
+    assert got[D2, "ASH"] is None and got[D2, "OAK"] > got[D2, "ELM"] > got[D2, "FIR"] > got[D2, "YEW"]
 
 
 def test_long_only_and_long_short(scores):
     ranks = fac.row_quintiles(scores, out="rank")
     long = wide(pf.long_only_bin(ranks), "weight")
-    assert long[D1, "EEE"] == 1 and long[D2, "AAA"] == 1 and sum(long.values()) == 2
+    assert long[D1, "YEW"] == 1 and long[D2, "OAK"] == 1 and sum(long.values()) == 2
     both = wide(pf.long_short_bins(ranks), "weight")
-    assert both[D1, "EEE"] == 0.5 and both[D1, "AAA"] == -0.5 and sum(map(abs, both.values())) == 2
+    assert both[D1, "YEW"] == 0.5 and both[D1, "OAK"] == -0.5 and sum(map(abs, both.values())) == 2
 
 
 def test_returns_and_turnover(spark):
-    w = frame(spark, [(D1, [0.0, 0.0, 0.0, 1.0, 0.0]), (D2, [1.0, 0.0, 0.0, 0.0, 0.0])], "weight")
-    r = frame(spark, [(D1, [0.01, -0.02, 0.005, 0.03, -0.01]), (D2, [0.02, 0.01, 0.0, -0.01, 0.005])], "ret")
-    assert {x["date"]: x["port_ret"] for x in pf.weighted_returns(w, r).collect()} == {D1: 0.03, D2: 0.02}
-    assert {x["date"]: x["turnover"] for x in pf.turnover(w).collect()} == {D1: 0.0, D2: 1.0}
+    w = frame(spark, [(D1, [0.25, 0.0, 0.75, 0.0, 0.0]), (D2, [0.0, 0.0, 0.5, 0.75, -0.25])], "weight")
+    r = frame(spark, [(D1, [0.004, -0.007, 0.016, 0.5, -0.25]), (D2, [0.125, -0.5, 0.032, -0.008, 0.016])], "ret")
+    got = {x["date"]: x["port_ret"] for x in pf.weighted_returns(w, r).collect()}
+    assert math.isclose(got[D1], 0.013) and math.isclose(got[D2], 0.006)
+    assert {x["date"]: x["turnover"] for x in pf.turnover(w).collect()} == {D1: 0.0, D2: 0.75}
 
 
 def path(spark, values, start=dt.date(2020, 1, 1)):
@@ -57,7 +58,7 @@ def path(spark, values, start=dt.date(2020, 1, 1)):
 
 
 def test_drawdowns(spark):
-    assert math.isclose(pf.drawdown_curve(path(spark, [0.1, -0.05, -0.05, 0.0])).agg({"drawdown": "min"}).first()[0], -0.0975, rel_tol=1e-12)
+    assert math.isclose(pf.drawdown_curve(path(spark, [0.3, -0.2, -0.15, 0.1])).agg({"drawdown": "min"}).first()[0], -0.32, rel_tol=1e-12)
     rows = pf.drawdown_episodes(path(spark, [0.1, -0.5, 1.0, -0.1, -0.1, 0.5, -0.2])).orderBy("start").collect()
     day = lambda i: dt.date(2020, 1, 1) + dt.timedelta(days=i)
     assert [(r["start"], r["valley"], r["end"], r["length_days"], r["recovery_days"]) for r in rows[:1]] == [(day(1), day(1), day(2), 1, 1)]
@@ -90,8 +91,8 @@ def test_episodes_against_a_scan(spark):
 
 
 def test_ic(spark):
-    up = frame(spark, [(D1, [1.0, 2.0, 3.0, 4.0, 5.0]), (D2, [5.0, 4.0, 3.0, 2.0, 1.0])], "score")
-    ahead = frame(spark, [(D1, [0.01, 0.02, 0.03, 0.04, 0.05])] + [(D2, [0.01, 0.02, 0.03, 0.04, 0.05])], "fwd")
+    up = frame(spark, [(D1, [-2.0, 0.5, 0.75, 6.0, 40.0]), (D2, [9.0, 8.5, 2.0, -1.0, -7.0])], "score")
+    ahead = frame(spark, [(d, [-0.3, -0.07, 0.002, 0.11, 0.6]) for d in (D1, D2)], "fwd")
     got = {r["date"]: r["ic"] for r in pf.cross_section_ic(up.join(ahead, ["date", "ticker"]), "score", "fwd").collect()}
     assert math.isclose(got[D1], 1, abs_tol=1e-12) and math.isclose(got[D2], -1, abs_tol=1e-12)
 
@@ -136,14 +137,14 @@ def test_weights_of_groups_and_caps(spark):
 
 
 def test_signals(spark):
-    pe = spark.createDataFrame([("A", 10.0), ("B", 20.0), ("C", None), ("D", 0.0), ("E", -5.0)], "id string, pe double")
-    assert [r["earnings_yield"] for r in fac.simple_earnings_yield(pe).orderBy("id").collect()] == [0.1, 0.05, None, None, None]
-    px = spark.createDataFrame([("A", D1 + dt.timedelta(days=i), 100 + 0.5 * i) for i in range(200)], "ticker string, date date, adj_close double")
+    pe = spark.createDataFrame([("A", 8.0), ("B", 25.0), ("C", None), ("D", 0.0), ("E", -3.0)], "id string, pe double")
+    assert [r["earnings_yield"] for r in fac.simple_earnings_yield(pe).orderBy("id").collect()] == [0.125, 0.04, None, None, None]
+    px = spark.createDataFrame([("A", D1 + dt.timedelta(days=i), 80 + 0.375 * i) for i in range(200)], "ticker string, date date, adj_close double")
     last = lambda skip: fac.row_momentum(px, skip).orderBy("date").collect()[-1]["mom_6m"]
-    p = lambda i: 100 + 0.5 * i
+    p = lambda i: 80 + 0.375 * i
     assert math.isclose(last(True), p(178) / p(52) - 1, rel_tol=1e-12) and math.isclose(last(False), p(199) / p(73) - 1, rel_tol=1e-12)
     assert all(r["mom_6m"] is None for r in fac.row_momentum(px.limit(50)).collect())
-    q = spark.createDataFrame([("X", 0.15, None), ("Y", None, 0.5), ("Z", 0.10, 1.5)], "id string, roe double, de double")
+    q = spark.createDataFrame([("X", 0.22, None), ("Y", None, 0.3), ("Z", 0.07, 2.25)], "id string, roe double, de double")
     got = {r["id"]: r["quality_score"] for r in fac.simple_quality(q).collect()}
     assert None not in got.values() and got["X"] > got["Z"]
 
