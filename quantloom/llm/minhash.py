@@ -266,6 +266,9 @@ def near_duplicates(docs: DataFrame, rules: NearDuplicates = NearDuplicates(), r
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     groups = signed.filter(linkable).groupBy(*KEY).agg(F.min(first).alias("least"), F.count("*").alias("n"), F.first("bands").alias("bands"))
     groups = staged(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
+    plain = staged(signed.select("doc_id", "row", *KEY), "plain")
+    dropped(signed)
+    release(spark)
     members = starred(groups.select(F.explode("bands").alias("key"), "node", F.col("n_shingles").alias("size")), "banded")
     release(spark)
     wanted = groups.join(members.select("node").distinct(), "node", "left_semi")
@@ -290,7 +293,6 @@ def near_duplicates(docs: DataFrame, rules: NearDuplicates = NearDuplicates(), r
     tops = staged(tops, "tops")
     topped = counted_join(named, tops, ["m"], named.count(), "left", n="n_nodes").select(*KEY, "n", F.coalesce("top", "least").alias("top"), F.col("top").isNotNull().alias("linked"))
     topped = staged(topped.filter((F.col("n") > 1) | F.col("linked")).drop("linked"), "topped")
-    plain = signed.select("doc_id", "row", *KEY)
     out = counted_join(plain.filter(linkable), topped, KEY, plain.count(), "left").withColumn("top", F.coalesce("top", first))
     out = out.select("doc_id", "row", "n_shingles", F.col("top.doc_id").alias("component_id"), F.col("top.row").alias("kept_row"))
     alone = plain.filter(~linkable).select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row").alias("kept_row"))
