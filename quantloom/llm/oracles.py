@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quantloom.llm.chat import OP9_SQL
+from quantloom.llm.spelling import OP13_SQL
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -52,4 +53,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
 
-ORACLES = {"op5_minhash_near_dedup": OP5_SQL, "op6_benchmark_decontamination": OP6_SQL, "op8_quality_rules": OP8_SQL, "op9_chat_formatting": OP9_SQL}
+ORACLES = {
+    "op5_minhash_near_dedup": OP5_SQL,
+    "op6_benchmark_decontamination": OP6_SQL,
+    "op8_quality_rules": OP8_SQL,
+    "op9_chat_formatting": OP9_SQL,
+    "op13_spelling_variant_grouping": OP13_SQL,
+}

@@ -12,6 +12,7 @@ from quantloom.llm.packing import op1_best_fit_packing
 from quantloom.llm.quality_rules import op8_quality_rules
 from quantloom.llm.repeats import op4_suffix_array_dedup
 from quantloom.llm.secrets import op7_secret_scans
+from quantloom.llm.spelling import op13_spelling_variant_grouping
 from quantloom.llm.toxicity import op10_toxicity
 
 QUERIES = {
@@ -27,5 +28,6 @@ QUERIES = {
         op8_quality_rules,
         op9_chat_formatting,
         op10_toxicity,
+        op13_spelling_variant_grouping,
     )
 }
