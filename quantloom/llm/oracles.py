@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quantloom.llm.chat import OP9_SQL
-from quantloom.llm.spelling import OP13_SQL
+from quantloom.llm.spelling import CRC32, OP13_SQL
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -53,10 +53,52 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
 
+
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+def _nodes(k: int, name: str) -> str:
+    """Level k + 1 of a tree of fanout 8, and the runs of level k; a group with one node (c = 1) stays as it is."""
+    return f"""{name}{k + 1} AS (SELECT g, i // 8 AS i, CASE WHEN any_value(c) = 1 THEN first(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, (any_value(c) + 7) // 8 AS c FROM {name}{k} GROUP BY g, i // 8),
+{name}runs{k} AS (SELECT g, i // 8 AS i, CASE WHEN any_value(c) = 1 THEN [] ELSE list(h ORDER BY i) END AS hs FROM {name}{k} GROUP BY g, i // 8)"""
+
+
+def _step(k: int, name: str, source: str, out: str) -> str:
+    """Proof and folded root of each leaf one level further up; i is the leaf's place at level k."""
+    before, after = "coalesce(array_to_string(hs[1 : (p.i % 8)::INT], ''), '')", "coalesce(array_to_string(hs[(p.i % 8)::INT + 2 :], ''), '')"
+    return f"{out} AS (SELECT p.doc_id, p.leaf, p.lang, p.g, p.i // 8 AS i, proof || {before} || {after} AS proof, CASE WHEN len(hs) = 0 THEN h ELSE sha256({before} || h || {after}) END AS h FROM {source} p JOIN {name}runs{k} r ON p.g = r.g AND p.i // 8 = r.i)"
+
+
+#: Levels of the trees that the SQL goes up: 8 ** 9 rows of a language, 8 ** 3 languages.
+_DEEP, _WIDE = 9, 3
+_ID_BYTES = "list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)"
+
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce('=' || lang, 'null') AS g, lang, {_leaf("text")} AS leaf, CASE WHEN {CRC32.format(bytes=_ID_BYTES)} % 3 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_leaf("text")} END AS probe,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS c FROM documents),
+n0 AS (SELECT g, i, leaf AS h, c FROM d), p0 AS (SELECT doc_id, leaf, lang, g, i, '' AS proof, probe AS h FROM d),
+{", ".join(_nodes(k, "n") for k in range(_DEEP))},
+langs AS (SELECT g, lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS c FROM (SELECT DISTINCT g, lang FROM d)),
+s0 AS (SELECT 'all' AS g, langs.i, n{_DEEP}.h, langs.c FROM langs JOIN n{_DEEP} USING (g)),
+{", ".join(_nodes(k, "s") for k in range(_WIDE))},
+{", ".join(_step(k, "n", f"p{k}", f"p{k + 1}") for k in range(_DEEP))},
+q0 AS (SELECT doc_id, leaf, p.lang, 'all' AS g, langs.i, proof, h FROM p{_DEEP} p JOIN langs ON langs.g = p.g),
+{", ".join(_step(k, "s", f"q{k}", f"q{k + 1}") for k in range(_WIDE))}
+SELECT q.doc_id, q.leaf, n{_DEEP}.h AS subroot, s{_WIDE}.h AS root, sha256(proof) AS proof_sha256, q.h AS folded_root, q.h = s{_WIDE}.h AS verified
+FROM q{_WIDE} q JOIN n{_DEEP} ON n{_DEEP}.g = coalesce('=' || q.lang, 'null') CROSS JOIN s{_WIDE}
+"""
+
 ORACLES = {
     "op5_minhash_near_dedup": OP5_SQL,
     "op6_benchmark_decontamination": OP6_SQL,
     "op8_quality_rules": OP8_SQL,
     "op9_chat_formatting": OP9_SQL,
+    "op12_merkle_dataset_manifest": OP12_SQL,
     "op13_spelling_variant_grouping": OP13_SQL,
 }

@@ -6,6 +6,7 @@ from quantloom.llm.chat import op9_chat_formatting
 from quantloom.llm.cotraining import op2_quality_classifier
 from quantloom.llm.decontaminate import op6_benchmark_decontamination
 from quantloom.llm.line_dedup import op3_line_dedup
+from quantloom.llm.manifest import op12_merkle_dataset_manifest
 from quantloom.llm.minhash import op5_minhash_near_dedup
 from quantloom.llm.oracles import ORACLES as ORACLES
 from quantloom.llm.packing import op1_best_fit_packing
@@ -28,6 +29,7 @@ QUERIES = {
         op8_quality_rules,
         op9_chat_formatting,
         op10_toxicity,
+        op12_merkle_dataset_manifest,
         op13_spelling_variant_grouping,
     )
 }
