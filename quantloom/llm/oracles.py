@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quantloom.llm.chat import OP9_SQL
 from quantloom.llm.spelling import CRC32, OP13_SQL
+from quantloom.llm.url_filter import MODELS, SYMBOLS
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -54,6 +55,38 @@ FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
 
 
+_ORDER = 5
+_COUNTED = ", ".join(f"count(*) FILTER (label = '{'allow' if m[0] == 'a' else 'block'}'{'' if m[1] == '0' else f' AND half = {int(m[1]) - 1}'}) AS {m}" for m in MODELS)
+_TOTALS = ", ".join(f"sum({m}) AS t_{m}, count(*) FILTER ({m} > 0) AS k_{m}" for m in MODELS)
+
+
+def _known(size: int) -> str:
+    """Probabilities of the last symbols of grams of size + 1 symbols; without a context from sums over all."""
+    smooth = ", ".join(f"CASE WHEN t_{m} + k_{m} > 0 THEN (c.{m} + k_{m} * s.p_{m}) / (t_{m} + k_{m}) ELSE s.p_{m} END AS p_{m}" for m in MODELS)
+    context = f"x{size} AS (SELECT substr(gram, 1, {size}) AS context, {_TOTALS} FROM c{size} GROUP BY 1)"
+    shorter = f"k{size - 1}" if size else f"(SELECT '' AS gram, {', '.join(f'1 / {SYMBOLS} AS p_{m}' for m in MODELS)})"
+    return f"{context}, k{size} AS (SELECT c.gram, {smooth} FROM c{size} c JOIN x{size} ON context = substr(c.gram, 1, {size}) JOIN {shorter} s ON s.gram = substr(c.gram, 2, {size}))"
+
+
+OP11_SQL = rf"""
+WITH v AS (SELECT page_id, coalesce(url, '') AS url, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1) AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+w AS (SELECT page_id, url, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM v),
+u AS (SELECT *, CASE WHEN '.' || host LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/' WHEN '.' || host LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+  WHEN '.' || host LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/' WHEN '.' || host LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule, ascii(md5(host)) % 2 AS half FROM w),
+l AS (SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS label FROM u),
+g AS (SELECT page_id, label, half, substr(repeat(chr(2), {_ORDER}) || url || chr(3), i, {_ORDER + 1}) AS gram FROM l, unnest(range(1, length(url) + 2)) t(i)),
+c{_ORDER} AS (SELECT gram, {_COUNTED} FROM g GROUP BY 1),
+{", ".join(f"c{k} AS (SELECT substr(gram, 2) AS gram, {', '.join(f'sum({m}) AS {m}' for m in MODELS)} FROM c{k + 1} GROUP BY 1)" for k in reversed(range(_ORDER)))},
+{", ".join(map(_known, range(_ORDER + 1)))},
+s AS (SELECT page_id, avg(ln(p_a0) - ln(p_r0)) AS s0, avg(ln(p_a1) - ln(p_r1)) AS s1, avg(ln(p_a2) - ln(p_r2)) AS s2 FROM g JOIN k{_ORDER} USING (gram) GROUP BY 1),
+o AS (SELECT label, CASE WHEN half = 0 THEN s2 ELSE s1 END AS s FROM l JOIN s USING (page_id) WHERE label IS NOT NULL),
+m AS (SELECT count(DISTINCT label) AS kinds, avg(s) FILTER (label = 'allow') AS a, avg(s) FILTER (label = 'block') AS r,
+  (count(*) FILTER (label = 'allow') * var_pop(s) FILTER (label = 'allow') + count(*) FILTER (label = 'block') * var_pop(s) FILTER (label = 'block')) / count(*) AS variance FROM o),
+f AS (SELECT CASE WHEN kinds < 2 THEN 0 ELSE greatest(a - r, 0) / greatest(variance, 1e-9) END AS slope, CASE WHEN kinds < 2 THEN 0 ELSE (a + r) / 2 END AS middle FROM m)
+SELECT page_id, host, path, rule, coalesce(label, CASE WHEN slope * (s0 - middle) >= 0 THEN 'allow' ELSE 'block' END) AS verdict
+FROM l JOIN s USING (page_id) CROSS JOIN f
+"""
+
 
 def _field(column: str) -> str:
     return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}::VARCHAR, '-')"
@@ -99,6 +132,7 @@ ORACLES = {
     "op6_benchmark_decontamination": OP6_SQL,
     "op8_quality_rules": OP8_SQL,
     "op9_chat_formatting": OP9_SQL,
+    "op11_url_filters": OP11_SQL,
     "op12_merkle_dataset_manifest": OP12_SQL,
     "op13_spelling_variant_grouping": OP13_SQL,
 }

@@ -15,6 +15,7 @@ from quantloom.llm.repeats import op4_suffix_array_dedup
 from quantloom.llm.secrets import op7_secret_scans
 from quantloom.llm.spelling import op13_spelling_variant_grouping
 from quantloom.llm.toxicity import op10_toxicity
+from quantloom.llm.url_filter import op11_url_filters
 
 QUERIES = {
     f.__name__: f
@@ -29,6 +30,7 @@ QUERIES = {
         op8_quality_rules,
         op9_chat_formatting,
         op10_toxicity,
+        op11_url_filters,
         op12_merkle_dataset_manifest,
         op13_spelling_variant_grouping,
     )
