@@ -63,10 +63,24 @@ def wide_to_long(df: DataFrame, prefix: str = "adj_close_", value: str = "adj_cl
     return long.select("date", F.upper(F.substring("_name", len(prefix) + 1, 1000)).alias("ticker"), value)
 
 
-def long_to_wide(df: DataFrame, names: Sequence[str], name: str, value: str, prefix: str = "ret_") -> DataFrame:
-    """A row a date and a column for each of names, its first known value of the date."""
+def long_to_wide(df: DataFrame, names: Sequence[str] | None, name: str, value: str, prefix: str = "ret_", most: int = 5000) -> DataFrame:
+    """A row a date and a column for each of names, its first known value of the date.
+
+    Without names, those of the table in order, at most so many: a wide frame is for the eye, panels of more names
+    stay long (see matrices and stack_panels).
+    """
+    if names is None:
+        names = [r[0] for r in df.select(name).filter(F.col(name).isNotNull()).distinct().orderBy(name).limit(most + 1).collect()]
+        if len(names) > most:
+            raise ValueError(f"more than {most} names of {name}: keep the frame long")
     out = df.groupBy("date").pivot(name, list(names)).agg(F.first(value, ignorenulls=True))
-    return out.select("date", *(F.col(n).alias(f"{prefix}{n}") for n in names))
+    return out.select("date", *(F.col(f"`{n}`").alias(f"{prefix}{n}") for n in names))
+
+
+def stack_panels(a: DataFrame, b: DataFrame, a_name: str, b_name: str) -> DataFrame:
+    """(date, ticker) rows where both of two long panels have a value; no list of names."""
+    left = a.select("date", "ticker", a_name).filter(F.col(a_name).isNotNull())
+    return left.join(b.select("date", "ticker", b_name).filter(F.col(b_name).isNotNull()), ["date", "ticker"])
 
 
 def stack_matrices(a: DataFrame, b: DataFrame, names: Sequence[str], a_name: str, b_name: str) -> DataFrame:
@@ -123,6 +137,12 @@ def fill_forward(df: DataFrame, columns: Sequence[str], key: str = "ticker") ->
     return df.withColumns({c: last_known(c, ts(key)) for c in columns})
 
 
+def common_times(df: DataFrame, name: str = "ticker", on: str = "date") -> DataFrame:
+    """The times that all names of a long panel have, from counts by time."""
+    all_ = df.agg(F.count_distinct(name).alias("_all"))
+    return df.groupBy(on).agg(F.count_distinct(name).alias("_n")).join(F.broadcast(all_)).filter("_n = _all").select(on)
+
+
 def only_in(df: DataFrame, universe: DataFrame, key: str = "symbol") -> DataFrame:
     return df.join(universe.select(key).distinct(), key, "left_semi")
 

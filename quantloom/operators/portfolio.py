@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import EPS, average_rank, corr, full, log_return, ratio, rolling, running, simple_return, ts, xs
+from quantloom.operators.scans import block_order, framed, own_rows, scanned
 
 
 @dataclass(frozen=True)
@@ -165,21 +166,30 @@ def turnover(weights: DataFrame) -> DataFrame:
     return weights.select("date", change.alias("_dw")).groupBy("date").agg((0.5 * F.coalesce(F.sum("_dw"), F.lit(0.0))).alias("turnover"))
 
 
-def drawdown_curve(returns: DataFrame) -> DataFrame:
-    """wealth, peak and drawdown by date. One row a date: the series is small whatever the panel's width."""
-    over = running(W.orderBy("date"))
-    df = returns.select("date", F.product(1 + F.coalesce("port_ret", F.lit(0.0))).over(over).alias("wealth"))
-    df = df.withColumn("peak", F.max("wealth").over(over))
+def drawdown_curve(returns: DataFrame, chunk: str | None = None) -> DataFrame:
+    """wealth, peak and drawdown by date. chunk (year, month, day ...): scanned in slots of time, for series of many rows."""
+    growth = 1 + F.coalesce("port_ret", F.lit(0.0))
+    if chunk:
+        df = scanned(returns.select("date", growth.alias("_growth")), "date", chunk, {"wealth": ("product", F.col("_growth"))})
+        df = scanned(df.drop("_growth"), "date", chunk, {"peak": ("max", F.col("wealth"))})
+    else:
+        over = running(W.orderBy("date"))
+        df = returns.select("date", F.product(growth).over(over).alias("wealth"))
+        df = df.withColumn("peak", F.max("wealth").over(over))
     return df.withColumn("drawdown", ratio(F.col("wealth"), F.col("peak")) - 1)
 
 
-def drawdown_episodes(returns: DataFrame) -> DataFrame:
+def drawdown_episodes(returns: DataFrame, chunk: str | None = None) -> DataFrame:
     """start, valley, end, depth, length_days and recovery_days of each spell below a peak; an open one has no end.
 
-    The valley is the first day of the greatest fall, to 12 places.
+    The valley is the first day of the greatest fall, to 12 places. chunk: as in drawdown_curve.
     """
-    curve = drawdown_curve(returns).withColumn("_flat", F.abs("drawdown") <= EPS)
-    curve = curve.withColumn("_spell", F.sum(F.col("_flat").cast("int")).over(running(W.orderBy("date"))))
+    curve, flat = drawdown_curve(returns, chunk).select("date", "drawdown"), F.abs("drawdown") <= EPS
+    if chunk:
+        curve = scanned(curve, "date", chunk, {"_spell": ("sum", flat.cast("double"))}).withColumn("_spell", F.col("_spell").cast("long"))
+    else:
+        curve = curve.withColumn("_spell", F.sum(flat.cast("int")).over(running(W.orderBy("date"))))
+    curve = curve.withColumn("_flat", flat)
     ends = curve.filter("_flat").select((F.col("_spell") - 1).alias("_spell"), F.col("date").alias("end"))
     low = curve.filter(~F.col("_flat") & (F.col("drawdown") < 0)).groupBy("_spell")
     spells = low.agg(F.min("date").alias("start"), F.min_by("date", F.struct(F.round("drawdown", 12), "date")).alias("valley"), F.min("drawdown").alias("depth"), F.max("date").alias("_last"))
@@ -237,10 +247,15 @@ def summary(returns: DataFrame, turned: DataFrame | None = None, cfg: Summary =
     )
 
 
-def rolling_risk(returns: DataFrame, window: int = 63, periods: int = 252) -> DataFrame:
-    over, root = W.orderBy("date"), float(periods) ** 0.5
+def rolling_risk(returns: DataFrame, window: int = 63, periods: int = 252, chunk: str | None = None) -> DataFrame:
+    """vol and sharpe by date over full windows; chunk: in blocks with carried edges, numbered by slots of time."""
+    returns = framed(returns.select("date", "port_ret"), window, "date", chunk) if chunk else returns
+    over, root = block_order() if chunk else W.orderBy("date"), float(periods) ** 0.5
     sd, mean = F.stddev_samp("port_ret").over(rolling(window, over)), F.avg("port_ret").over(rolling(window, over))
-    return returns.select("date", full(sd * root, "port_ret", window, over).alias("vol"), full(F.when(sd > EPS, mean / sd * root), "port_ret", window, over).alias("sharpe"))
+    values = {"vol": full(sd * root, "port_ret", window, over), "sharpe": full(F.when(sd > EPS, mean / sd * root), "port_ret", window, over)}
+    if not chunk:
+        return returns.select("date", *(v.alias(k) for k, v in values.items()))
+    return own_rows(returns.withColumns(values)).select("date", *values)
 
 
 def histogram(returns: DataFrame, bins: int = 40) -> DataFrame:

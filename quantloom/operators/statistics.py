@@ -1,4 +1,4 @@
-"""Correlation matrices in long form, and regressions from Gram sums."""
+"""Correlation matrices of named columns in long form, and regressions by tree QR."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import average_rank, corr, full, ratio, rolling, winsorize, xs
+from quantloom.operators.least_squares import least_squares, windowed
+from quantloom.operators.scans import block_order, framed, own_rows
 
 
 def corr_long(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), method: str = "pearson", min_rows: int = 0) -> DataFrame:
@@ -74,9 +76,15 @@ def series_corr(df: DataFrame, columns: Sequence[str], method: str = "pearson",
     return half.select(F.explode(both).alias("cell"), "corr").select("cell.row", "cell.col", "corr")
 
 
-def rolling_corr(df: DataFrame, x: str, y: str, window: int = 63, method: str = "pearson") -> DataFrame:
-    """corr by date over full windows. Spearman ranks inside each window, whose rows are few."""
-    over = W.orderBy("date")
+def rolling_corr(df: DataFrame, x: str, y: str, window: int = 63, method: str = "pearson", by: Sequence[str] = (), chunk: str | None = None) -> DataFrame:
+    """(by, date, corr) over full windows. Spearman ranks inside each window, whose rows are few.
+
+    by: the key of many series. chunk (year, month, day ...): one long series is worked on in blocks with carried
+    edges, numbered by slots of time.
+    """
+    by = list(by)
+    df = framed(df, window, "date", chunk) if chunk else df
+    over = block_order() if chunk else W.partitionBy(*by).orderBy("date")
     both = F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)
     if method == "pearson":
         value = corr(F.col(x), F.col(y), rolling(window, over))
@@ -93,7 +101,8 @@ def rolling_corr(df: DataFrame, x: str, y: str, window: int = 63, method: str =
         total = lambda f: F.aggregate(F.transform(held, f), F.lit(0.0), lambda s, v: s + v)
         xy, xx, yy = total(lambda p: (a(p) - mid) * (b(p) - mid)), total(lambda p: (a(p) - mid) * (a(p) - mid)), total(lambda p: (b(p) - mid) * (b(p) - mid))
         value = F.when((xx > 0) & (yy > 0), xy / F.sqrt(xx * yy))
-    return df.select("date", full(value, both, window, over).alias("corr"))
+    df = df.withColumn("corr", full(value, both, window, over))
+    return (own_rows(df) if chunk else df).select(*by, "date", "corr")
 
 
 def rolling_matrices(df: DataFrame, columns: Sequence[str], window: int = 63) -> DataFrame:
@@ -110,137 +119,124 @@ def upper_triangle(cells: DataFrame, columns: Sequence[str], diagonal: bool = Fa
     return cells.filter(nth("row") <= nth("col") if diagonal else nth("row") < nth("col"))
 
 
-def gram(df: DataFrame, y: str, x: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Sums of products of (1, x..., y) over complete rows, as arrays; they combine on the map side."""
-    df = df.na.drop("any", subset=[y, *x])
-    z: list[Column] = [F.lit(1.0), *(F.col(c) for c in x)]
-    zz = F.array(*(F.sum(a * b) for a in z for b in z))
-    return df.groupBy(*by).agg(zz.alias("zz"), F.array(*(F.sum(a * F.col(y)) for a in z)).alias("zy"), F.sum(F.col(y) * F.col(y)).alias("yy"), F.count(F.lit(1)).alias("n"))
-
+def ts_regression(df: DataFrame, y: str, x: Sequence[str], lags: int = 4, by: Sequence[str] = (), chunk: str | None = None) -> DataFrame:
+    """(by, param, coef, stderr, tstat, r2, n_obs): least squares over dates with Bartlett-weighted HAC errors.
 
-def solved(sums: DataFrame, x: Sequence[str], by: Sequence[str], by_ddl: str) -> DataFrame:
-    """alpha and betas of the least norm, a row for each row of sums, by pseudo-inverses of tiny matrices in Arrow batches.
-
-    Rows of sums over no complete rows (n = 0) have none.
+    Two passes: tree QR gives the coefficients and the inverse of X'X, then the scores' products at each lag are
+    summed. by, chunk: as in rolling_corr.
     """
-    k, names = len(x) + 1, ["alpha", *x]
-
-    def solve(batches):
-        for pdf in batches:
-            if len(pdf):
-                zz = np.stack([np.asarray(v, float).reshape(k, k) for v in pdf["zz"]])
-                zy = np.stack([np.asarray(v, float) for v in pdf["zy"]])
-                beta = (np.linalg.pinv(zz, rcond=1e-12, hermitian=True) @ zy[:, :, None])[:, :, 0]
-                yield pd.concat([pdf[list(by)].reset_index(drop=True), pd.DataFrame(beta, columns=names)], axis=1)
-
-    ddl = ", ".join([by_ddl, *(f"`{c}` double" for c in names)] if by_ddl else [f"`{c}` double" for c in names])
-    return sums.filter("n > 0").select(*by, "zz", "zy").mapInPandas(solve, ddl)
-
-
-def ts_regression(df: DataFrame, y: str, x: Sequence[str], lags: int = 4) -> DataFrame:
-    """(param, coef, stderr, tstat, r2, n_obs): least squares over dates with Bartlett-weighted HAC errors.
-
-    Two passes of sums: the Gram matrix, then the scores' products at each lag; matrices are solved on one row.
-    """
-    df = df.select("date", y, *x).na.drop("any")
-    fit = solved(gram(df, y, x), x, [], "")
+    by = list(by)
+    df = df.select(*by, "date", y, *x).na.drop("any", subset=[y, *x])
     names, z = ["alpha", *x], [F.lit(1.0), *(F.col(c) for c in x)]
-    joined = df.join(F.broadcast(fit.withColumnsRenamed({n: f"_b{i}" for i, n in enumerate(names)})))
-    resid = F.col(y) - sum(F.col(f"_b{i}") * c for i, c in enumerate(z))
-    scored = joined.withColumn("_u", resid)
-    over = W.orderBy("date")
-    scored = scored.withColumns({f"_g{i}": c * F.col("_u") for i, c in enumerate(z)})
     k = len(z)
+    fit = least_squares(df, y, x, by).select(*by, F.array(*(F.col(f"`{n}`") for n in names)).alias("_b"), F.col("xx").alias("_xx"))
+    if chunk:
+        df = framed(df, lags + 1, "date", chunk)
+    over = block_order() if chunk else W.partitionBy(*by).orderBy("date")
+    scored = (df.join(fit, by) if by else df.join(F.broadcast(fit))).withColumn("_u", F.col(y) - sum(F.col("_b")[i] * c for i, c in enumerate(z)))
+    scored = scored.withColumns({f"_g{i}": c * F.col("_u") for i, c in enumerate(z)})
     lagged = {f"_g{i}_{h}": F.lag(f"_g{i}", h).over(over) for i in range(k) for h in range(1, lags + 1)}
     scored = scored.withColumns(lagged) if lagged else scored
+    if chunk:
+        scored = scored.filter("_own")
     at = lambda i, h: F.col(f"_g{i}_{h}") if h else F.col(f"_g{i}")
     cells = [F.coalesce(F.sum(at(i, h) * F.col(f"_g{j}")), F.lit(0.0)) for h in range(lags + 1) for i in range(k) for j in range(k)]
-    sums = scored.agg(
-        F.array(*cells).alias("gg"),
-        F.array(*(F.sum(a * b) for a in z for b in z)).alias("zz"),
-        F.array(*(F.first(f"_b{i}") for i in range(k))).alias("b"),
-        F.sum(F.col("_u") * F.col("_u")).alias("uu"),
-        F.var_pop(y).alias("var"),
-        F.count(F.lit(1)).alias("n"),
-    )
+    sums = scored.groupBy(*by).agg(F.array(*cells).alias("gg"), F.first("_xx").alias("xx"), F.first("_b").alias("b"), F.sum(F.col("_u") * F.col("_u")).alias("uu"), F.var_pop(y).alias("var"), F.count(F.lit(1)).alias("n"))
 
     def finish(batches):
         for pdf in batches:
-            for r in pdf.itertuples():
-                if not r.n:
+            for r in pdf.to_dict("records"):
+                if not r["n"]:
                     continue
-                g = np.asarray(r.gg, float).reshape(lags + 1, k, k)
+                g = np.asarray(r["gg"], float).reshape(lags + 1, k, k)
                 s = g[0] + sum((1 - h / (lags + 1)) * (g[h] + g[h].T) for h in range(1, lags + 1))
-                inverse = np.linalg.pinv(np.asarray(r.zz, float).reshape(k, k), hermitian=True)
+                inverse = np.asarray(r["xx"], float).reshape(k, k)
                 se = np.sqrt(np.maximum(np.diag(inverse @ s @ inverse), 0))
-                r2 = 1 - r.uu / (r.var * r.n) if r.var > 0 else np.nan
-                coef = np.asarray(r.b, float)
+                r2 = 1 - r["uu"] / (r["var"] * r["n"]) if r["var"] > 0 else np.nan
+                coef = np.asarray(r["b"], float)
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    yield pd.DataFrame({"param": names, "coef": coef, "stderr": se, "tstat": np.where(se > 0, coef / se, np.nan), "r2": r2, "n_obs": int(r.n)})
+                    tstat = np.where(se > 0, coef / se, np.nan)
+                yield pd.DataFrame({**{c: r[c] for c in by}, "param": names, "coef": coef, "stderr": se, "tstat": tstat, "r2": r2, "n_obs": int(r["n"])})
 
-    return sums.mapInPandas(finish, "param string, coef double, stderr double, tstat double, r2 double, n_obs long")
+    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by]
+    return sums.mapInPandas(finish, ", ".join([*kinds, "param string, coef double, stderr double, tstat double, r2 double, n_obs long"]))
 
 
-def residuals(df: DataFrame, y: str, x: Sequence[str]) -> DataFrame:
-    df = df.select("date", y, *x).na.drop("any")
-    fit = solved(gram(df, y, x), x, [], "").withColumnsRenamed({n: f"_b{i}" for i, n in enumerate(["alpha", *x])})
-    return df.join(F.broadcast(fit)).select("date", (F.col(y) - F.col("_b0") - sum((F.col(f"_b{i + 1}") * F.col(c) for i, c in enumerate(x)), F.lit(0.0))).alias("resid"))
+def residuals(df: DataFrame, y: str, x: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    by = list(by)
+    df = df.select(*by, "date", y, *x).na.drop("any", subset=[y, *x])
+    fit = least_squares(df, y, x, by).select(*by, F.array(*(F.col(f"`{n}`") for n in ("alpha", *x))).alias("_b"))
+    joined = df.join(fit, by) if by else df.join(F.broadcast(fit))
+    return joined.select(*by, "date", (F.col(y) - F.col("_b")[0] - sum((F.col("_b")[i + 1] * F.col(c) for i, c in enumerate(x)), F.lit(0.0))).alias("resid"))
+
+
+def rolling_regression(df: DataFrame, y: str, x: Sequence[str], window: int = 63, by: Sequence[str] = (), chunk: str = "year") -> DataFrame:
+    """(by, date, alpha, betas) over full windows of dates, from each window's own rows.
+
+    Blocks of a series with carried edges; without by, it is numbered by slots of time (chunk). Windows without
+    complete rows have none.
+    """
+    return windowed(framed(df.select(*by, "date", y, *x), window, "date", chunk, by=by), y, x, window, by)
 
 
-def rolling_regression(df: DataFrame, y: str, x: Sequence[str], window: int = 63) -> DataFrame:
-    """alpha and betas by date over full windows of dates, from windowed Gram sums."""
-    over = W.orderBy("date")
-    frame = rolling(window, over)
-    good = F.lit(True)
-    for c in (y, *x):
-        good = good & F.col(c).isNotNull()
-    z = [F.lit(1.0), *(F.col(c) for c in x)]
-    total = lambda c: F.coalesce(F.sum(F.when(good, c)).over(frame), F.lit(0.0))
-    sums = df.select("date", F.count(F.lit(1)).over(frame).alias("_n"), F.array(*(total(a * b) for a in z for b in z)).alias("zz"), F.array(*(total(a * F.col(y)) for a in z)).alias("zy"), F.count(F.when(good, 1)).over(frame).alias("n"))
-    return solved(sums.filter(F.col("_n") == window), x, ["date"], "date date")
+def enough_names(df: DataFrame, min_names: int) -> DataFrame:
+    """The rows of dates with at least so many tickers."""
+    return df.withColumn("_names", F.size(F.collect_set("ticker").over(xs()))).filter(F.col("_names") >= min_names)
 
 
-def cross_section_betas(df: DataFrame, y: str, x: Sequence[str], min_names: int = 10, winsor: tuple[float, float] = (0.01, 0.99), group: str | None = None) -> DataFrame:
+def cross_section_betas(df: DataFrame, y: str, x: Sequence[str], min_names: int = 10, winsor: tuple[float, float] = (0.01, 0.99), group: str | None = None, intercept: bool = True) -> DataFrame:
     """(date, param, beta): one regression a date on winsorized factors, with dummies for all groups but a date's first."""
-    df = df.withColumn("_names", F.size(F.collect_set("ticker").over(xs()))).filter(F.col("_names") >= min_names)
-    df = df.withColumns({c: winsorize(c, xs(), *winsor) for c in x})
-    if group is None:
-        wide = solved(gram(df, y, x, ["date"]), x, ["date"], "date date")
-        return wide.unpivot(["date"], ["alpha", *x], "param", "beta")
-    return grouped_betas(df, y, list(x), group)
+    df = enough_names(df, min_names).withColumns({c: winsorize(c, xs(), *winsor) for c in x})
+    if group is not None and intercept:
+        return grouped_betas(df, y, list(x), group)
+    names = [*(["alpha"] if intercept else []), *x]
+    if group is not None:
+        return uncentred_betas(df, y, list(x), group)
+    return least_squares(df, y, x, ["date"], intercept).unpivot(["date"], names, "param", "beta")
+
+
+def by_dummies(df: DataFrame, y: str, x: list[str], group: str) -> DataFrame:
+    """The complete rows of df with _g, the group; a null group counts as the date's first."""
+    base = F.min(group).over(xs())
+    return df.withColumn("_g", F.coalesce(F.col(group).cast("string"), base.cast("string"), F.lit(""))).na.drop("any", subset=[y, *x])
 
 
 def grouped_betas(df: DataFrame, y: str, x: list[str], group: str) -> DataFrame:
     """(date, param, beta) with dummies group_<name> for all groups but a date's first among its complete rows.
 
-    Dummies take out each group's means, so the factors' betas come from sums of products within the groups; alpha
-    is what is left of the first group's mean, a dummy's beta what is left of its group's beside it. The sums
-    combine on the map side; a null group counts as the date's first. Only k x k systems, one a date, are
-    solved in Arrow batches.
+    Dummies and an intercept take out each group's means, so the factors' betas are those of the rows less their
+    group's means; alpha is what is left of the first group's mean, a dummy's beta what is left of its group's
+    beside it.
     """
-    k = len(x)
-    base = F.min(group).over(xs())
-    df = df.withColumn("_g", F.coalesce(F.col(group).cast("string"), base.cast("string"), F.lit(""))).na.drop("any", subset=[y, *x])
-    v, n = [F.col(c) for c in x], F.col("n")
-    sums = df.groupBy("date", "_g").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.array(*(F.sum(c) for c in v)).alias("sx"),
-        F.array(*(F.sum(a * b) for a in v for b in v)).alias("sxx"), F.array(*(F.sum(a * F.col(y)) for a in v)).alias("sxy"),
-    )
-    within = F.array(*(F.col("sxx")[i * k + j] - F.col("sx")[i] * F.col("sx")[j] / n for i in range(k) for j in range(k)))
-    beside = F.array(*(F.col("sxy")[i] - F.col("sx")[i] * F.col("sy") / n for i in range(k)))
-    each = F.struct(F.col("_g").alias("g"), (F.col("sy") / n).alias("my"), F.array(*(F.col("sx")[i] / n for i in range(k))).alias("mx"))
-    by = sums.select("date", within.alias("zz"), beside.alias("zy"), each.alias("each"))
-    by = by.groupBy("date").agg(F.array(*(F.sum(F.col("zz")[i]) for i in range(k * k))).alias("zz"), F.array(*(F.sum(F.col("zy")[i]) for i in range(k))).alias("zy"), F.array_sort(F.collect_list("each")).alias("each"))
-    by = by.select("date", "zz", "zy", F.transform("each", lambda e: e["g"]).alias("g"), F.transform("each", lambda e: e["my"]).alias("my"), F.flatten(F.transform("each", lambda e: e["mx"])).alias("mx"))
-
-    def solve(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                beta = np.linalg.pinv(np.asarray(r.zz, float).reshape(k, k), rcond=1e-12, hermitian=True) @ np.asarray(r.zy, float)
-                left = np.asarray(r.my, float) - np.asarray(r.mx, float).reshape(-1, k) @ beta
-                yield pd.DataFrame({"date": r.date, "param": ["alpha", *x, *(f"{group}_{g}" for g in r.g[1:])], "beta": [left[0], *beta, *(left[1:] - left[0])]})
-
-    return by.mapInPandas(solve, "date date, param string, beta double")
+    df = by_dummies(df, y, x, group)
+    over = xs("_g")
+    within = df.select("date", *((F.col(c) - F.avg(c).over(over)).alias(c) for c in (y, *x)))
+    betas = least_squares(within, y, x, ["date"], intercept=False).select("date", F.array(*(F.col(f"`{c}`") for c in x)).alias("_b"))
+    means = df.groupBy("date", "_g").agg(F.avg(y).alias("_y"), F.array(*(F.avg(c) for c in x)).alias("_x")).join(betas, "date")
+    left = means.withColumn("_rest", F.col("_y") - sum((F.col("_b")[i] * F.col("_x")[i] for i in range(len(x))), F.lit(0.0)))
+    first = F.first("_rest").over(xs().orderBy("_g"))
+    left = left.select("date", "_g", "_rest", first.alias("_base"), F.row_number().over(xs().orderBy("_g")).alias("_nth"))
+    levels = left.select("date", F.when(F.col("_nth") == 1, "alpha").otherwise(F.concat(F.lit(f"{group}_"), "_g")).alias("param"), F.when(F.col("_nth") == 1, F.col("_base")).otherwise(F.col("_rest") - F.col("_base")).alias("beta"))
+    slopes = betas.select("date", F.inline(F.array(*(F.struct(F.lit(c).alias("param"), F.col("_b")[i].alias("beta")) for i, c in enumerate(x)))))
+    return levels.unionByName(slopes)
+
+
+def uncentred_betas(df: DataFrame, y: str, x: list[str], group: str) -> DataFrame:
+    """As grouped_betas, without an intercept: the first group's rows stay as they are, the other groups' lose their means."""
+    df = by_dummies(df, y, x, group)
+    over, first = xs("_g"), F.min("_g").over(xs())
+    kept = df.select("date", "_g", first.alias("_first"), *(F.col(c).alias(f"_raw_{c}") for c in (y, *x)), *(F.when(F.col("_g") == first, F.col(c)).otherwise(F.col(c) - F.avg(c).over(over)).alias(c) for c in (y, *x)))
+    betas = least_squares(kept, y, x, ["date"], intercept=False).select("date", F.array(*(F.col(f"`{c}`") for c in x)).alias("_b"))
+    means = kept.filter("_g > _first").groupBy("date", "_g").agg(F.avg(f"_raw_{y}").alias("_y"), F.array(*(F.avg(f"_raw_{c}") for c in x)).alias("_x")).join(betas, "date")
+    levels = means.select("date", F.concat(F.lit(f"{group}_"), "_g").alias("param"), (F.col("_y") - sum((F.col("_b")[i] * F.col("_x")[i] for i in range(len(x))), F.lit(0.0))).alias("beta"))
+    slopes = betas.select("date", F.inline(F.array(*(F.struct(F.lit(c).alias("param"), F.col("_b")[i].alias("beta")) for i, c in enumerate(x)))))
+    return levels.unionByName(slopes)
+
+
+def fama_macbeth_summary(df: DataFrame, min_names: int = 10, lags: int = 4, intercept: bool = True) -> DataFrame:
+    """One row: the dates used, the mean number of their tickers, and the settings."""
+    used = df.groupBy("date").agg(F.count_distinct("ticker").alias("_n")).filter(F.col("_n") >= min_names)
+    return used.agg(F.count(F.lit(1)).alias("n_dates_used"), F.coalesce(F.avg("_n"), F.lit(0.0)).alias("mean_cs_obs"), F.lit(lags).cast("long").alias("hac_lags_time"), F.lit(intercept).alias("add_intercept"))
 
 
 def fama_macbeth(betas: DataFrame, lags: int = 4) -> DataFrame:

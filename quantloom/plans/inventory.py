@@ -84,7 +84,7 @@ def s8_ingest_prices(s, d):
 
 @query("SELECT date, upper(ticker) AS ticker, adj_close FROM pgrid", "adj_close")
 def s10_tidy_prices(s, d):
-    return files.canonical_prices(fr.long_to_wide(P.prices(s, d), P.BRANDS, "ticker", "adj_close", "Adj_Close_"))
+    return files.canonical_prices(fr.long_to_wide(P.prices(s, d), None, "ticker", "adj_close", "Adj_Close_"))
 
 
 @query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') GROUP BY 1")

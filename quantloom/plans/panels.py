@@ -67,20 +67,32 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: All brands of the part table.
 BRANDS = [f"Brand#{i}" for i in range(1, 26)]
-#: Three of them, as the names of a pair or of a regression's series.
-SERIES = {"Brand#11": "a", "Brand#22": "b", "Brand#5": "c"}
-
-
 def wide_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(date, each of BRANDS): weekly returns as a wide frame of return series."""
     rets = asset_returns(prices(spark, sf_dir, "week"))
     return rets.groupBy("date").pivot("ticker", BRANDS).agg(F.first("ret", ignorenulls=True))
 
 
-def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(date, a, b, c): the returns of SERIES beside each other, on all dates of the table."""
-    wide = wide_returns(spark, sf_dir)
-    return wide.select("date", *(F.col(f"`{k}`").alias(v) for k, v in SERIES.items()))
+def market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date, ticker, a, b, c): each ticker's weekly return, the market's (the mean of all) and the market's of the week before."""
+    rets = asset_returns(prices(spark, sf_dir, "week"))
+    means = rets.groupBy("date").agg(F.avg("ret").alias("b"))
+    means = means.withColumn("c", F.lag("b").over(W.orderBy("date")))
+    return rets.join(means, "date").select("date", "ticker", F.col("ret").alias("a"), "b", "c")
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date, a, b, port_ret): a series with a row an event, at its time."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    value = F.col("value")
+    return events.select(F.col("ts").alias("date"), value.alias("a"), F.col("user_id").cast("double").alias("b"), ((F.round(value * 100) % 2001 - 1000) / 1000000).alias("port_ret"))
+
+
+def hourly_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date, ticker, ret): the hourly sums of each user's events, a panel of many names."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    by = events.groupBy(F.date_trunc("hour", "ts").alias("date"), F.concat(F.lit("u"), "user_id").alias("ticker"))
+    return by.agg((F.sum(F.round(F.col("value") * 100).cast("long")) / 100).alias("ret"))
 
 
 def factor_panel(df: DataFrame) -> DataFrame:
@@ -115,7 +127,10 @@ VIEWS = {
         JOIN (SELECT ticker, max_by(shares_out, date) AS shares_out FROM funda GROUP BY 1) r USING (ticker)""",
     "rets": "SELECT date, ticker, adj_close / lag(adj_close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM prices",
     "wrets": "SELECT date, ticker, adj_close / lag(adj_close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM weekly",
-    "series": "SELECT date, " + ", ".join(f"max(ret) FILTER (ticker = '{k}') AS {v}" for k, v in SERIES.items()) + " FROM wrets GROUP BY date",
+    "mkt": "SELECT date, b, lag(b) OVER (ORDER BY date) AS c FROM (SELECT date, avg(ret) AS b FROM wrets GROUP BY date)",
+    "series": "SELECT w.date, w.ticker, w.ret AS a, m.b, m.c FROM wrets w JOIN mkt m ON w.date = m.date",
+    "ticks": "SELECT ts AS date, value AS a, user_id::DOUBLE AS b, (round(value * 100) % 2001 - 1000) / 1000000 AS port_ret FROM events",
+    "users": "SELECT date_trunc('hour', ts) AS date, 'u' || user_id AS ticker, sum(round(value * 100)::BIGINT) / 100 AS ret FROM events GROUP BY 1, 2",
     "wgrid": "SELECT d.date, t.ticker, w.ret FROM (SELECT DISTINCT date FROM wrets) d CROSS JOIN (SELECT DISTINCT ticker FROM wrets) t LEFT JOIN wrets w ON w.date = d.date AND w.ticker = t.ticker",
     "pgrid": "SELECT d.date, t.ticker, w.adj_close FROM (SELECT DISTINCT date FROM prices) d CROSS JOIN (SELECT DISTINCT ticker FROM prices) t LEFT JOIN prices w ON w.date = d.date AND w.ticker = t.ticker",
     "sig": """SELECT date, ticker, adj_close / lag(adj_close, 1) OVER w - 1 AS x, lag(adj_close, 1) OVER w / lag(adj_close, 2) OVER w - 1 AS y,

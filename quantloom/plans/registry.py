@@ -11,6 +11,8 @@ from quantloom.functions import columns as C
 from quantloom.operators import calendar as cal
 from quantloom.operators import factors as fac
 from quantloom.operators import frames as fr
+from quantloom.operators import least_squares as ls
+from quantloom.operators import matrices as mx
 from quantloom.operators import portfolio as pf
 from quantloom.operators import statistics as st
 from quantloom.plans import panels as P
@@ -75,20 +77,19 @@ def s14_duplicate_keys(s, d):
 
 @query("SELECT date, upper(ticker) AS ticker, adj_close FROM pgrid", "adj_close")
 def r1_wide_to_long(s, d):
-    return fr.wide_to_long(fr.long_to_wide(P.prices(s, d), P.BRANDS, "ticker", "adj_close", "adj_close_"))
+    return fr.wide_to_long(fr.long_to_wide(P.prices(s, d), None, "ticker", "adj_close", "adj_close_"))
 
 
 @query("SELECT date, " + ", ".join(f"max(ret) FILTER (ticker = '{b}') AS \"ret_{b}\"" for b in P.BRANDS) + " FROM rets GROUP BY date", *(f'"ret_{b}"' for b in P.BRANDS))
 def r2_long_to_wide(s, d):
-    return fr.long_to_wide(pf.asset_returns(P.prices(s, d)), P.BRANDS, "ticker", "ret")
+    return fr.long_to_wide(pf.asset_returns(P.prices(s, d)), None, "ticker", "ret")
 
 
 @query("SELECT date, upper(ticker) AS ticker, adj_close AS px, ret FROM prices JOIN rets USING (date, ticker) WHERE ret IS NOT NULL", "px", "ret")
 def r4_stack_matrices(s, d):
     px = P.prices(s, d)
-    a = fr.long_to_wide(px, P.BRANDS, "ticker", "adj_close", "")
-    b = fr.long_to_wide(pf.asset_returns(px), P.BRANDS, "ticker", "ret", "")
-    return fr.stack_matrices(a, b, P.BRANDS, "px", "ret").withColumn("ticker", F.upper("ticker"))
+    out = fr.stack_panels(px.withColumnRenamed("adj_close", "px"), pf.asset_returns(px), "px", "ret")
+    return out.withColumn("ticker", F.upper("ticker"))
 
 
 @query("SELECT ticker, date, adj_close FROM prices QUALIFY row_number() OVER (PARTITION BY ticker, date_trunc('month', date) ORDER BY date) = 1", "adj_close")
@@ -103,10 +104,9 @@ def r10_dedup_last(s, d):
     return fr.dedup_first(px, ["ticker", "month"], [F.desc("date")]).drop("month")
 
 
-@query("SELECT DISTINCT date FROM prices WHERE ticker = 'Brand#11' INTERSECT SELECT DISTINCT date FROM prices WHERE ticker = 'Brand#22'")
+@query("SELECT date FROM weekly GROUP BY date HAVING count(DISTINCT ticker) = (SELECT count(DISTINCT ticker) FROM weekly)")
 def r11_common_dates(s, d):
-    px = P.prices(s, d)
-    return px.filter("ticker = 'Brand#11'").select("date").intersect(px.filter("ticker = 'Brand#22'").select("date"))
+    return fr.common_times(P.prices(s, d, "week"))
 
 
 @query("SELECT date, ticker, adj_close FROM prices ORDER BY adj_close DESC, date, ticker LIMIT 20", "adj_close")
@@ -473,7 +473,7 @@ def f3_turnover(s, d):
 
 @query("SELECT date, wealth, peak, drawdown FROM curve", "wealth", "peak", "drawdown")
 def f4_drawdown_curve(s, d):
-    return pf.drawdown_curve(backtest(s, d)["port"])
+    return pf.drawdown_curve(backtest(s, d)["port"], "year")
 
 
 @query("SELECT min(drawdown) AS max_drawdown FROM curve", "max_drawdown")
@@ -495,7 +495,7 @@ def f6_summary(s, d):
 
 @query('SELECT start, valley, "end", depth, length_days, recovery_days FROM episodes', "depth")
 def f7_drawdown_episodes(s, d):
-    return pf.drawdown_episodes(backtest(s, d)["port"])
+    return pf.drawdown_episodes(backtest(s, d)["port"], "year")
 
 
 @query('SELECT row_number() OVER (ORDER BY depth, start) AS rank, start, valley, "end", round_even(depth, 4) AS depth, length_days, recovery_days FROM (SELECT * FROM episodes ORDER BY depth, start LIMIT 5)', "depth")
@@ -508,6 +508,22 @@ def f9_histogram(s, d):
     return pf.histogram(backtest(s, d)["port"])
 
 
+P.VIEWS |= {
+    "tick_wealth": "SELECT date, product(1 + port_ret) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS wealth FROM ticks",
+    "tick_curve": "SELECT date, wealth, max(wealth) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS peak FROM tick_wealth",
+}
+
+
+@query("SELECT date, wealth, peak, wealth / peak - 1 AS drawdown FROM tick_curve", "wealth", "peak", "drawdown")
+def f4_drawdown_curve_ticks(s, d):
+    return pf.drawdown_curve(P.ticks(s, d), "day")
+
+
+@query("SELECT date, CASE WHEN count(port_ret) OVER w = 63 THEN stddev_samp(port_ret) OVER w * sqrt(252) END AS vol, CASE WHEN count(port_ret) OVER w = 63 AND stddev_samp(port_ret) OVER w > 1e-12 THEN avg(port_ret) OVER w / stddev_samp(port_ret) OVER w * sqrt(252) END AS sharpe FROM ticks WINDOW w AS (ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)", "vol", "sharpe")
+def t8_rolling_risk_ticks(s, d):
+    return pf.rolling_risk(P.ticks(s, d), chunk="day")
+
+
 # Information coefficients
 
 
@@ -607,29 +623,47 @@ _PAIR = "CASE WHEN stddev_pop(CASE WHEN y.ret IS NOT NULL THEN x.ret END) {o} >
 
 @query(f'SELECT x.ticker AS "row", y.ticker AS col, {_PAIR.format(o="")} AS corr FROM wrets x JOIN wrets y USING (date) WHERE date IN (SELECT date FROM wrets GROUP BY date HAVING count(ret) > 0) GROUP BY 1, 2', "corr")
 def rc5_series_corr(s, d):
-    return st.series_corr(P.wide_returns(s, d), P.BRANDS, dropna="all")
+    return mx.panel_corr(pf.asset_returns(P.prices(s, d, "week")))
+
+
+P.VIEWS["wranks"] = "SELECT date, ticker, CASE WHEN ret IS NOT NULL THEN rank() OVER (PARTITION BY ticker ORDER BY ret NULLS LAST) + (count(*) OVER (PARTITION BY ticker, ret) - 1) / 2.0 END AS ret FROM wrets"
+
+
+@query(f'SELECT x.ticker AS "row", y.ticker AS col, {_PAIR.format(o="")} AS corr FROM wranks x JOIN wranks y USING (date) GROUP BY 1, 2', "corr")
+def rc5_series_spearman(s, d):
+    return mx.panel_corr(pf.asset_returns(P.prices(s, d, "week")), method="spearman")
+
 
+@query(f'SELECT x.ticker AS "row", y.ticker AS col, {_PAIR.format(o="")} AS corr FROM users x JOIN users y USING (date) GROUP BY 1, 2', "corr")
+def rc5_many_series(s, d):
+    return mx.panel_corr(P.hourly_users(s, d))
 
-_ROLL = "SELECT date, CASE WHEN count(a + b) OVER w = {n} AND stddev_pop(CASE WHEN b IS NOT NULL THEN a END) OVER w > 1e-12 AND stddev_pop(CASE WHEN a IS NOT NULL THEN b END) OVER w > 1e-12 THEN covar_pop(a, b) OVER w / (stddev_pop(CASE WHEN b IS NOT NULL THEN a END) OVER w * stddev_pop(CASE WHEN a IS NOT NULL THEN b END) OVER w) END AS corr FROM series WINDOW w AS (ORDER BY date ROWS BETWEEN {m} PRECEDING AND CURRENT ROW)"
 
+_ROLL = "SELECT {k}date, CASE WHEN count(a + b) OVER w = {n} AND stddev_pop(CASE WHEN b IS NOT NULL THEN a END) OVER w > 1e-12 AND stddev_pop(CASE WHEN a IS NOT NULL THEN b END) OVER w > 1e-12 THEN covar_pop(a, b) OVER w / (stddev_pop(CASE WHEN b IS NOT NULL THEN a END) OVER w * stddev_pop(CASE WHEN a IS NOT NULL THEN b END) OVER w) END AS corr FROM {t} WINDOW w AS ({p}ORDER BY date ROWS BETWEEN {m} PRECEDING AND CURRENT ROW)"
 
-@query(_ROLL.format(n=26, m=25), "corr")
+
+@query(_ROLL.format(k="ticker, ", t="series", p="PARTITION BY ticker ", n=26, m=25), "corr")
 def rc6_rolling_corr(s, d):
-    return st.rolling_corr(P.series(s, d), "a", "b", 26)
+    return st.rolling_corr(P.market(s, d), "a", "b", 26, by=["ticker"])
+
 
+@query(_ROLL.format(k="", t="ticks", p="", n=63, m=62), "corr")
+def rc6_rolling_corr_ticks(s, d):
+    return st.rolling_corr(P.ticks(s, d), "a", "b", 63, chunk="day")
 
-@query("""WITH n AS (SELECT date, a, b, row_number() OVER (ORDER BY date) AS i FROM series),
-    p AS (SELECT e.date, m.i, m.a, m.b FROM n e JOIN n m ON m.i BETWEEN e.i - 12 AND e.i), r AS (SELECT date, a, b,
-    rank() OVER (PARTITION BY date ORDER BY a) + (count(*) OVER (PARTITION BY date, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY date ORDER BY b) + (count(*) OVER (PARTITION BY date, b) - 1) / 2.0 AS rb FROM p)
-    SELECT date, CASE WHEN count(a + b) = 13 AND stddev_pop(ra) > 1e-12 AND stddev_pop(rb) > 1e-12 THEN covar_pop(ra, rb) / (stddev_pop(ra) * stddev_pop(rb)) END AS corr FROM r GROUP BY date""".replace("WITH n AS (SELECT date, a, b, row_number() OVER (ORDER BY date) AS i FROM series),\n    p AS", "SELECT * FROM (WITH n AS (SELECT date, a, b, row_number() OVER (ORDER BY date) AS i FROM series), p AS") + ")", "corr")
+
+@query("""SELECT * FROM (WITH n AS (SELECT date, ticker, a, b, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i FROM series),
+    p AS (SELECT e.ticker, e.date, m.i, m.a, m.b FROM n e JOIN n m ON m.ticker = e.ticker AND m.i BETWEEN e.i - 12 AND e.i), r AS (SELECT ticker, date, a, b,
+    rank() OVER (PARTITION BY ticker, date ORDER BY a) + (count(*) OVER (PARTITION BY ticker, date, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY ticker, date ORDER BY b) + (count(*) OVER (PARTITION BY ticker, date, b) - 1) / 2.0 AS rb FROM p)
+    SELECT ticker, date, CASE WHEN count(a + b) = 13 AND stddev_pop(ra) > 1e-12 AND stddev_pop(rb) > 1e-12 THEN covar_pop(ra, rb) / (stddev_pop(ra) * stddev_pop(rb)) END AS corr FROM r GROUP BY ticker, date)""", "corr")
 def rc6_rolling_spearman(s, d):
-    return st.rolling_corr(P.series(s, d), "a", "b", 13, "spearman")
+    return st.rolling_corr(P.market(s, d), "a", "b", 13, "spearman", by=["ticker"])
 
 
-@query(f"""SELECT date, "row", col, corr FROM (SELECT x.date, x.ticker AS "row", y.ticker AS col, count(*) OVER w AS n, {_PAIR.format(o="OVER w")} AS corr FROM wgrid x JOIN wgrid y ON x.date = y.date AND substr(x.ticker, 7)::int < substr(y.ticker, 7)::int
+@query(f"""SELECT date, "row", col, corr FROM (SELECT x.date, x.ticker AS "row", y.ticker AS col, count(*) OVER w AS n, {_PAIR.format(o="OVER w")} AS corr FROM wgrid x JOIN wgrid y ON x.date = y.date AND x.ticker < y.ticker
     WINDOW w AS (PARTITION BY x.ticker, y.ticker ORDER BY x.date ROWS BETWEEN 25 PRECEDING AND CURRENT ROW)) WHERE n = 26""", "corr")
 def rc7_rolling_matrices(s, d):
-    return st.rolling_matrices(P.wide_returns(s, d), P.BRANDS, 26)
+    return mx.panel_rolling(pf.asset_returns(P.prices(s, d, "week")), 26)
 
 
 @query(f"SELECT * FROM ({_cells('sig', '')}) WHERE \"row\" < col", "corr")
@@ -640,50 +674,68 @@ def rc8_upper_triangle(s, d):
 # Regressions
 
 
-P.VIEWS["ab"] = "SELECT date, a, b FROM series WHERE a IS NOT NULL AND b IS NOT NULL"
-P.VIEWS["fit"] = "SELECT regr_slope(a, b) AS slope, regr_intercept(a, b) AS icept, regr_r2(a, b) AS r2, count(*) AS n, sum(b) AS sb, sum(b * b) AS sbb FROM ab"
-P.VIEWS["u"] = "SELECT date, a - icept - slope * b AS u, b FROM ab, fit"
-P.VIEWS["gg"] = "SELECT *, " + ", ".join(f"lag(u, {h}) OVER (ORDER BY date) AS u{h}, lag(b, {h}) OVER (ORDER BY date) AS b{h}" for h in range(1, 5)) + " FROM u"
+P.VIEWS["ab"] = "SELECT date, ticker, a, b FROM series WHERE a IS NOT NULL AND b IS NOT NULL"
+P.VIEWS["fit"] = "SELECT ticker, regr_slope(a, b) AS slope, regr_intercept(a, b) AS icept, regr_r2(a, b) AS r2, count(*) AS n, sum(b) AS sb, sum(b * b) AS sbb FROM ab GROUP BY ticker"
+P.VIEWS["u"] = "SELECT date, ticker, a - icept - slope * b AS u, b FROM ab JOIN fit USING (ticker)"
+P.VIEWS["gg"] = "SELECT *, " + ", ".join(f"lag(u, {h}) OVER w AS u{h}, lag(b, {h}) OVER w AS b{h}" for h in range(1, 5)) + " FROM u WINDOW w AS (PARTITION BY ticker ORDER BY date)"
 _S = lambda left, right: " + ".join([f"sum(u * u * {left.format(b='b')} * {right.format(b='b')})"] + [f"{1 - h / 5!r} * coalesce(sum(u{h} * u * ({left.format(b=f'b{h}')} * {right.format(b='b')} + {left.format(b='b')} * {right.format(b=f'b{h}')})), 0)" for h in range(1, 5)])
-P.VIEWS["meat"] = f"SELECT {_S('1', '1')} AS s00, {_S('1', '{b}')} AS s01, {_S('{b}', '{b}')} AS s11 FROM gg"
+P.VIEWS["meat"] = f"SELECT ticker, {_S('1', '1')} AS s00, {_S('1', '{b}')} AS s01, {_S('{b}', '{b}')} AS s11 FROM gg GROUP BY ticker"
 P.VIEWS["sandwich"] = """SELECT *, sqrt((sbb * sbb * s00 - 2 * sbb * sb * s01 + sb * sb * s11) / (n * sbb - sb * sb) ^ 2) AS se0,
-    sqrt((sb * sb * s00 - 2 * n * sb * s01 + n::DOUBLE * n * s11) / (n * sbb - sb * sb) ^ 2) AS se1 FROM fit, meat"""
+    sqrt((sb * sb * s00 - 2 * n * sb * s01 + n::DOUBLE * n * s11) / (n * sbb - sb * sb) ^ 2) AS se1 FROM fit JOIN meat USING (ticker)"""
 
 
-@query("SELECT 'alpha' AS param, icept AS coef, se0 AS stderr, icept / se0 AS tstat, r2, n AS n_obs FROM sandwich UNION ALL SELECT 'b', slope, se1, slope / se1, r2, n FROM sandwich", "coef", "stderr", "tstat", "r2")
+@query("SELECT ticker, 'alpha' AS param, icept AS coef, se0 AS stderr, icept / se0 AS tstat, r2, n AS n_obs FROM sandwich UNION ALL SELECT ticker, 'b', slope, se1, slope / se1, r2, n FROM sandwich", "coef", "stderr", "tstat", "r2")
 def e3_ts_regression(s, d):
-    return st.ts_regression(P.series(s, d), "a", ["b"])
+    return st.ts_regression(P.market(s, d), "a", ["b"], by=["ticker"])
 
 
 def _two_regressors() -> dict[str, str]:
-    """Views of a on b and c: the 3 x 3 sums of products, their inverse by cofactors, scores and their lagged products."""
+    """Views of a on b and c for each ticker: the 3 x 3 sums of products, their inverse by cofactors, scores and their lagged products."""
     inverse = {"00": "sbb * scc - sbc * sbc", "01": "sc * sbc - sb * scc", "02": "sb * sbc - sc * sbb", "11": "n * scc - sc * sc", "12": "sb * sc - n * sbc", "22": "n * sbb - sb * sb"}
     at = lambda i, j: f"i{min(i, j)}{max(i, j)}"
     product = lambda i, j: " + ".join(f"{1 - h / 5!r} * (sum(g{i}_{h} * g{j}) + sum(g{j}_{h} * g{i}))" for h in range(1, 5))
     error = lambda j: " + ".join(f"{at(j, k)} * s{k}{m} * {at(m, j)}" for k in range(3) for m in range(3))
     return {
-        "abc_rows": "SELECT date, a, b, c FROM series WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL",
-        "abc_sums": "SELECT count(*)::DOUBLE AS n, sum(b) AS sb, sum(c) AS sc, sum(b * b) AS sbb, sum(c * c) AS scc, sum(b * c) AS sbc, sum(a) AS sa, sum(a * b) AS sab, sum(a * c) AS sac, var_pop(a) AS va FROM abc_rows",
+        "abc_rows": "SELECT date, ticker, a, b, c FROM series WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL",
+        "abc_sums": "SELECT ticker, count(*)::DOUBLE AS n, sum(b) AS sb, sum(c) AS sc, sum(b * b) AS sbb, sum(c * c) AS scc, sum(b * c) AS sbc, sum(a) AS sa, sum(a * b) AS sab, sum(a * c) AS sac, var_pop(a) AS va FROM abc_rows GROUP BY ticker",
         "abc_inverse": "SELECT *, " + ", ".join(f"({v}) / det AS i{k}" for k, v in inverse.items()) + " FROM (SELECT *, n * (sbb * scc - sbc * sbc) - sb * (sb * scc - sbc * sc) + sc * (sb * sbc - sbb * sc) AS det FROM abc_sums)",
         "abc_coef": "SELECT *, " + ", ".join(f"{at(i, 0)} * sa + {at(i, 1)} * sab + {at(i, 2)} * sac AS k{i}" for i in range(3)) + " FROM abc_inverse",
-        "abc_scores": "SELECT date, e, e AS g0, e * b AS g1, e * c AS g2 FROM (SELECT date, b, c, a - k0 - k1 * b - k2 * c AS e FROM abc_rows, abc_coef)",
-        "abc_lagged": "SELECT *, " + ", ".join(f"lag(g{i}, {h}) OVER (ORDER BY date) AS g{i}_{h}" for i in range(3) for h in range(1, 5)) + " FROM abc_scores",
-        "abc_products": "SELECT sum(e * e) AS see, " + ", ".join(f"sum(g{i} * g{j}) + {product(i, j)} AS s{i}{j}" for i in range(3) for j in range(3)) + " FROM abc_lagged",
-        "abc_fit": "SELECT n, 1 - see / (va * n) AS r2, k0, k1, k2, " + ", ".join(f"sqrt({error(j)}) AS e{j}" for j in range(3)) + " FROM abc_coef, abc_products",
+        "abc_scores": "SELECT date, ticker, e, e AS g0, e * b AS g1, e * c AS g2 FROM (SELECT date, ticker, b, c, a - k0 - k1 * b - k2 * c AS e FROM abc_rows JOIN abc_coef USING (ticker))",
+        "abc_lagged": "SELECT *, " + ", ".join(f"lag(g{i}, {h}) OVER w AS g{i}_{h}" for i in range(3) for h in range(1, 5)) + " FROM abc_scores WINDOW w AS (PARTITION BY ticker ORDER BY date)",
+        "abc_products": "SELECT ticker, sum(e * e) AS see, " + ", ".join(f"sum(g{i} * g{j}) + {product(i, j)} AS s{i}{j}" for i in range(3) for j in range(3)) + " FROM abc_lagged GROUP BY ticker",
+        "abc_fit": "SELECT ticker, n, 1 - see / (va * n) AS r2, k0, k1, k2, " + ", ".join(f"sqrt({error(j)}) AS e{j}" for j in range(3)) + " FROM abc_coef JOIN abc_products USING (ticker)",
     }
 
 
 P.VIEWS |= _two_regressors()
 
 
-@query(" UNION ALL ".join(f"SELECT '{p}' AS param, k{i} AS coef, e{i} AS stderr, k{i} / e{i} AS tstat, r2, n::BIGINT AS n_obs FROM abc_fit" for i, p in enumerate(("alpha", "b", "c"))), "coef", "stderr", "tstat", "r2")
+@query(" UNION ALL ".join(f"SELECT ticker, '{p}' AS param, k{i} AS coef, e{i} AS stderr, k{i} / e{i} AS tstat, r2, n::BIGINT AS n_obs FROM abc_fit" for i, p in enumerate(("alpha", "b", "c"))), "coef", "stderr", "tstat", "r2")
 def e3_ts_regression_two(s, d):
-    return st.ts_regression(P.series(s, d), "a", ["b", "c"])
+    return st.ts_regression(P.market(s, d), "a", ["b", "c"], by=["ticker"])
+
+
+#: y on x and on z, a thousandth of another signal beside x: from the well-conditioned regression on x and the signal.
+P.VIEWS["near_rows"] = "SELECT ticker, fwd_ret AS r, x, z FROM sig WHERE x IS NOT NULL AND z IS NOT NULL AND fwd_ret IS NOT NULL"
+P.VIEWS["near_dev"] = "SELECT ticker, r - avg(r) OVER w AS dr, x - avg(x) OVER w AS dx, z - avg(z) OVER w AS dz, avg(r) OVER w AS mr, avg(x) OVER w AS mx, avg(z) OVER w AS mz FROM near_rows WINDOW w AS (PARTITION BY ticker)"
+P.VIEWS["near_sums"] = "SELECT ticker, sum(dx * dr) AS sxr, sum(dz * dr) AS szr, sum(dx * dx) AS sxx, sum(dz * dz) AS szz, sum(dx * dz) AS sxz, any_value(mr) AS mr, any_value(mx) AS mx, any_value(mz) AS mz FROM near_dev GROUP BY ticker"
+P.VIEWS["near_fit"] = "SELECT *, (sxr * szz - szr * sxz) / (sxx * szz - sxz * sxz) AS bx, (szr * sxx - sxr * sxz) / (sxx * szz - sxz * sxz) AS bz FROM near_sums"
+
+
+@query("SELECT ticker, mr - bx * mx - bz * mz AS alpha, bx - 1000 * bz AS x, 1000 * bz AS near FROM near_fit", "alpha", "x", "near")
+def e1_near_collinear(s, d):
+    df = signals(s, d).withColumn("near", F.col("x") + F.col("z") / 1000)
+    return ls.least_squares(df, "fwd_ret", ["x", "near"], ["ticker"]).select("ticker", "alpha", "x", "near")
 
 
-@query("SELECT date, CASE WHEN regr_count(a, b) OVER w > 0 THEN regr_intercept(a, b) OVER w END AS alpha, regr_slope(a, b) OVER w AS b FROM series WINDOW w AS (ORDER BY date ROWS BETWEEN 51 PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER w = 52", "alpha", "b")
+@query("SELECT ticker, date, CASE WHEN regr_count(a, b) OVER w > 0 THEN regr_intercept(a, b) OVER w END AS alpha, regr_slope(a, b) OVER w AS b FROM series WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 51 PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER w = 52", "alpha", "b")
 def e4_rolling_regression(s, d):
-    return st.rolling_regression(P.series(s, d), "a", ["b"], 52)
+    return st.rolling_regression(P.market(s, d), "a", ["b"], 52, by=["ticker"])
+
+
+@query("SELECT date, regr_intercept(a, b) OVER w AS alpha, regr_slope(a, b) OVER w AS b FROM ticks WINDOW w AS (ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER w = 63", "alpha", "b")
+def e4_rolling_regression_ticks(s, d):
+    return st.rolling_regression(P.ticks(s, d), "a", ["b"], 63, chunk="day")
 
 
 P.VIEWS["fmx"] = "SELECT date, ticker, fwd_ret, least(greatest(x, quantile_cont(x, 0.01) OVER (PARTITION BY date)), quantile_cont(x, 0.99) OVER (PARTITION BY date)) AS xw, x FROM sig QUALIFY count(*) OVER (PARTITION BY date) >= 10"
@@ -707,6 +759,16 @@ def e5_fama_macbeth(s, d):
     return st.fama_macbeth(st.cross_section_betas(signals(s, d), "fwd_ret", ["x"]))
 
 
+@query("SELECT count(*) AS n_dates_used, avg(n) AS mean_cs_obs, 4::BIGINT AS hac_lags_time, true AS add_intercept FROM (SELECT date, count(DISTINCT ticker) AS n FROM sig GROUP BY date HAVING count(DISTINCT ticker) >= 10)", "mean_cs_obs")
+def e5_fama_macbeth_summary(s, d):
+    return st.fama_macbeth_summary(signals(s, d))
+
+
+@query("SELECT date, 'x' AS param, sum(xw * fwd_ret) / sum(xw * xw) AS beta FROM fmx WHERE x IS NOT NULL AND fwd_ret IS NOT NULL GROUP BY date", "beta")
+def e5_betas_through_origin(s, d):
+    return st.cross_section_betas(signals(s, d), "fwd_ret", ["x"], intercept=False)
+
+
 def _cut(c: str) -> str:
     return f"least(greatest({c}, quantile_cont({c}, 0.01) OVER (PARTITION BY date)), quantile_cont({c}, 0.99) OVER (PARTITION BY date)) AS {c}w"
 
@@ -740,9 +802,9 @@ def e5_fama_macbeth_groups(s, d):
     return st.fama_macbeth(by_group(s, d))
 
 
-@query("SELECT date, u AS resid FROM u", "resid")
+@query("SELECT date, ticker, u AS resid FROM u", "resid")
 def e6_residuals(s, d):
-    return st.residuals(P.series(s, d), "a", ["b"])
+    return st.residuals(P.market(s, d), "a", ["b"], ["ticker"])
 
 
 # Reports

@@ -83,44 +83,68 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch:
     df.write.mode(mode).format("jdbc").options(url=url, dbtable=table, batchsize=str(batch), **options).save()
 
 
-#: Fixed formats of the three dialects; {set} is empty where only keys are written.
+#: Fixed formats of the dialects' statements; {set} is what a row that is there gets.
 UPSERTS = {
-    "postgres": "INSERT INTO {t} ({c}) VALUES ({v}) ON CONFLICT ({k}) DO {set}",
+    "postgresql": "INSERT INTO {t} ({c}) VALUES ({v}) ON CONFLICT ({k}) DO {set}",
     "mysql": "INSERT INTO {t} ({c}) VALUES ({v}) ON DUPLICATE KEY UPDATE {set}",
     "sqlite": "INSERT INTO {t} ({c}) VALUES ({v}) ON CONFLICT ({k}) DO {set}",
 }
 
 
+def quoted(name: str, dialect: str) -> str:
+    """A name as the dialect's identifier, whatever is in it."""
+    mark = "`" if dialect == "mysql" else '"'
+    return mark + name.replace(mark, mark * 2) + mark
+
+
 def upsert_statement(dialect: str, table: str, columns: Sequence[str], keys: Sequence[str], mark: str = "?") -> str:
-    """The statement that writes a row by key; one of keys alone changes nothing where the row is there."""
+    """The statement that writes a row by key; one of keys alone changes nothing where the row is there.
+
+    postgres is postgresql. Of a dialect that is not known, rows are appended.
+    """
+    dialect = "postgresql" if dialect == "postgres" else dialect
+    if missing := [k for k in keys if k not in columns]:
+        raise ValueError(f"keys that are no columns: {missing}")
+    name = lambda c: quoted(c, dialect)
+    listed, marks = ", ".join(map(name, columns)), ", ".join(mark for _ in columns)
+    if dialect not in UPSERTS:
+        return f"INSERT INTO {name(table)} ({listed}) VALUES ({marks})"
     rest = [c for c in columns if c not in keys]
     if dialect == "mysql":
-        sets = ", ".join(f"{c} = VALUES({c})" for c in rest or [keys[0]])
+        sets = ", ".join(f"{name(c)} = VALUES({name(c)})" for c in rest or [keys[0]])
     else:
-        sets = "UPDATE SET " + ", ".join(f"{c} = excluded.{c}" for c in rest) if rest else "NOTHING"
-    return UPSERTS[dialect].format(t=table, c=", ".join(columns), v=", ".join(mark for _ in columns), k=", ".join(keys), set=sets)
+        sets = "UPDATE SET " + ", ".join(f"{name(c)} = excluded.{name(c)}" for c in rest) if rest else "NOTHING"
+    return UPSERTS[dialect].format(t=name(table), c=listed, v=marks, k=", ".join(map(name, keys)), set=sets)
+
 
+def upsert_rows(df: DataFrame, connect, table: str, keys: Sequence[str], dialect: str, batch: int = 10_000) -> int:
+    """Upsert over connections that connect() opens in each partition (PEP 249), in batches; the rows that were sent.
 
-def upsert_rows(df: DataFrame, connect, table: str, keys: Sequence[str], dialect: str, batch: int = 10_000) -> None:
-    """Upsert over connections that connect() opens in each partition (PEP 249), in batches."""
+    Keys that come twice in df are to be settled before (see frames.upsert and dedup_first), as partitions write
+    side by side.
+    """
     columns, statement = df.columns, upsert_statement(dialect, table, df.columns, keys, "?" if dialect == "sqlite" else "%s")
+    sent = df.sparkSession.sparkContext.accumulator(0)
 
     def write(rows) -> None:
         link = connect()
         held: list[tuple] = []
+        n = 0
         try:
             for row in rows:
                 held.append(tuple(row[c] for c in columns))
                 if len(held) == batch:
                     link.cursor().executemany(statement, held)
-                    held = []
+                    n, held = n + len(held), []
             if held:
                 link.cursor().executemany(statement, held)
             link.commit()
+            sent.add(n + len(held))
         finally:
             link.close()
 
     df.foreachPartition(write)
+    return sent.value
 
 
 def upsert_parquet(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], staging: str, order: Column | None = None) -> None:

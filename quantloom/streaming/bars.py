@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quantloom.operators.frames import dedup_first
 from quantloom.sources.files import upsert_parquet
+from quantloom.sources.partitions import upsert_partitions
 
 
 def stream(spark: SparkSession, path: str, ddl: str, files: int = 100) -> DataFrame:
@@ -25,11 +26,17 @@ def bars(events: DataFrame, symbol: str = "event_type", value: str = "value", at
     return out.select("symbol", F.col("_w.start").cast("timestamp_ntz").alias("timestamp"), "open", "high", "low", "close", "volume")
 
 
-def upsert_stream(df: DataFrame, path: str, keys: Sequence[str], order: str, checkpoint: str) -> StreamingQuery:
-    """Each batch's last row of a key goes into the Parquet table at path; a repeated batch changes nothing."""
+def upsert_stream(df: DataFrame, path: str, keys: Sequence[str], order: str, checkpoint: str, by: str | None = None) -> StreamingQuery:
+    """Each batch's last row of a key goes into the Parquet table at path; a repeated batch changes nothing.
+
+    by: the column that the table is partitioned by; then a batch rewrites only the partitions that it changes.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         latest = dedup_first(batch, keys, [F.desc(order)])
-        upsert_parquet(batch.sparkSession, path, latest, keys, f"{path}-staging")
+        if by:
+            upsert_partitions(batch.sparkSession, path, latest, keys, by)
+        else:
+            upsert_parquet(batch.sparkSession, path, latest, keys, f"{path}-staging")
 
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

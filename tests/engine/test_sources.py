@@ -110,5 +110,5 @@ def test_runs_write_their_artifacts(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/dash/perf_summary.json").count() == 1
     assert spark.read.option("header", True).csv(f"{tmp_path}/reports/performance_summary.csv").count() == 1
     run = momentum_backtest(px)
-    tables = tearsheet(px, run["weights"], run["factors"], ["momentum_z"], 4, panels.series(spark, DATA), ["a", "b"])
+    tables = tearsheet(px, run["weights"], run["factors"], ["momentum_z"], 4, panels.wide_returns(spark, DATA), panels.BRANDS[:2])
     assert set(tables) == {"summary", "returns", "drawdowns", "cs_corr", "ic", "ts_corr"} and all(t.count() for t in tables.values())
