@@ -259,7 +259,7 @@ def rolling_risk(returns: DataFrame, window: int = 63, periods: int = 252, chunk
 
 
 def histogram(returns: DataFrame, bins: int = 40) -> DataFrame:
-    """bin, left and count of equal bins over the range, the last one closed; empty bins too."""
+    """bin, left, right and count of equal bins over the range, the last one closed; empty bins too."""
     span = returns.agg(F.min("port_ret").alias("_low"), F.max("port_ret").alias("_high"))
     width = (F.col("_high") - F.col("_low")) / bins
     placed = returns.filter(F.col("port_ret").isNotNull()).join(F.broadcast(span))
@@ -267,7 +267,8 @@ def histogram(returns: DataFrame, bins: int = 40) -> DataFrame:
     counts = placed.groupBy(nth.cast("long").alias("bin")).agg(F.count("*").alias("n"))
     grid = returns.sparkSession.range(bins).select(F.col("id").alias("bin")).join(F.broadcast(span))
     left = F.col("_low") + width * F.col("bin")
-    return grid.join(counts, "bin", "left").select("bin", left.alias("left"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    right = F.when(F.col("bin") == bins - 1, F.col("_high")).otherwise(F.col("_low") + width * (F.col("bin") + 1))
+    return grid.join(counts, "bin", "left").select("bin", left.alias("left"), right.alias("right"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def ic_by_date(factors: DataFrame, prices: DataFrame, factor: str, horizon: int = 21, method: str = "spearman", group: str | None = None) -> DataFrame:

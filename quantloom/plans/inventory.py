@@ -15,6 +15,7 @@ from quantloom.plans import pipelines as pl
 from quantloom.plans.registry import ORACLES, grouped, query, signals
 from quantloom.sources import files
 from quantloom.sources import fundamentals as fun
+from quantloom.sources import partitions as pt
 from quantloom.sources import universe as uni
 
 def same(name: str):
@@ -93,20 +94,100 @@ def s15_orphans(s, d):
     return fr.orphans(s.read.parquet(f"{d}/lineitem.parquet"), parents, "l_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'port_returns' AS artifact, count(*) AS n, sum(port_ret) AS total FROM port UNION ALL SELECT 'ranks', count(*), sum(rank) FROM ranks UNION ALL SELECT 'weights', count(*), sum(abs(weight)) FROM weights UNION ALL SELECT 'drawdown', count(*), sum(drawdown) FROM curve", "total")
+def melted(df: DataFrame, artifact: str, fields: list[str], key: str | None = None) -> DataFrame:
+    """(artifact, date, key, field, value): a cell of the table a row."""
+    none = lambda kind: F.lit(None).cast(kind)
+    date = F.col("date") if "date" in df.columns else none("date")
+    each = F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in fields)))
+    return df.select(F.lit(artifact).alias("artifact"), date.alias("date"), (F.expr(key) if key else none("string")).alias("key"), each)
+
+
+def _cells_sql(source: str, artifact: str, fields: dict[str, str], date: str = "date", key: str = "NULL::VARCHAR") -> str:
+    return " UNION ALL ".join(f"SELECT '{artifact}' AS artifact, {date} AS date, {key} AS key, '{f}' AS field, ({e})::DOUBLE AS value FROM {source}" for f, e in fields.items())
+
+
+P.VIEWS |= {
+    "rolled": "SELECT date, CASE WHEN count(port_ret) OVER w = 63 THEN stddev_samp(port_ret) OVER w * sqrt(252) END AS vol, CASE WHEN count(port_ret) OVER w = 63 AND stddev_samp(port_ret) OVER w > 1e-12 THEN avg(port_ret) OVER w / stddev_samp(port_ret) OVER w * sqrt(252) END AS sharpe FROM port WINDOW w AS (ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)",
+    "span": "SELECT min(port_ret) AS lo, max(port_ret) AS hi FROM port",
+    "placed": "SELECT port_ret, (SELECT count(*) FROM range(1, 40) e(i) WHERE port_ret >= lo + (hi - lo) / 40 * i) AS bin FROM port, span",
+    "hist": "SELECT g.bin, lo + (hi - lo) / 40 * g.bin AS bin_left, CASE WHEN g.bin = 39 THEN hi ELSE lo + (hi - lo) / 40 * (g.bin + 1) END AS bin_right, count(p.port_ret) AS freq FROM range(40) g(bin) CROSS JOIN span LEFT JOIN placed p ON p.bin = g.bin GROUP BY ALL",
+    "selfcorr": "SELECT 'momentum_z' AS \"row\", 'momentum_z' AS col, avg(c) AS corr FROM (SELECT CASE WHEN stddev_pop(momentum_z) > 1e-12 THEN 1.0 END AS c FROM momz GROUP BY date HAVING count(momentum_z) >= 5)",
+}
+
+
+@query(
+    " UNION ALL ".join(
+        [
+            _cells_sql("curve", "equity", {"equity": "wealth"}),
+            _cells_sql("port", "returns", {"port_ret": "port_ret"}),
+            _cells_sql("curve", "drawdown", {"drawdown": "drawdown"}),
+            _cells_sql("rolled", "rolling_vol", {"rolling_vol": "vol"}),
+            _cells_sql("rolled", "rolling_sharpe", {"rolling_sharpe": "sharpe"}),
+            _cells_sql("hist", "returns_hist", {"bin_left": "bin_left", "bin_right": "bin_right", "freq": "freq"}, "NULL::DATE"),
+            _cells_sql("momz", "factors", {"momentum_z": "momentum_z", "composite": "momentum_z"}, key="ticker"),
+            _cells_sql("ranks", "ranks", {"composite": "momentum_z", "rank": "rank"}, key="ticker"),
+            _cells_sql("weights", "weights", {"rank": "rank", "weight": "weight"}, key="ticker"),
+            _cells_sql("selfcorr", "correlations", {"corr": "corr"}, "NULL::DATE", "\"row\" || '/' || col"),
+            _cells_sql("perf", "perf_summary", {"cagr": "cagr", "vol_ann": "vol_annual", "sharpe": "sharpe", "max_dd": "max_drawdown"}, "NULL::DATE"),
+        ]
+    ),
+    "value",
+)
 def s16_dashboard(s, d):
+    """Every file of the dashboard, read back."""
     path = files.scratch(s)
     pl.dashboard(P.prices(s, d), path)
-    totals = {"port_returns": F.sum("port_ret"), "ranks": F.sum("rank"), "weights": F.sum(F.abs("weight")), "drawdown": F.sum("drawdown")}
-    each = [s.read.parquet(f"{path}/{k}.parquet").agg(F.lit(k).alias("artifact"), F.count("*").alias("n"), v.cast("double").alias("total")) for k, v in totals.items()]
-    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
-
-
-@query("SELECT date, port_ret FROM port", "port_ret")
+    one = lambda name, fields, key=None: melted(s.read.parquet(f"{path}/{name}.parquet"), name, fields, key)
+    out = one("equity", ["equity"])
+    for name, fields, key in (
+        ("returns", ["port_ret"], None),
+        ("drawdown", ["drawdown"], None),
+        ("rolling_vol", ["rolling_vol"], None),
+        ("rolling_sharpe", ["rolling_sharpe"], None),
+        ("returns_hist", ["bin_left", "bin_right", "freq"], None),
+        ("factors", ["momentum_z", "composite"], "ticker"),
+        ("ranks", ["composite", "rank"], "ticker"),
+        ("weights", ["rank", "weight"], "ticker"),
+        ("correlations", ["corr"], "row || '/' || col"),
+    ):
+        out = out.unionByName(one(name, fields, key))
+    return out.unionByName(melted(s.read.schema("cagr DOUBLE, vol_ann DOUBLE, sharpe DOUBLE, max_dd DOUBLE").json(f"{path}/perf_summary.json"), "perf_summary", ["cagr", "vol_ann", "sharpe", "max_dd"]))
+
+
+_SUMMARY = ("cagr", "vol_annual", "sharpe", "sortino", "max_drawdown", "calmar", "hit_rate", "avg_win", "avg_loss", "avg_turnover", "periods")
+P.VIEWS["deepest"] = 'SELECT row_number() OVER (ORDER BY depth, start) AS rank, start, valley, "end", round_even(depth, 4) AS depth, length_days, recovery_days FROM (SELECT * FROM episodes ORDER BY depth, start LIMIT 5)'
+
+
+@query(
+    " UNION ALL ".join(
+        [
+            _cells_sql("port", "portfolio_returns", {"port_ret": "port_ret"}),
+            _cells_sql("perf", "performance_summary", {c: c for c in _SUMMARY}, "NULL::DATE"),
+            _cells_sql("deepest", "drawdowns", {c: c for c in ("rank", "depth", "length_days", "recovery_days")}, "NULL::DATE", "start || '/' || valley || '/' || coalesce(\"end\"::VARCHAR, '')"),
+            _cells_sql("curve", "drawdown_curve", {c: c for c in ("wealth", "peak", "drawdown")}),
+            _cells_sql("curve", "equity", {"wealth": "wealth"}),
+            _cells_sql("selfcorr", "cs_corr_mean", {"corr": "corr"}, "NULL::DATE", "\"row\" || '/' || col"),
+        ]
+    ),
+    "value",
+)
 def s17_reports(s, d):
+    """Every report, read back."""
     path = files.scratch(s)
     pl.reports(P.prices(s, d), path)
-    return files.read_csv(s, f"{path}/returns.csv", "date DATE, port_ret DOUBLE").select("date", "port_ret")
+    tables = {
+        "portfolio_returns": ("date DATE, port_ret DOUBLE", ["port_ret"], None),
+        "performance_summary": (", ".join(f"{c} DOUBLE" for c in _SUMMARY), list(_SUMMARY), None),
+        "drawdowns": ("rank LONG, start DATE, valley DATE, `end` DATE, depth DOUBLE, length_days LONG, recovery_days LONG", ["rank", "depth", "length_days", "recovery_days"], "start || '/' || valley || '/' || coalesce(string(`end`), '')"),
+        "drawdown_curve": ("date DATE, wealth DOUBLE, peak DOUBLE, drawdown DOUBLE", ["wealth", "peak", "drawdown"], None),
+        "equity": ("date DATE, wealth DOUBLE", ["wealth"], None),
+        "cs_corr_mean": ("row STRING, col STRING, corr DOUBLE", ["corr"], "row || '/' || col"),
+    }
+    each = [melted(files.read_csv(s, f"{path}/{name}.csv", ddl), name, fields, key) for name, (ddl, fields, key) in tables.items()]
+    out = each[0]
+    for more in each[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 @query("SELECT DISTINCT upper(replace(trim(ticker), '/', '_')) AS symbol FROM prices")
@@ -115,6 +196,19 @@ def u1_saved_universe(s, d):
     return uni.save_universe(df, files.scratch(s)).select("symbol")
 
 
+@query("SELECT ticker, date, CASE WHEN date >= DATE '1998-01-01' THEN -adj_close ELSE adj_close END AS adj_close, year(date) AS year FROM weekly", "adj_close")
+def s12_upsert_partitions(s, d):
+    """A batch that changes two years' rows, put twice into a table by year: the second time nothing is rewritten."""
+    path, px = files.scratch(s), P.prices(s, d, "week").withColumn("year", F.year("date"))
+    batch = px.withColumn("adj_close", F.when(F.col("date") >= "1998-01-01", -F.col("adj_close")).otherwise(F.col("adj_close")))
+    keys = ["ticker", "date", "year"]
+    pt.upsert_partitions(s, path, px, keys, "year")
+    pt.upsert_partitions(s, path, batch, keys, "year")
+    if pt.upsert_partitions(s, path, batch, keys, "year"):
+        raise AssertionError("a repeated batch rewrote partitions")
+    return s.read.parquet(path).select("ticker", "date", "adj_close", F.col("year").cast("long").alias("year"))
+
+
 # Small helpers
 
 

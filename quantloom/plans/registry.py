@@ -503,7 +503,7 @@ def f8_drawdown_table(s, d):
     return pf.drawdown_table(backtest(s, d)["port"])
 
 
-@query("SELECT g.bin, lo + (hi - lo) / 40 * g.bin AS left, count(p.port_ret) AS n FROM range(40) g(bin) CROSS JOIN (SELECT min(port_ret) AS lo, max(port_ret) AS hi FROM port) LEFT JOIN (SELECT port_ret, (SELECT count(*) FROM range(1, 40) e(i) WHERE port_ret >= l + (h - l) / 40 * i) AS bin FROM port, (SELECT min(port_ret) AS l, max(port_ret) AS h FROM port)) p ON p.bin = g.bin GROUP BY ALL", '"left"')
+@query("SELECT g.bin, lo + (hi - lo) / 40 * g.bin AS left, CASE WHEN g.bin = 39 THEN hi ELSE lo + (hi - lo) / 40 * (g.bin + 1) END AS right, count(p.port_ret) AS n FROM range(40) g(bin) CROSS JOIN (SELECT min(port_ret) AS lo, max(port_ret) AS hi FROM port) LEFT JOIN (SELECT port_ret, (SELECT count(*) FROM range(1, 40) e(i) WHERE port_ret >= l + (h - l) / 40 * i) AS bin FROM port, (SELECT min(port_ret) AS l, max(port_ret) AS h FROM port)) p ON p.bin = g.bin GROUP BY ALL", '"left"', '"right"')
 def f9_histogram(s, d):
     return pf.histogram(backtest(s, d)["port"])
 

@@ -106,7 +106,7 @@ def test_runs_write_their_artifacts(spark, tmp_path):
     px = panels.prices(spark, DATA, "week").cache()
     dashboard(px, f"{tmp_path}/dash")
     reports(px, f"{tmp_path}/reports")
-    assert spark.read.parquet(f"{tmp_path}/dash/drawdown.parquet").count() == spark.read.parquet(f"{tmp_path}/dash/port_returns.parquet").count() > 0
+    assert spark.read.parquet(f"{tmp_path}/dash/drawdown.parquet").count() == spark.read.parquet(f"{tmp_path}/dash/returns.parquet").count() > 0
     assert spark.read.json(f"{tmp_path}/dash/perf_summary.json").count() == 1
     assert spark.read.option("header", True).csv(f"{tmp_path}/reports/performance_summary.csv").count() == 1
     run = momentum_backtest(px)
