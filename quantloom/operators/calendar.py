@@ -29,6 +29,20 @@ def annual_factor(freq: str, trading_days: int = PERIODS["1d"]) -> int:
     return factors[freq]
 
 
+def periods_of(bar: Column) -> Column:
+    """periods_from_bar of a column."""
+    known = F.lower(F.trim(bar))
+    out = F.lit(PERIODS["1d"])
+    for name, periods in PERIODS.items():
+        out = F.when(known == name, periods).otherwise(out)
+    return out
+
+
+def factor_of(freq: Column, trading_days: int = PERIODS["1d"]) -> Column:
+    """annual_factor of a column; NULL for a frequency that is unknown."""
+    return F.when(freq == "daily", trading_days).when(freq == "weekly", 52).when(freq == "monthly", 12)
+
+
 def is_trading_day(day: Column) -> Column:
     return (F.weekday(day) < 5) & ~F.date_format(day, "MM-dd").isin(*CLOSED)
 
@@ -38,20 +52,46 @@ def days(spark: SparkSession, start: str, end: str, beyond: int = 0) -> DataFram
     return spark.sql(f"SELECT explode(CASE WHEN DATE'{start}' <= {stop} THEN sequence(DATE'{start}', {stop}) ELSE array() END) AS day")
 
 
-def trading_days(spark: SparkSession, start: str, end: str, holidays: DataFrame | None = None, beyond: int = 0) -> DataFrame:
-    """session: Mondays to Fridays that aren't closed nor among holidays (a day column)."""
-    out = days(spark, start, end, beyond).filter(is_trading_day(F.col("day")))
+def days_over(df: DataFrame, on: str, beyond: int = 0) -> DataFrame:
+    """day: each from the first to the last of a table's times, and as many beyond."""
+    span = df.agg(F.to_date(F.min(on)).alias("a"), F.date_add(F.to_date(F.max(on)), beyond).alias("b")).filter("a IS NOT NULL")
+    return span.select(F.explode(F.sequence("a", "b")).alias("day"))
+
+
+def opened(each: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
+    """session: those of days that are Mondays to Fridays, aren't closed, nor among holidays (a day column)."""
+    out = each.filter(is_trading_day(F.col("day")))
     if holidays is not None:
         out = out.join(holidays.select("day"), "day", "left_anti")
     return out.select(F.col("day").alias("session"))
 
 
+def hours_of(sessions: DataFrame) -> DataFrame:
+    """session as TIMESTAMP_NTZ: the hourly ones of each day."""
+    at = F.explode(F.array(*(F.make_dt_interval(mins=F.lit(m)) for m in HOURLY))).alias("at")
+    return sessions.select("session", at).select((F.col("session").cast("timestamp_ntz") + F.col("at")).alias("session"))
+
+
+def period_ends(each: DataFrame, freq: str) -> DataFrame:
+    """date: those of days that end a month (M), a quarter (Q) or a week (W, Sundays)."""
+    day = F.col("day")
+    last = {"M": day == F.last_day(day), "Q": (day == F.last_day(day)) & (F.month(day) % 3 == 0), "W": F.weekday(day) == 6}[freq]
+    return each.filter(last).select(day.alias("date"))
+
+
+def rebalance_dates_over(df: DataFrame, on: str, freq: str = "M", holidays: DataFrame | None = None) -> DataFrame:
+    """session: the period ends among the days of a table's times, moved on to a trading day, each once."""
+    sessions = opened(days_over(df, on, beyond=15), holidays)
+    return next_trading_day(period_ends(days_over(df, on), freq), sessions).select("session").distinct()
+
+
+def trading_days(spark: SparkSession, start: str, end: str, holidays: DataFrame | None = None, beyond: int = 0) -> DataFrame:
+    return opened(days(spark, start, end, beyond), holidays)
+
+
 def hourly_sessions(spark: SparkSession, start: str, end: str, holidays: DataFrame | None = None) -> DataFrame:
     """session as TIMESTAMP_NTZ, up to midnight of end."""
-    at = F.explode(F.array(*(F.make_dt_interval(mins=F.lit(m)) for m in HOURLY))).alias("at")
-    out = trading_days(spark, start, end, holidays).select("session", at)
-    out = out.select((F.col("session").cast("timestamp_ntz") + F.col("at")).alias("session"))
-    return out.filter(F.col("session") <= F.lit(end).cast("timestamp_ntz"))
+    return hours_of(trading_days(spark, start, end, holidays)).filter(F.col("session") <= F.lit(end).cast("timestamp_ntz"))
 
 
 def next_trading_day(dates: DataFrame, sessions: DataFrame, on: str = "date") -> DataFrame:
@@ -65,9 +105,7 @@ def next_trading_day(dates: DataFrame, sessions: DataFrame, on: str = "date") ->
 
 def rebalance_dates(spark: SparkSession, start: str, end: str, freq: str = "M", holidays: DataFrame | None = None) -> DataFrame:
     """session: the period ends (M, Q, or W for Sundays) in the range, moved on to a trading day, each once."""
-    day = F.col("day")
-    last = {"M": day == F.last_day(day), "Q": (day == F.last_day(day)) & (F.month(day) % 3 == 0), "W": F.weekday(day) == 6}[freq]
-    anchors = days(spark, start, end).filter(last).select(day.alias("date"))
+    anchors = period_ends(days(spark, start, end), freq)
     return next_trading_day(anchors, trading_days(spark, start, end, holidays, beyond=15)).select("session").distinct()
 
 

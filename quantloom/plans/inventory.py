@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quantloom.functions import columns as C
 from quantloom.operators import calendar as cal
 from quantloom.operators import frames as fr
+from quantloom.operators import portfolio as pf
 from quantloom.operators import statistics as st
 from quantloom.plans import etl
 from quantloom.plans import panels as P
@@ -16,7 +17,9 @@ from quantloom.plans.registry import ORACLES, grouped, query, signals
 from quantloom.sources import files
 from quantloom.sources import fundamentals as fun
 from quantloom.sources import partitions as pt
+from quantloom.sources import schemas as sc
 from quantloom.sources import universe as uni
+from quantloom.sources import vendor
 
 def same(name: str):
     """Register a function whose SQL is that of another query."""
@@ -70,19 +73,40 @@ def s5_fundamentals_csv(s, d):
     return fun.load_csv(s, _filed(s, d)).select("symbol", "date", *_FUNDA)
 
 
-@query("SELECT upper(ticker) AS symbol, date, total_debt FROM funda WHERE ticker IN ('Brand#11', 'Brand#12')", "total_debt")
+@query("SELECT upper(ticker) AS symbol, date, total_debt FROM funda", "total_debt")
 def s7_fundamentals(s, d):
-    df = fun.fundamentals(s, [_filed(s, d)], uni.build_universe(s, symbols=["brand#11", "Brand#12"]))
+    df = fun.fundamentals(s, [_filed(s, d)], uni.cleaned(P.prices(s, d).select("ticker")))
     return s.read.parquet(fun.write_fundamentals(df, files.scratch(s))).select("symbol", "date", "total_debt")
 
 
-@query("SELECT date, upper(ticker) AS symbol, adj_close FROM prices WHERE ticker IN ('Brand#1', 'Brand#2', 'Brand#3')", "adj_close")
+def _symbols(s: SparkSession, d: str) -> list[str]:
+    """All brands of the part table, as a user would list them."""
+    return [r[0].lower() for r in s.read.parquet(f"{d}/part.parquet").select("p_brand").distinct().collect()]
+
+
+@query("SELECT date, upper(ticker) AS symbol, adj_close FROM prices", "adj_close")
 def s8_ingest_prices(s, d):
     bars = P.prices(s, d).withColumnsRenamed({"date": "Datetime", "ticker": "Symbol", "adj_close": "Adj Close"}).withColumn("Close", F.lit(1.0))
-    got = etl.ingest_prices(s, lambda symbols, start, end, bar: bars.filter(F.upper("Symbol").isin(symbols)), ["Brand#1", "brand#2", " Brand#3", "none"], batch=2)
+
+    def fetch(symbols, start, end, bar):
+        if "BROKEN" in symbols:
+            raise ConnectionError("no such symbol")
+        return bars.filter(F.upper("Symbol").isin(symbols))
+
+    got = etl.ingest_prices(s, fetch, [*_symbols(s, d), "broken", "none"], batch=7)
     return got.select(F.col("timestamp").cast("date").alias("date"), "symbol", "adj_close")
 
 
+@query("SELECT upper(event_type) AS symbol, \"timestamp\"::DATE AS date, count(*) AS n, sum(volume) AS volume, any_value(NULL::VARCHAR) AS error FROM (SELECT symbol AS event_type, * FROM bars) GROUP BY 1, 2 UNION ALL SELECT 'BROKEN', NULL, 0, NULL, 'ValueError: broken'", "volume")
+def s8_bars_source(s, d):
+    """Hourly bars of the events through format("quantloom_bars"), with a symbol whose file can't be read."""
+    path, bars = files.scratch(s), P.bars_1h(s, d)
+    names = [r[0] for r in bars.select("symbol").distinct().collect()]
+    vendor.store(bars, path)
+    df = vendor.read_bars(s, [*names, "broken"], vendor.Stored(path, broken=("BROKEN",)), "2020-01-01", "2030-01-01", "1h", batch=2)
+    return df.groupBy("symbol", F.col("timestamp").cast("date").alias("date")).agg(F.count("timestamp").alias("n"), F.sum("volume").alias("volume"), F.first("error").alias("error"))
+
+
 @query("SELECT date, upper(ticker) AS ticker, adj_close FROM pgrid", "adj_close")
 def s10_tidy_prices(s, d):
     return files.canonical_prices(fr.long_to_wide(P.prices(s, d), None, "ticker", "adj_close", "Adj_Close_"))
@@ -115,6 +139,33 @@ P.VIEWS |= {
 }
 
 
+_KEPT = {
+    "customer": "SELECT c_custkey FROM customer WHERE c_nationkey % 5 <> 0",
+    "orders": "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey % 5 = 0)",
+    "lineitem": "SELECT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey % 5 = 0))",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, k, count(*) AS n FROM ({q}) t(k) GROUP BY 2" for t, q in _KEPT.items()))
+def s15_cascade(s, d):
+    """Customers of every fifth nation deleted, and with them their orders and these orders' lines."""
+    keys = {"customer": ("c_custkey",), "orders": ("o_orderkey",), "lineitem": ("l_orderkey", "l_linenumber")}
+    parents = {"orders": (("o_custkey", "customer"),), "lineitem": (("l_orderkey", "orders"),)}
+    tables = {t: s.read.parquet(f"{d}/{t}.parquet") for t in keys}
+    left = sc.cascaded(tables, "customer", F.col("c_nationkey") % 5 == 0, keys, parents)
+    each = [left[t].groupBy(F.lit(t).alias("name"), F.col(keys[t][0]).alias("k")).agg(F.count("*").alias("n")) for t in keys]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query("SELECT ticker, date, adj_close, ret FROM prices JOIN rets USING (ticker, date)", "adj_close", "ret")
+def s14_bucketed_join(s, d):
+    """Two tables bucketed and sorted by ticker and date; their join needs no exchange."""
+    px = P.prices(s, d)
+    left = sc.bucketed(px, files.scratch(s), ["ticker", "date"])
+    right = sc.bucketed(pf.asset_returns(px), files.scratch(s), ["ticker", "date"])
+    return left.join(right, ["ticker", "date"])
+
+
 @query(
     " UNION ALL ".join(
         [
@@ -212,14 +263,18 @@ def s12_upsert_partitions(s, d):
 # Small helpers
 
 
-@query("SELECT * FROM (VALUES ('1d', 252), (' 1H', 1638), ('5m', 252)) t(bar, periods)")
+@query("SELECT bar, CASE bar WHEN ' 1H' THEN 1638 ELSE 252 END AS periods, n FROM (SELECT CASE o_orderkey % 3 WHEN 0 THEN '1d' WHEN 1 THEN ' 1H' ELSE '5m' END AS bar, count(*) AS n FROM orders GROUP BY 1)")
 def c6_periods_from_bar(s, d):
-    return s.createDataFrame([(b, cal.periods_from_bar(b)) for b in ("1d", " 1H", "5m")], "bar string, periods int")
+    bar = F.element_at(F.array(F.lit("1d"), F.lit(" 1H"), F.lit("5m")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    by = s.read.parquet(f"{d}/orders.parquet").groupBy(bar.alias("bar")).agg(F.count("*").alias("n"))
+    return by.select("bar", cal.periods_of(F.col("bar")).alias("periods"), "n")
 
 
-@query("SELECT * FROM (VALUES ('daily', 252), ('weekly', 52), ('monthly', 12)) t(freq, factor)")
+@query("SELECT freq, CASE freq WHEN 'daily' THEN 252 WHEN 'weekly' THEN 52 WHEN 'monthly' THEN 12 END AS factor, n FROM (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'daily' WHEN 1 THEN 'weekly' WHEN 2 THEN 'monthly' ELSE 'hourly' END AS freq, count(*) AS n FROM orders GROUP BY 1)")
 def c8_annual_factor(s, d):
-    return s.createDataFrame([(f, cal.annual_factor(f)) for f in ("daily", "weekly", "monthly")], "freq string, factor int")
+    freq = F.element_at(F.array(*map(F.lit, ("daily", "weekly", "monthly", "hourly"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    by = s.read.parquet(f"{d}/orders.parquet").groupBy(freq.alias("freq")).agg(F.count("*").alias("n"))
+    return by.select("freq", cal.factor_of(F.col("freq")).alias("factor"), "n")
 
 
 @query("SELECT l_orderkey, l_linenumber, '$' || format('{:,.2f}', l_extendedprice) AS price, format('{:.2f}', 100 * l_discount) || '%' AS discount, format('{:.4f}', l_quantity::DOUBLE) AS quantity FROM lineitem")
@@ -298,8 +353,8 @@ def g5_pilot_returns(s, d):
     return pl.momentum_backtest(P.prices(s, d))["port"]
 
 
-@query("SELECT 'prices' AS type, upper(ticker) AS symbol, count(*) AS n_rows, min(date) AS start, max(date) AS \"end\", '1d' AS bar FROM prices WHERE ticker IN ('Brand#1', 'Brand#2') GROUP BY ticker UNION ALL SELECT 'fundamentals', upper(ticker), count(*), min(date), max(date), NULL FROM funda WHERE ticker IN ('Brand#1', 'Brand#2') GROUP BY ticker")
+@query("SELECT 'prices' AS type, upper(ticker) AS symbol, count(*) AS n_rows, min(date) AS start, max(date) AS \"end\", '1d' AS bar FROM prices GROUP BY ticker UNION ALL SELECT 'fundamentals', upper(ticker), count(*), min(date), max(date), NULL FROM funda GROUP BY ticker")
 def g8_etl(s, d):
     bars = P.prices(s, d).withColumnsRenamed({"date": "timestamp", "ticker": "symbol"}).withColumn("close", F.col("adj_close"))
-    job = etl.Etl(symbols=("Brand#1", "Brand#2"), fundamentals=(_filed(s, d),), folder=files.scratch(s))
+    job = etl.Etl(symbols=tuple(_symbols(s, d)), fundamentals=(_filed(s, d),), folder=files.scratch(s))
     return etl.run_etl(s, job, lambda symbols, start, end, bar: bars.filter(F.upper("symbol").isin(symbols)))

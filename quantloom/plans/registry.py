@@ -132,9 +132,19 @@ def r16_fill_forward(s, d):
 # Universe and calendar
 
 
-@query("SELECT day::date AS day, isodow(day) < 6 AND strftime(day, '%m-%d') NOT IN ('01-01', '07-04', '12-25') AS open FROM range(DATE '1995-01-01', DATE '1997-01-01', INTERVAL 1 DAY) t(day)")
+_OPEN = "isodow(day) < 6 AND strftime(day, '%m-%d') NOT IN ('01-01', '07-04', '12-25')"
+P.VIEWS["odays"] = "SELECT unnest(range(a, b + INTERVAL 1 DAY, INTERVAL 1 DAY))::DATE AS day FROM (SELECT min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS b FROM orders)"
+P.VIEWS["osessions"] = "SELECT unnest(range(a, b + INTERVAL 16 DAY, INTERVAL 1 DAY))::DATE AS day FROM (SELECT min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS b FROM orders)"
+
+
+def orders(s, d) -> DataFrame:
+    return s.read.parquet(f"{d}/orders.parquet")
+
+
+@query(f"SELECT day, {_OPEN} AS open, n FROM (SELECT o_orderdate::DATE AS day, count(*) AS n FROM orders GROUP BY 1)")
 def c1_is_trading_day(s, d):
-    return cal.days(s, "1995-01-01", "1996-12-31").select("day", cal.is_trading_day(F.col("day")).alias("open"))
+    by = orders(s, d).groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
+    return by.select("day", cal.is_trading_day(F.col("day")).alias("open"), "n")
 
 
 _SESSIONS = "SELECT day::date AS session FROM range(DATE '1992-01-01', DATE '1999-02-01', INTERVAL 1 DAY) t(day) WHERE isodow(day) < 6 AND strftime(day, '%m-%d') NOT IN ('01-01', '07-04', '12-25')"
@@ -146,19 +156,19 @@ def c2_next_trading_day(s, d):
     return cal.next_trading_day(P.funda(s, d).select("ticker", "date"), days)
 
 
-@query(_SESSIONS)
+@query(f"SELECT day AS session FROM odays WHERE {_OPEN}")
 def c3_sessions(s, d):
-    return cal.trading_days(s, "1992-01-01", "1999-01-31")
+    return cal.opened(cal.days_over(orders(s, d), "o_orderdate"))
 
 
-@query("SELECT day + m * INTERVAL 1 MINUTE AS session FROM range(TIMESTAMP '1996-06-24', TIMESTAMP '1996-07-20', INTERVAL 1 DAY) t(day), (SELECT unnest([540, 600, 660, 720, 780, 840, 900, 930]) AS m) WHERE isodow(day) < 6 AND strftime(day, '%m-%d') NOT IN ('01-01', '07-04', '12-25') AND day + m * INTERVAL 1 MINUTE <= TIMESTAMP '1996-07-19'")
+@query(f"SELECT day + m * INTERVAL 1 MINUTE AS session FROM (SELECT unnest(range(a, b + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS day FROM (SELECT min(ts)::DATE AS a, max(ts)::DATE AS b FROM events)), (SELECT unnest([540, 600, 660, 720, 780, 840, 900, 930]) AS m) WHERE {_OPEN}")
 def c3h_hourly_sessions(s, d):
-    return cal.hourly_sessions(s, "1996-06-24", "1996-07-19")
+    return cal.hours_of(cal.opened(cal.days_over(s.read.parquet(f"{d}/events.parquet"), "ts")))
 
 
-@query(f"SELECT DISTINCT freq, (SELECT min(session) FROM ({_SESSIONS}) WHERE session >= a) AS session FROM (SELECT 'M' AS freq, last_day(day)::date AS a FROM range(DATE '1993-01-01', DATE '1997-01-01', INTERVAL 1 MONTH) t(day) UNION ALL SELECT 'Q', last_day(day)::date FROM range(DATE '1993-03-01', DATE '1997-01-01', INTERVAL 3 MONTH) t(day) UNION ALL SELECT 'W', day::date FROM range(DATE '1993-01-01', DATE '1997-01-01', INTERVAL 1 DAY) t(day) WHERE isodow(day) = 7)")
+@query(f"SELECT DISTINCT freq, (SELECT min(day) FROM osessions WHERE {_OPEN} AND day >= a) AS session FROM (SELECT 'M' AS freq, day AS a FROM odays WHERE day = last_day(day) UNION ALL SELECT 'Q', day FROM odays WHERE day = last_day(day) AND month(day) % 3 = 0 UNION ALL SELECT 'W', day FROM odays WHERE isodow(day) = 7)")
 def c4_rebalance_dates(s, d):
-    one = lambda f: cal.rebalance_dates(s, "1993-01-01", "1996-12-31", f).select(F.lit(f).alias("freq"), "session")
+    one = lambda f: cal.rebalance_dates_over(orders(s, d), "o_orderdate", f).select(F.lit(f).alias("freq"), "session")
     return one("M").unionByName(one("Q")).unionByName(one("W"))
 
 

@@ -20,10 +20,18 @@ def clean_header(name: str) -> str:
     return "_".join(name.strip().lower().replace("-", " ").replace("/", " ").split())
 
 
-def found(columns: list[str], names: tuple[str, ...]) -> str | None:
-    """The column that one of names stands for: as it is, or but for an s at either's end."""
-    singular = {c.rstrip("s"): c for c in columns}
-    return next((n for n in names if n in columns), next((singular[n.rstrip("s")] for n in names if n.rstrip("s") in singular), None))
+def normal_form(header: str) -> str:
+    """What a header and the aliases are compared by: the cleaned name, in the singular."""
+    return clean_header(header).rstrip("s")
+
+
+def key_column(columns: list[str], aliases: tuple[str, ...]) -> str | None:
+    """The column that stands for the earliest alias; of several for one alias, one that is named just so, else the first."""
+    places: dict[str, int] = {}
+    for place, alias in enumerate(aliases):
+        places.setdefault(normal_form(alias), place)
+    ranked = [(places[normal_form(c)], c not in aliases, nth, c) for nth, c in enumerate(columns) if normal_form(c) in places]
+    return min(ranked)[-1] if ranked else None
 
 
 def load_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -31,7 +39,7 @@ def load_csv(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.option("header", True).csv(path)
     df = df.select("*", F.monotonically_increasing_id().alias("_nth"))
     df = df.toDF(*(c if c == "_nth" else clean_header(c) for c in df.columns))
-    key, date = found(df.columns, SYMBOLS), found(df.columns, DATES)
+    key, date = key_column(df.columns, SYMBOLS), key_column(df.columns, DATES)
     if key is None or date is None:
         raise ValueError(f"no symbol or date column among {df.columns}")
     metrics = [c for c in df.columns if c not in (key, date, "_nth")]

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quantloom.operators.frames import duplicate_keys, orphans
 
@@ -24,6 +27,7 @@ class Table:
     parents: tuple[tuple[str, str], ...] = ()
 
 
+#: The warehouse's tables, their columns and keys.
 WAREHOUSE = {
     "securities": Table("secid INT, symbol STRING, name STRING, exchange STRING, is_active INT", ("secid",)),
     "prices": Table("secid INT, trade_date DATE, px_close DOUBLE, px_adj_close DOUBLE, px_volume DOUBLE", ("secid", "trade_date"), None, (("secid", "securities"),)),
@@ -58,3 +62,41 @@ def checked(name: str, df: DataFrame, parents: dict[str, DataFrame] | None = Non
             if not orphans(df, target, column).isEmpty():
                 raise ValueError(f"{name}: {column} without a row of {parent}")
     return df
+
+
+def bucketed(df: DataFrame, path: str, keys: Sequence[str], buckets: int = 32, name: str | None = None) -> DataFrame:
+    """df as a table at path, bucketed and sorted by keys: what an index on them is for, joins and windows by all of keys need no exchange.
+
+    Each bucket is one file. name: of the table in the catalog, else one of its own.
+    """
+    name = name or f"quantloom_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).format("parquet").mode("overwrite").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def cascaded(tables: Mapping[str, DataFrame], name: str, gone: Column, keys: Mapping[str, Sequence[str]] | None = None, parents: Mapping[str, Sequence[tuple[str, str]]] | None = None) -> dict[str, DataFrame]:
+    """tables without the rows of name that gone says, and without those that refer to them, level by level.
+
+    keys and parents (foreign key column, table): of the warehouse, or other ones without cycles; a foreign key
+    refers to its table's first key column. A row with several parents goes with the first of them that goes; a
+    null refers to nothing. Each table is joined once for each of its foreign keys.
+    """
+    keys = keys or {t: w.key for t, w in WAREHOUSE.items()}
+    parents = parents or {t: w.parents for t, w in WAREHOUSE.items()}
+    dead = {name: tables[name].filter(gone).select(keys[name][0]).distinct()}
+    left = {**tables, name: tables[name].filter(~F.coalesce(gone, F.lit(False)))}
+    open_ = [name]
+    while open_:
+        level = {child for parent in open_ for child, refs in parents.items() if child in tables and any(p == parent for _, p in refs)}
+        open_ = []
+        for child in sorted(level):
+            rows, lost = tables[child], None
+            for column, parent in parents.get(child, ()):
+                if parent in dead:
+                    hit = rows.join(dead[parent].withColumnRenamed(keys[parent][0], column), column, "left_semi").select(*rows.columns)
+                    lost = hit if lost is None else lost.unionByName(hit)
+                    left[child] = (left[child] if left[child] is not tables[child] else rows).join(dead[parent].withColumnRenamed(keys[parent][0], column), column, "left_anti").select(*rows.columns)
+            dead[child] = lost.select(keys[child][0]).distinct()
+            open_.append(child)
+    return left

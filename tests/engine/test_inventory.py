@@ -64,8 +64,8 @@ def test_price_frame(spark):
 
 
 def test_headers():
-    assert fun.found(["ref_date", "x"], fun.DATES) == "ref_date" and fun.found(["filing_dates"], fun.DATES) == "filing_dates"
-    assert fun.found(["tickers"], fun.SYMBOLS) == "tickers" and fun.found(["x"], fun.DATES) is None
+    assert fun.key_column(["ref_date", "x"], fun.DATES) == "ref_date" and fun.key_column(["filing_dates"], fun.DATES) == "filing_dates"
+    assert fun.key_column(["tickers"], fun.SYMBOLS) == "tickers" and fun.key_column(["x"], fun.DATES) is None
 
 
 def test_small_helpers(spark):
