@@ -2,9 +2,10 @@
 
 The bands only propose pairs; every link is confirmed on the full shingle sets. In a bucket, each member is
 compared with the hub. Where that leaves a bucket with several components, the members outside the largest one
-are held against all members, and those pairs are confirmed whose sets can be similar enough. Two bounds tell:
-shingles that no other candidate has are in no intersection, and an intersection has no more shingles in each
-part of the hash space than the side with fewer there. So near-misses of a base hardly ever make a pair.
+are held against all members in blocks within tasks, so that no pair is ever a row. Two bounds tell which members
+can be similar enough to another: shingles that no other candidate has are in no intersection, and an intersection
+has no more shingles in each part of the hash space than the side with fewer there. Those are compared on their
+full sets, and of what is similar enough as many links come out as it takes to join the components.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ class NearDuplicates:
     rows: int = 6
     share: int = 2000
     parts: int = 128
+    load: int = 1_000_000
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:
@@ -185,11 +187,6 @@ def alike(a, b, percent: int, a_max=None, b_max=None):
     return (100 + percent) * both >= percent * (a + b)
 
 
-def meeting(a: Column, b: Column) -> Column:
-    """The most shingles that sets with so many in each part of the hash space can have in common."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda n, x: n + x)
-
-
 def lists(column: pa.ListArray) -> Iterator[np.ndarray]:
     """The values of each list; of a null none."""
     values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
@@ -217,34 +214,140 @@ def shared_parts(sets: DataFrame, rules: NearDuplicates) -> DataFrame:
     return sets.join(alone, "node", "left").select("node", "held", "alone").mapInArrow(scan, "node long, shared long, parts array<short>")
 
 
-def cross_pairs(nodes: DataFrame, rules: NearDuplicates) -> DataFrame:
-    """Distinct pairs (a, b) across components in a bucket that can be similar enough.
+def in_cells(rows: DataFrame, shares: Column, columns: list[str]) -> DataFrame:
+    """(few, all) lists of structs of columns for each pair of shares of a bucket; rows has key, node and minor.
+
+    A bucket's members outside its largest component (minor) are dealt into shares, and so are all of its members;
+    each share of the former meets each share of the latter once, as two lists in one row, and no pair is a row.
+    """
+    rows = rows.withColumn("shares", shares).withColumn("own", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int"))
+    each = F.sequence(F.lit(0), F.col("shares") - 1)
+    value = F.struct(*columns)
+    few = rows.filter("minor").select("key", F.col("own").alias("i"), F.explode(each).alias("j"), value.alias("x"), F.lit(None).cast(rows.select(value.alias("v")).schema["v"].dataType).alias("y"))
+    every = rows.select("key", F.explode(each).alias("i"), F.col("own").alias("j"), F.lit(None).cast(rows.select(value.alias("v")).schema["v"].dataType).alias("x"), value.alias("y"))
+    met = few.unionByName(every).groupBy("key", "i", "j").agg(F.collect_list("x").alias("few"), F.collect_list("y").alias("every"))
+    return met.filter((F.size("few") > 0) & (F.size("every") > 0)).select("key", "few", "every")
+
+
+def fields(cell: pa.ListArray, i: int) -> dict[str, pa.Array]:
+    """The columns of the structs in the i-th list."""
+    flat = cell.slice(i, 1).flatten()
+    return {flat.type.field(k).name: flat.field(k) for k in range(flat.type.num_fields)}
+
+
+def possible(x: dict, y: dict, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each of x with the places of those of y, in another component, that can be similar enough by both bounds."""
+    nodes = [d["node"].to_numpy() for d in (x, y)]
+    labels, sizes, shared = ([d[k].to_numpy() for d in (x, y)] for k in ("label", "size", "shared"))
+    some = [d["parts"].is_valid().to_numpy(zero_copy_only=False) for d in (x, y)]
+    parts = [np.stack(list(lists(d["parts"].filter(d["parts"].is_valid())))).astype(np.int32) if k.any() else None for d, k in zip((x, y), some)]
+    row = np.cumsum(some[0]) - 1
+    for i in range(len(nodes[0])):
+        both = np.minimum(shared[0][i], shared[1])
+        near = ((100 + percent) * both >= percent * (sizes[0][i] + sizes[1])) & (labels[1] != labels[0][i])
+        if some[0][i] and parts[1] is not None and near.any():
+            at = np.flatnonzero(near & some[1])
+            inside = np.minimum(parts[1][(np.cumsum(some[1]) - 1)[at]], parts[0][row[i]]).sum(1)
+            near[at] = (100 + percent) * inside >= percent * (sizes[0][i] + sizes[1][at])
+        if near.any():
+            yield i, np.flatnonzero(near)
+
+
+def with_partners(cells: DataFrame, rules: NearDuplicates) -> DataFrame:
+    """(key, node, label, size, minor), distinct: the members of a cell that can be similar enough to another."""
+
+    def scan(batches):
+        schema = (("key", pa.int64()), ("node", pa.int64()), ("label", pa.int64()), ("size", pa.int64()), ("minor", pa.bool_()))
+        for batch in batches:
+            for k, key in enumerate(batch.column("key").to_pylist()):
+                x, y = fields(batch.column("few"), k), fields(batch.column("every"), k)
+                left, right = [], np.zeros(len(y["node"]), bool)
+                for i, near in possible(x, y, rules.percent):
+                    left.append(i)
+                    right[near] = True
+                if left:
+                    at = (pa.array(left), pa.array(np.flatnonzero(right)))
+                    own = [pa.concat_arrays([x[c].take(at[0]), y[c].take(at[1])]) for c in ("node", "label", "size", "minor")]
+                    yield record(schema, [pa.array([key] * len(own[0]), pa.int64()), *own])
+
+    return cells.mapInArrow(scan, "key long, node long, label long, size long, minor boolean").distinct()
+
+
+def links_within(cells: DataFrame, rules: NearDuplicates) -> DataFrame:
+    """Links (a, b) between members of a cell on their full sets, as many as it takes to join the components that they join.
+
+    For each of few, its shingles' lists of owners among every are added up, which gives all its intersections.
+    """
+
+    def scan(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, y = fields(batch.column("few"), k), fields(batch.column("every"), k)
+                held = y["held"].flatten().to_numpy()
+                sizes = np.diff(y["held"].offsets.to_numpy())
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.argsort(held, kind="stable")
+                known, owner = held[order], owner[order]
+                nodes, labels = y["node"].to_numpy(), y["label"].to_numpy()
+                parent: dict[int, int] = {}
+
+                def root(v: int) -> int:
+                    while (up := parent.get(v, v)) != v:
+                        parent[v] = parent.get(up, up)
+                        v = up
+                    return v
+
+                a, b = [], []
+                for node, label, own in zip(x["node"].to_pylist(), x["label"].to_pylist(), lists(x["held"]), strict=True):
+                    low, high = np.searchsorted(known, own, "left"), np.searchsorted(known, own, "right")
+                    runs = high - low
+                    at = np.repeat(high - np.cumsum(runs), runs) + np.arange(runs.sum())
+                    common = np.bincount(owner[at], minlength=len(sizes))
+                    near = (100 * common >= rules.percent * (len(own) + sizes - common)) & (labels != label)
+                    for other, its in zip(nodes[near].tolist(), labels[near].tolist()):
+                        one, two = root(label), root(its)
+                        if one != two:
+                            parent[one] = two
+                            a.append(min(node, other))
+                            b.append(max(node, other))
+                if a:
+                    yield record((("a", pa.int64()), ("b", pa.int64())), [a, b])
+
+    return cells.mapInArrow(scan, "a long, b long")
+
+
+def cross_links(nodes: DataFrame, sets: DataFrame, rules: NearDuplicates) -> DataFrame:
+    """Links (a, b) across components in a bucket, enough to join the components that similar members join.
 
     nodes: node, size, shared, parts (see shared_parts), label (component) and bands. Of the members outside a
     bucket's largest component, those that no partner of the bucket's least size can match go; only buckets with
-    others left are gone through, each of these, copied to every share of its bucket, against all members.
+    others left are gone through. There they are held against all members within tasks, first by the bounds, then
+    on the full sets of those that the bounds leave, of buckets with the same such members once. What is read and
+    written are members and links, whatever the pairs: comparisons may grow with a bucket's square, rows do not,
+    but for a copy of each member for every share rows of its bucket.
     """
     rows = nodes.select(F.explode("bands").alias("key"), "node", "size", "shared", "label")
     by = rows.groupBy("key", "label").agg(F.count("*").alias("own"), F.min("size").alias("least"))
     by = by.groupBy("key").agg(F.max(F.struct("own", "label"))["label"].alias("major"), F.sum("own").alias("n"), F.count("*").alias("components"), F.min("least").alias("least"))
     mixed = staged(by.filter("components > 1 AND n > 2").select("key", "major", "n", "least"), "mixed")
     n_rows = rows.count()
-    minor = counted_join(rows, mixed, ["key"], n_rows)
     partner = F.greatest(F.col("least").cast("double"), F.lit(rules.percent / 100) * F.col("size"))
-    minor = minor.filter((F.col("label") != F.col("major")) & alike(F.col("size"), partner, rules.percent, F.col("shared"), F.col("size")))
-    minor = staged(minor.withColumn("shares", F.ceil(F.col("n") / rules.share).cast("int")), "minor")
-    open_ = staged(minor.select("key", "n", "major", "shares").distinct(), "open")
-    parts = nodes.select("node", "parts")
-    whole = counted_join(rows, open_, ["key"], n_rows).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")).join(parts, "node")
-    few = minor.join(parts, "node").select("key", "shares", *(F.col(k).alias(f"x_{k}") for k in ("node", "size", "shared", "label", "parts")))
-    few = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
-    once = (F.col("label") == F.col("major")) | (F.col("x_node") < F.col("node"))
-    close = alike(F.col("size"), F.col("x_size"), rules.percent, F.col("shared"), F.col("x_shared"))
-    closer = F.coalesce((100 + rules.percent) * meeting(F.col("parts"), F.col("x_parts")) >= rules.percent * (F.col("size") + F.col("x_size")), F.lit(True))
-    here = few.withColumnsRenamed({"key": "x_key", "salt": "x_salt"})
-    met = (F.col("key") == F.col("x_key")) & (F.col("salt") == F.col("x_salt"))
-    pairs = whole.join(here, met & (F.col("label") != F.col("x_label")) & once & close & closer)
-    return pairs.select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct()
+    is_minor = (F.col("label") != F.col("major")) & alike(F.col("size"), partner, rules.percent, F.col("shared"), F.col("size"))
+    flagged = staged(counted_join(rows, mixed, ["key"], n_rows).withColumn("minor", is_minor), "flagged")
+    open_ = staged(flagged.filter("minor").groupBy("key").agg(F.first("n").alias("n")), "open")
+    members = counted_join(flagged.drop("n", "major", "least"), open_, ["key"], n_rows).join(nodes.select("node", "parts"), "node")
+    cells = in_cells(members, F.ceil(F.col("n") / rules.share).cast("int"), ["node", "label", "size", "shared", "minor", "parts"])
+    left = staged(with_partners(cells, rules), "left")
+    print_ = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("node", "minor").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64("minor", "node", F.lit(1)).cast("decimal(38,0)")).alias("t"))
+    alike_keys = left.groupBy("key").agg(print_.alias("print"), F.sum("size").alias("load"), F.count("*").alias("n"))
+    once = staged(alike_keys.groupBy("print").agg(F.min("key").alias("key"), F.first("load").alias("load"), F.first("n").alias("n")).drop("print"), "once")
+    held = counted_join(left, once, ["key"], left.count()).join(sets, "node")
+    by_load = F.ceil(F.greatest(F.col("load") / rules.load, F.col("n") / rules.share)).cast("int")
+    out = links_within(in_cells(held, by_load, ["node", "label", "held"]), rules).distinct()
+    out = staged(out, "across")
+    for used in (mixed, flagged, open_, left, once):
+        dropped(used)
+    return out
 
 
 def near_duplicates(docs: DataFrame, rules: NearDuplicates = NearDuplicates(), row: str | None = None) -> DataFrame:
@@ -282,7 +385,7 @@ def near_duplicates(docs: DataFrame, rules: NearDuplicates = NearDuplicates(), r
     nodes = groups.select("node", F.col("n_shingles").alias("size"), "bands").join(shared_parts(sets, rules), "node")
     nodes = staged(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "nodes")
     release(spark)
-    links = staged(links.unionByName(confirmed(cross_pairs(nodes, rules), sets, rules)), "confirmed")
+    links = staged(links.unionByName(cross_links(nodes, sets, rules)), "confirmed")
     dropped(sets)
     dropped(nodes)
     release(spark)

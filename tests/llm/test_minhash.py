@@ -83,6 +83,41 @@ def test_near_misses_of_one_base(spark):
     assert got == brute(rows) and len({c for _, c, _ in got.values()}) > 5
 
 
+def test_pairs_at_the_threshold_are_no_rows(spark, monkeypatch):
+    """A family whose pairs lie about the threshold: tables grow with its documents, not with their pairs."""
+    from quantloom.llm import minhash
+
+    def family(n, seed=4, words=400, edits=7):
+        rng = random.Random(seed)
+        base = [f"w{i}" for i in range(words)]
+        rows = []
+        for i in range(n):
+            own = list(base)
+            for at in rng.sample(range(words), edits):
+                own[at] = f"x{rng.randrange(10**9)}"
+            rows.append((i, " ".join(own)))
+        return rows
+
+    counts = []
+    write = minhash.staged
+    for n in (60, 120, 240):
+        seen = {}
+
+        def counted(df, label):
+            out = write(df, label)
+            seen[label] = max(seen.get(label, 0), out.count())
+            return out
+
+        monkeypatch.setattr(minhash, "staged", counted)
+        got, _ = result(spark, family(n))
+        monkeypatch.setattr(minhash, "staged", write)
+        assert got == brute(family(n)) and (n < 100 or len({c for _, c, _ in got.values()}) < n)
+        counts.append(seen)
+    assert counts[2]["across"] < 240 and counts[2]["left"] <= 240 * 64
+    for label in ("left", "across", "confirmed", "flagged"):
+        assert counts[2][label] <= 2.6 * max(counts[1][label], 60)
+
+
 def test_whole_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(spark.read.parquet(f"{DATA}/documents.parquet")).collect()}
