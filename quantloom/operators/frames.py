@@ -26,22 +26,34 @@ def normalize(df: DataFrame, required: Sequence[str] = (), numeric: Sequence[str
     return df.withColumns({c: finite(F.col(c).try_cast("double")) for c in numeric if c in df.columns}) if numeric else df
 
 
-def asof(left: DataFrame, right: DataFrame, by: str = "ticker", on: str = "date", at: Column | None = None, values: Sequence[str] | None = None, chunk: str | None = None) -> DataFrame:
+def stretched(both: DataFrame, most: int) -> DataFrame:
+    """both with _slot: stretches of a key's time of about most rows, from its counts by day; a key with fewer is one stretch."""
+    day = F.date_trunc("day", "_at")
+    counts = both.groupBy("_by", day.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy("_by").orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
+    slots = counts.select("_by", "_day", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / most).alias("_slot"))
+    return both.withColumn("_day", day).join(slots, ["_by", "_day"], "left").drop("_day")
+
+
+def asof(left: DataFrame, right: DataFrame, by: str = "ticker", on: str = "date", at: Column | None = None, values: Sequence[str] | None = None, chunk: str | None = None, most: int | None = None) -> DataFrame:
     """left with the values of the latest right row at or before each left row's time; one row out for each row in.
 
     at: another time of left than its own, such as a month earlier. Both sides are merged in one sort by key and
-    time, with right rows first on a tie; there is no join, so no row multiplies. chunk (year, month, day ...):
-    for keys with more rows than one task should sort, each key is sorted by stretches of time; what the stretches
-    before hand on, one row a key and stretch, comes to the rows by a join.
+    time, with right rows first on a tie; there is no join, so no row multiplies.
+
+    For keys with more rows than one task should sort, a key is sorted by stretches of time, and what the stretches
+    before hand on, one row a key and stretch, comes to the rows by a join. chunk (year, month, day ...): all keys
+    by the same stretches. most: each key by stretches of about so many rows, or a day's if that has more, chosen
+    from its counts; most keys are one stretch then, and a hot one is as many as it needs.
     """
     values = list(values or (c for c in right.columns if c not in (by, on)))
     here = left.select(F.col(by).alias("_by"), (F.col(on) if at is None else at).alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"))
     there = right.select(F.col(by).alias("_by"), F.col(on).alias("_at"), F.lit(0).alias("_side"), F.struct(*values).alias("_right"))
     both = here.unionByName(there, allowMissingColumns=True)
-    if chunk is None:
+    if chunk is None and most is None:
         both = both.withColumn("_right", last_known("_right", W.partitionBy("_by").orderBy("_at", "_side")))
     else:
-        both = both.withColumn("_slot", F.date_trunc(chunk, "_at"))
+        both = stretched(both, most) if chunk is None else both.withColumn("_slot", F.date_trunc(chunk, "_at"))
         ends = both.groupBy("_by", "_slot").agg(F.max_by("_right", F.when(F.col("_side") == 0, F.col("_at"))).alias("_end"))
         before = W.partitionBy("_by").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
         ends = ends.select("_by", "_slot", F.last("_end", ignorenulls=True).over(before).alias("_before"))

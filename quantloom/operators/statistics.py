@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.columns import average_rank, corr, full, ratio, rolling, winsorize, xs
 from quantloom.operators.least_squares import least_squares, windowed
+from quantloom.operators.ranks import whole_ranks
 from quantloom.operators.scans import block_order, framed, own_rows
 
 
@@ -24,7 +25,7 @@ def corr_long(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), met
     by = list(by)
     used = list(columns)
     if method == "spearman":
-        df = df.withColumns({f"_r_{c}": average_rank(c, *by) if by else average_rank(c) for c in columns})
+        df = df.withColumns({f"_r_{c}": average_rank(c, *by) for c in columns}) if by else whole_ranks(df, columns)
         used = [f"_r_{c}" for c in columns]
     pairs = list(combinations_with_replacement(range(len(columns)), 2))
     some = F.count(F.when(F.coalesce(*columns).isNotNull(), 1))

@@ -14,6 +14,7 @@ from quantloom.operators import frames as fr
 from quantloom.operators import least_squares as ls
 from quantloom.operators import matrices as mx
 from quantloom.operators import portfolio as pf
+from quantloom.operators import ranks as rk
 from quantloom.operators import statistics as st
 from quantloom.plans import panels as P
 from quantloom.plans.pipelines import momentum_backtest, performance_block, run_factors, small_tearsheet
@@ -207,6 +208,17 @@ def j1_asof(s, d):
     return fr.asof(P.prices(s, d), P.funda(s, d), values=["shareholders_equity", "pe_ttm"])
 
 
+P.VIEWS["hot"] = "SELECT l_orderkey, l_linenumber, date, CASE WHEN l_orderkey % 3 = 0 THEN 'Brand#1' ELSE ticker END AS ticker FROM lines"
+
+
+@query("SELECT l_orderkey, l_linenumber, h.date, h.ticker, shares_out, pe_ttm FROM hot h ASOF LEFT JOIN funda f ON h.ticker = f.ticker AND h.date >= f.date", "shares_out", "pe_ttm")
+def j1_asof_skewed(s, d):
+    """Each line with its ticker's last filing, one ticker having a third of all lines and more."""
+    hot = F.when(F.col("l_orderkey") % 3 == 0, "Brand#1").otherwise(F.col("ticker"))
+    rows = P.lines(s, d).select("l_orderkey", "l_linenumber", "date", hot.alias("ticker"))
+    return fr.asof(rows, P.funda(s, d), values=["shares_out", "pe_ttm"], most=5000)
+
+
 @query("SELECT p.date, p.ticker, grp FROM prices p ASOF LEFT JOIN cls c ON p.ticker = c.ticker AND p.date >= c.date")
 def j3_classification(s, d):
     return fr.asof(P.prices(s, d).select("date", "ticker"), P.labels(s, d))
@@ -248,6 +260,13 @@ def x1_winsorize(s, d):
     return signals(s, d).select("date", "ticker", C.winsorize("x", C.xs(), 0.05, 0.95).alias("w"))
 
 
+@query("SELECT l_returnflag AS flag, quantile_cont(l_extendedprice, 0.01) AS low, quantile_cont(l_extendedprice, 0.5) AS mid, quantile_cont(l_extendedprice, 0.99) AS high FROM lineitem GROUP BY 1", "low", "mid", "high")
+def x1_large_quantiles(s, d):
+    """The cuts of cross-sections of very many rows."""
+    df = rk.exact_quantiles(s.read.parquet(f"{d}/lineitem.parquet"), "l_extendedprice", [0.01, 0.5, 0.99], ["l_returnflag"])
+    return df.select(F.col("l_returnflag").alias("flag"), *(F.col("quantiles")[i].alias(n) for i, n in enumerate(("low", "mid", "high"))))
+
+
 @query("SELECT date, ticker, CASE WHEN stddev_pop(x) OVER (PARTITION BY date) > 1e-12 THEN (x - avg(x) OVER (PARTITION BY date)) / stddev_pop(x) OVER (PARTITION BY date) END AS z FROM sig", "z")
 def x2_zscore(s, d):
     return signals(s, d).select("date", "ticker", C.zscore("x", C.xs()).alias("z"))
@@ -608,6 +627,11 @@ def _cells(source: str, by: str, names: str = "xyz", ranked: bool = False, where
 P.VIEWS["cells"] = _cells("sig", "date", ranked=True, where="n_used >= 5")
 
 
+@query(_cells("sig", "", ranked=True), "corr")
+def rc1_spearman_whole(s, d):
+    return st.corr_long(signals(s, d), ["x", "y", "z"], method="spearman")
+
+
 @query(_cells("sig", ""), "corr")
 def rc1_corr_matrix(s, d):
     return st.corr_long(signals(s, d), ["x", "y", "z"])
