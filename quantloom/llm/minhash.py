@@ -215,24 +215,47 @@ def shared_parts(sets: DataFrame, rules: NearDuplicates) -> DataFrame:
 
 
 def in_cells(rows: DataFrame, shares: Column, columns: list[str]) -> DataFrame:
-    """(few, all) lists of structs of columns for each pair of shares of a bucket; rows has key, node and minor.
+    """rows by cell: key, i, j, as_x, as_y and columns, partitioned and sorted by cell; rows has key, node and minor.
 
-    A bucket's members outside its largest component (minor) are dealt into shares, and so are all of its members;
-    each share of the former meets each share of the latter once, as two lists in one row, and no pair is a row.
+    A bucket's members are dealt into shares. Its members outside the largest component (minor) of share i, as_x,
+    meet all members of share j, as_y, in the cell (i, j): as rows of one task, and no pair is a row.
     """
+    own, each = F.col("own"), F.sequence(F.lit(0), F.col("shares") - 1)
     rows = rows.withColumn("shares", shares).withColumn("own", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int"))
-    each = F.sequence(F.lit(0), F.col("shares") - 1)
-    value = F.struct(*columns)
-    few = rows.filter("minor").select("key", F.col("own").alias("i"), F.explode(each).alias("j"), value.alias("x"), F.lit(None).cast(rows.select(value.alias("v")).schema["v"].dataType).alias("y"))
-    every = rows.select("key", F.explode(each).alias("i"), F.col("own").alias("j"), F.lit(None).cast(rows.select(value.alias("v")).schema["v"].dataType).alias("x"), value.alias("y"))
-    met = few.unionByName(every).groupBy("key", "i", "j").agg(F.collect_list("x").alias("few"), F.collect_list("y").alias("every"))
-    return met.filter((F.size("few") > 0) & (F.size("every") > 0)).select("key", "few", "every")
-
-
-def fields(cell: pa.ListArray, i: int) -> dict[str, pa.Array]:
-    """The columns of the structs in the i-th list."""
-    flat = cell.slice(i, 1).flatten()
-    return {flat.type.field(k).name: flat.field(k) for k in range(flat.type.num_fields)}
+    as_y = F.transform(each, lambda k: F.struct(k.alias("i"), own.alias("j"), ((k == own) & F.col("minor")).alias("as_x"), F.lit(True).alias("as_y")))
+    others = F.filter(each, lambda k: (k != own) & F.col("minor"))
+    as_x = F.transform(others, lambda k: F.struct(own.alias("i"), k.alias("j"), F.lit(True).alias("as_x"), F.lit(False).alias("as_y")))
+    dealt = rows.withColumn("cell", F.explode(F.concat(as_y, as_x))).select("key", "cell.*", *columns)
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def each_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict, dict]]:
+    """Key and columns of the as_x and the as_y rows of each cell of sorted batches, one cell at a time."""
+
+    def told(parts: list[pa.RecordBatch]) -> tuple[int, dict, dict]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        sides = [table.filter(table.column(c)) for c in ("as_x", "as_y")]
+        return table.column("key")[0].as_py(), *({c: one(t.column(c)) for c in t.column_names} for t in sides)
+
+    def one(column: pa.ChunkedArray) -> pa.Array:
+        return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cells = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], 1)
+        starts = [0, *(np.flatnonzero((cells[1:] != cells[:-1]).any(1)) + 1).tolist(), len(cells)]
+        for a, b in zip(starts, starts[1:]):
+            here = tuple(cells[a].tolist())
+            if held and here != last:
+                yield told(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = here
+    if held:
+        yield told(held)
 
 
 def possible(x: dict, y: dict, percent: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -258,17 +281,15 @@ def with_partners(cells: DataFrame, rules: NearDuplicates) -> DataFrame:
 
     def scan(batches):
         schema = (("key", pa.int64()), ("node", pa.int64()), ("label", pa.int64()), ("size", pa.int64()), ("minor", pa.bool_()))
-        for batch in batches:
-            for k, key in enumerate(batch.column("key").to_pylist()):
-                x, y = fields(batch.column("few"), k), fields(batch.column("every"), k)
-                left, right = [], np.zeros(len(y["node"]), bool)
-                for i, near in possible(x, y, rules.percent):
-                    left.append(i)
-                    right[near] = True
-                if left:
-                    at = (pa.array(left), pa.array(np.flatnonzero(right)))
-                    own = [pa.concat_arrays([x[c].take(at[0]), y[c].take(at[1])]) for c in ("node", "label", "size", "minor")]
-                    yield record(schema, [pa.array([key] * len(own[0]), pa.int64()), *own])
+        for key, x, y in each_cell(batches):
+            left, right = [], np.zeros(len(y["node"]), bool)
+            for i, near in possible(x, y, rules.percent):
+                left.append(i)
+                right[near] = True
+            if left:
+                at = (pa.array(left), pa.array(np.flatnonzero(right)))
+                own = [pa.concat_arrays([x[c].take(at[0]), y[c].take(at[1])]) for c in ("node", "label", "size", "minor")]
+                yield record(schema, [pa.array([key] * len(own[0]), pa.int64()), *own])
 
     return cells.mapInArrow(scan, "key long, node long, label long, size long, minor boolean").distinct()
 
@@ -280,38 +301,36 @@ def links_within(cells: DataFrame, rules: NearDuplicates) -> DataFrame:
     """
 
     def scan(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                x, y = fields(batch.column("few"), k), fields(batch.column("every"), k)
-                held = y["held"].flatten().to_numpy()
-                sizes = np.diff(y["held"].offsets.to_numpy())
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                order = np.argsort(held, kind="stable")
-                known, owner = held[order], owner[order]
-                nodes, labels = y["node"].to_numpy(), y["label"].to_numpy()
-                parent: dict[int, int] = {}
-
-                def root(v: int) -> int:
-                    while (up := parent.get(v, v)) != v:
-                        parent[v] = parent.get(up, up)
-                        v = up
-                    return v
-
-                a, b = [], []
-                for node, label, own in zip(x["node"].to_pylist(), x["label"].to_pylist(), lists(x["held"]), strict=True):
-                    low, high = np.searchsorted(known, own, "left"), np.searchsorted(known, own, "right")
-                    runs = high - low
-                    at = np.repeat(high - np.cumsum(runs), runs) + np.arange(runs.sum())
-                    common = np.bincount(owner[at], minlength=len(sizes))
-                    near = (100 * common >= rules.percent * (len(own) + sizes - common)) & (labels != label)
-                    for other, its in zip(nodes[near].tolist(), labels[near].tolist()):
-                        one, two = root(label), root(its)
-                        if one != two:
-                            parent[one] = two
-                            a.append(min(node, other))
-                            b.append(max(node, other))
-                if a:
-                    yield record((("a", pa.int64()), ("b", pa.int64())), [a, b])
+        for _, x, y in each_cell(batches):
+            held = y["held"].flatten().to_numpy()
+            sizes = np.diff(y["held"].offsets.to_numpy())
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.argsort(held, kind="stable")
+            known, owner = held[order], owner[order]
+            nodes, labels = y["node"].to_numpy(), y["label"].to_numpy()
+            parent: dict[int, int] = {}
+
+            def root(v: int) -> int:
+                while (up := parent.get(v, v)) != v:
+                    parent[v] = parent.get(up, up)
+                    v = up
+                return v
+
+            a, b = [], []
+            for node, label, own in zip(x["node"].to_pylist(), x["label"].to_pylist(), lists(x["held"]), strict=True):
+                low, high = np.searchsorted(known, own, "left"), np.searchsorted(known, own, "right")
+                runs = high - low
+                at = np.repeat(high - np.cumsum(runs), runs) + np.arange(runs.sum())
+                common = np.bincount(owner[at], minlength=len(sizes))
+                near = (100 * common >= rules.percent * (len(own) + sizes - common)) & (labels != label)
+                for other, its in zip(nodes[near].tolist(), labels[near].tolist()):
+                    one, two = root(label), root(its)
+                    if one != two:
+                        parent[one] = two
+                        a.append(min(node, other))
+                        b.append(max(node, other))
+            if a:
+                yield record((("a", pa.int64()), ("b", pa.int64())), [a, b])
 
     return cells.mapInArrow(scan, "a long, b long")
 
