@@ -27,7 +27,7 @@ class LineTemplates:
     two have a third of their other lines in common.
     least_share: a token is constant at its position in a node (token count and leading tokens, fewer of these for
     short lines) if it holds in least_documents lines there and in this share of them, or in more than half. Two sets
-    of constants, two templates. They need least_constant of the line's tokens, two at least.
+    of constants, two templates. They need more than least_constant of the line's tokens, two at least.
     """
 
     depth: int = 3
@@ -54,18 +54,20 @@ def parsed(docs: DataFrame, rules: LineTemplates) -> DataFrame:
 
     A leaf is the path of the tree: token count, then leading tokens. A template is the line's tokens with
     fields masked, or, for longer lines, those with one quarter of the rest left open too, or the constant ones of
-    its node (see open_templates), which is a leaf but for short lines, whose leading tokens may be fields.
+    its node (see open_templates), which is a leaf but for short lines, whose leading tokens may be fields. A line
+    of fields alone, such as a row of numbers, has no template.
     """
     lines = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("nth", "line"))
     lines = lines.filter(F.col("line").rlike(r"\S"))
     lines = lines.select("doc_id", "nth", F.xxhash64("line").alias("raw"), F.transform(tokens(F.col("line"), rules), lambda x: F.xxhash64(x)).alias("t"))
     n, depth = F.size("t"), rules.depth
+    worded = F.exists("t", lambda x: x != F.xxhash64(F.lit(FIELD)))
     leaf = F.xxhash64(n, F.slice("t", 1, depth))
     node = F.xxhash64(n, F.slice("t", F.lit(1), F.when(n <= 4, 1).when(n < rules.least_generalised, 2).otherwise(depth)))
     cut = lambda q: depth + F.floor((n - depth) * q / DEPTH_PARTS).cast("int")
     open_part = lambda q: F.xxhash64(F.lit(q), n, F.slice("t", F.lit(1), cut(q)), F.slice("t", cut(q + 1) + 1, n))
-    skeletons = F.when(n >= rules.least_generalised, F.array(*(open_part(q) for q in range(DEPTH_PARTS)))).otherwise(F.array().cast("array<long>"))
-    return lines.select("doc_id", "nth", n.alias("words"), "raw", F.xxhash64(F.slice("t", 1, depth)).alias("head"), leaf.alias("leaf"), node.alias("node"), F.xxhash64(F.lit("exact"), "t").alias("exact"), skeletons.alias("skeletons"), F.transform("t", short).alias("t"))
+    skeletons = F.when(worded & (n >= rules.least_generalised), F.array(*(open_part(q) for q in range(DEPTH_PARTS)))).otherwise(F.array().cast("array<long>"))
+    return lines.select("doc_id", "nth", n.alias("words"), "raw", F.xxhash64(F.slice("t", 1, depth)).alias("head"), leaf.alias("leaf"), node.alias("node"), F.when(worded, F.xxhash64(F.lit("exact"), "t")).alias("exact"), skeletons.alias("skeletons"), F.transform("t", short).alias("t"))
 
 
 def short(token: Column) -> Column:
@@ -92,7 +94,7 @@ def open_templates(lines: DataFrame, n_lines: int, rules: LineTemplates) -> tupl
     def template(constants: str) -> Column:
         left = F.transform("t", lambda x, i: F.when(F.array_contains(F.get(constants, i), x), x))
         n_left = F.size(F.filter(left, lambda x: x.isNotNull()))
-        enough = (n_left >= 2) & (n_left >= rules.least_constant * F.col("words"))
+        enough = (n_left >= 2) & (n_left > rules.least_constant * F.col("words"))
         return F.when(enough, F.xxhash64("node", F.lit("open"), F.transform(left, lambda x: F.coalesce(x, F.lit(0)))))
 
     return shaped.withColumn("open", F.array_compact(F.array_distinct(F.array(template("common"), template("most"))))).drop("t", "common", "most", "n"), held
@@ -123,7 +125,7 @@ def passages(lines: DataFrame, docs: DataFrame, rules: LineTemplates) -> tuple[D
     Of each template's documents, those with the least and greatest sketch in each bucket of families are compared,
     so that no template collects more than a bounded number.
     """
-    long = lines.filter(F.col("words") > rules.long_words).select("doc_id", "nth", "raw", "head", "leaf", F.col("exact").alias("template"))
+    long = lines.filter((F.col("words") > rules.long_words) & F.col("exact").isNotNull()).select("doc_id", "nth", "raw", "head", "leaf", F.col("exact").alias("template"))
     often = staged(long.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.least_alien), "often")
     rows = staged(counted_join(long, often, ["template"], long.count()), "passages")
     own = rows.groupBy("doc_id", "template").agg(F.min("leaf").alias("leaf"), F.min("raw").alias("raw"), F.min("head").alias("head")).join(docs, "doc_id")
@@ -141,7 +143,7 @@ def recurring(lines: DataFrame, rules: LineTemplates) -> tuple[DataFrame, DataFr
     n_lines = lines.count()
     leaves = staged(lines.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.least_documents), "leaves")
     own, held = open_templates(lines, n_lines, rules)
-    own = own.select("doc_id", "nth", "raw", "leaf", F.explode(F.concat(F.array("exact"), "skeletons", "open")).alias("template"))
+    own = own.select("doc_id", "nth", "raw", "leaf", F.explode(F.concat(F.array_compact(F.array("exact")), "skeletons", "open")).alias("template"))
     own = staged(own, "templates")
     dropped(held)
     often = staged(own.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.least_documents), "often")

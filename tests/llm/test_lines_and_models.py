@@ -65,6 +65,22 @@ def test_templates(spark):
     assert line_dedup(frame.filter("false")).collect() == []
 
 
+def test_prose_and_tables_keep_their_lines(spark):
+    """Rows of numbers have no words in common, and half a line is no template; a line with one field still is."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for i in range(14):
+        own = [" ".join(word() for _ in range(9)) for _ in range(6)]
+        lines = [f"{rng.randrange(99)} {rng.randrange(999)} {rng.randrange(9)}", "12 480 7", f"he said {word()} {word()}", " ".join(str(rng.randrange(9)) for _ in range(60)), f"Filed under {word()}", f"Page {i} of 20"]
+        rows.append((i, "\n".join(own + lines)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in line_dedup(docs).collect():
+        left = r["text"].split("\n")
+        assert r["n_dropped"] == 2 and len(left) == 10
+        assert not any(x.startswith(("Filed", "Page")) for x in left)
+
+
 def test_copies_of_a_document_keep_their_lines(spark):
     copy = "\n".join(f"line {w} of this one document" for w in "abcdefgh")
     docs = [(i, copy) for i in range(40)] + [(100 + i, f"own text {chr(97 + i)}{chr(98 + i)}\nAll rights reserved here") for i in range(20)] + [(None, "All rights reserved here")]
@@ -291,3 +307,17 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
         spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()} == {3, 5}
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_stages_chained_without_writing(spark):
+    """Tables that docs still reads are not deleted when the next stage begins."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    ids = lambda df: sorted((r["doc_id"], r["n_chars"]) for r in df.select("doc_id", "n_chars").collect())
+    held = docs
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        held = stage(spark, held, DATA)
+    chained = ids(held)
+    written = docs
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        written = spark.createDataFrame(stage(spark, written, DATA).collect(), written.schema)
+    assert chained == ids(written) and 0 < len(chained) < docs.count()
