@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,17 +19,26 @@ from quantloom.llm.quality_rules import quality_rules
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Paths of the tables that the last stage has staged.
-_STAGED: list[str] = []
+#: Paths of the tables that the last stage has staged, for each thread that runs a pipeline.
+_STAGED: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
 
 def stage(f: Stage) -> Stage:
-    """Delete what the stage before has staged, since its output is written by then, and note what this one stages."""
+    """Delete what the stage before has staged, if its output is written by then, and note what this one stages.
+
+    Where docs still reads those tables, since stages are chained without writing between them, they stay.
+    """
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        deleted(spark, _STAGED)
-        with collecting(_STAGED):
+        before, own = _STAGED.get() or [], []
+        read_yet = docs.inputFiles() if before else []
+        if any(path.rsplit("/", 1)[1] in name for path in before for name in read_yet):
+            own = before
+        else:
+            deleted(spark, before)
+        _STAGED.set(own)
+        with collecting(own):
             return f(spark, docs, sf_dir)
 
     return run_stage
@@ -81,11 +91,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's output is written as Parquet to the shared folder and read again."""
-    docs = read(spark, sf_dir, "documents").select(*COLUMNS)
+    """The last stage's rows; each stage's output is written as Parquet to the shared folder and read again.
+
+    Once a stage's output is written, what it has staged and the output before it are deleted.
+    """
+    docs, before = read(spark, sf_dir, "documents").select(*COLUMNS), []
     for name, apply in STAGES:
         path = f"{shared_folder(spark)}/quantloom/pipeline-{name}-{uuid.uuid4().hex}"
         apply(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    deleted(spark, _STAGED)
+        deleted(spark, _STAGED.get() or [])
+        deleted(spark, before)
+        before = [path]
     return docs
