@@ -33,6 +33,20 @@ class Rows:
             out += np.bincount(index, g[row], self.width)
         return out
 
+    def taken(self, at: np.ndarray) -> Rows:
+        """The rows with the ascending numbers at."""
+        to = np.full(self.n, -1, np.int32)
+        to[at] = np.arange(len(at), dtype=np.int32)
+        out, held = Rows([], self.width), to[self.row] >= 0
+        out.n, out.index, out.row = len(at), self.index[held], to[self.row[held]]
+        return out
+
+    def followed(self, more: Rows) -> Rows:
+        """These rows, then more."""
+        out = Rows([], self.width)
+        out.n, out.index, out.row = self.n + more.n, np.concatenate([self.index, more.index]), np.concatenate([self.row, more.row + np.int32(self.n)])
+        return out
+
     def narrowed(self, kept: np.ndarray) -> Rows:
         """The same rows with the kept features alone, renumbered."""
         to = np.full(self.width, -1, np.int32)
@@ -95,6 +109,24 @@ def fit_platt(score: np.ndarray, y: np.ndarray, balanced: bool = False, steps: i
     return float(a / sd), float(b - a * mean / sd)
 
 
+def fit_mix(a: np.ndarray, b: np.ndarray, y: np.ndarray, steps: int = 30) -> tuple[float, float, float]:
+    """Weights of two log-odds, none negative, and a shift, for the odds of both: 1, 1 and 0 if they are independent.
+
+    Classes weigh alike; the pull towards 1, 1, 0 has one row's weight. One class: no change.
+    """
+    pos, neg = y.sum(), len(y) - y.sum()
+    if not pos or not neg:
+        return 1.0, 1.0, 0.0
+    x, start = np.stack([a, b, np.ones(len(y))], 1), np.array([1.0, 1.0, 0.0])
+    weight, theta = np.where(y > 0, len(y) / (2 * pos), len(y) / (2 * neg)), start
+    for _ in range(steps):
+        p = sigmoid(x @ theta)
+        hessian = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.eye(3)
+        theta = theta - np.linalg.solve(hessian, x.T @ (weight * (p - y)) + theta - start)
+        theta[:2] = np.maximum(theta[:2], 0)
+    return tuple(float(t) for t in theta)
+
+
 def once(index: np.ndarray, scratch: np.ndarray) -> np.ndarray:
     """The indices without repeats, in any order; scratch: as many int32 as there are features, with any values."""
     at = np.arange(len(index), dtype=np.int32)

@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quantloom.llm.cotraining import LEVELS, CoTraining, Corpus, Pool, View, co_train, cuts, level, packed, quality_classifier, unpacked
+from quantloom.llm.cotraining import LEVELS, CoTraining, Corpus, Pool, View, co_train, cuts, drawn, level, packed, quality_classifier, rates_of, unpacked
 from quantloom.llm.line_dedup import LineTemplates, line_dedup
-from quantloom.llm.linear import Rows, fit_platt, once, sigmoid
+from quantloom.llm.linear import Rows, fit_mix, fit_platt, once, sigmoid
 from quantloom.llm.toxicity import ToxicityModel, labelled, toxicity
 
 DATA = "/root/testdata/sf0.001"
@@ -256,6 +256,39 @@ def test_views_teach_each_other():
     assert all((model.score(Rows(text, 64), Rows(meta, 64))[2] > 0.5) == (y == 1))
 
 
+def test_pseudo_labelled_rows_are_in_the_fit():
+    """A word that no labelled row has gets its weight from rows that the other view has labelled, of either class."""
+    y = np.arange(2000) // 4 % 2.0
+    known = np.arange(2000) < 200
+    text = Rows([np.array([int(v), 10]) if k else np.array([4 + int(v), 10]) for v, k in zip(y, known)], 64)
+    meta = Rows([np.array([20 + int(v)]) for v in y], 64)
+    views, pool = [text, meta], Pool([v.taken(np.flatnonzero(~known)) for v in (text, meta)], np.ones(1800))
+    taught = [co_train([v.taken(np.flatnonzero(known)) for v in views], y[known], 0.0, CoTraining(text_bits=6, meta_bits=6, rounds=n, share=1.0), pool) for n in (0, 3)]
+    alone, both = (m.score(text, meta)[0][~known] for m in taught)
+    assert np.ptp(alone) < 1e-9 and ((both > 0.5) == (y[~known] == 1)).all()
+    assert taught[1].text.weights[4] < 0 < taught[1].text.weights[5]
+
+
+def test_copies_weigh_as_one_text(spark):
+    """The counts and fits of a table are those of the table with each text many times, in whatever numbers."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").dropDuplicates(["text"])
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").filter("doc_id % 2 = 0")
+    more = docs.join(labels.select("doc_id"), "doc_id", "left_anti").withColumn("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.col("doc_id") % 7 + 1), lambda i: 100000 * i + F.col("doc_id"))))
+    rules = CoTraining(steps=10, max_pseudo=10**9)
+    once_, often = ({r["doc_id"] % 100000: r["score"] for r in quality_classifier(d, labels, rules).collect()} for d in (docs, docs.unionByName(more)))
+    assert once_.keys() == often.keys()
+    assert np.mean([abs(once_[k] - often[k]) for k in once_]) < 0.02
+
+
+def test_mixes():
+    rng = np.random.default_rng(6)
+    y = (rng.random(4000) < 0.3).astype(float)
+    told, noise = 4 * y - 2 + rng.normal(size=4000) * 2, rng.normal(size=4000)
+    u, v, shift = fit_mix(told, noise, y)
+    assert 0.7 < u < 1.3 and v < 0.15 and abs(shift) < 0.3
+    assert fit_mix(told, noise, np.ones(4000)) == (1.0, 1.0, 0.0)
+
+
 def test_corpus_sums_as_a_pool_in_one_place(spark):
     rng = np.random.default_rng(5)
     rules = CoTraining(text_bits=8, meta_bits=6)
@@ -263,8 +296,10 @@ def test_corpus_sums_as_a_pool_in_one_place(spark):
     weight = rng.random(300)
     fitted = [View(rng.normal(size=1 << b), 0.1, 1.5, -0.2) for b in (8, 6)]
     here = Pool([Rows(v, 1 << b) for v, b in zip(views, (8, 6))], weight)
-    rows = [(bytearray(packed(a)), bytearray(packed(b)), float(w), None) for a, b, w in zip(*views, weight)]
-    table = spark.createDataFrame(rows, "text binary, meta binary, weight double, y int").repartition(7)
+    ids, digests = np.arange(300), rng.integers(-(1 << 63), 1 << 63, 300)
+    here.draw = drawn(ids, digests)
+    rows = [(i, int(d), bytearray(packed(a)), bytearray(packed(b)), float(w), None) for i, d, a, b, w in zip(range(300), digests, *views, weight)]
+    table = spark.createDataFrame(rows, "doc_id long, digest long, text binary, meta binary, weight double, y int").repartition(7)
     there = Corpus(table, rules, fan=2)
     at = here.levels(fitted)
     assert np.allclose(at, there.levels(fitted)) and np.isclose(at[0].sum(), weight.sum())
@@ -272,6 +307,9 @@ def test_corpus_sums_as_a_pool_in_one_place(spark):
     assert all(high < LEVELS and low >= 0 for high, low in between)
     for a, b in zip(here.counts(fitted, between), there.counts(fitted, between)):
         assert np.allclose(a.n, b.n) and np.allclose(a.each, b.each) and a.n.min() > 0
+    rates = rates_of(at, between, 9)
+    for (a, b), (c, d) in zip(here.rows(fitted, between, rates), there.rows(fitted, between, rates)):
+        assert a.n == c.n and 4 <= b.sum() <= 18 and 2 <= (b == 0).sum() <= 18 and sorted(zip(a.back(np.ones(a.n)))) == sorted(zip(c.back(np.ones(c.n)))) and b.sum() == d.sum()
     high, low = between[0]
     assert at[0][high:].sum() <= 0.4 * sigmoid(0.3) * weight.sum() < at[0][high - 1 :].sum() or high == level(np.asarray(np.log(1.5)))
 
