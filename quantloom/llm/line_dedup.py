@@ -11,7 +11,7 @@ from quantloom.llm.common import counted_join, dropped, fresh, read, shares_ids,
 
 DEPTH_PARTS = 4
 FIELD = "<*>"
-SKETCH, BUCKETS = 16, 64
+SKETCH = 16
 
 
 @dataclass(frozen=True)
@@ -23,8 +23,9 @@ class LineTemplates:
     families, whatever the number of documents. A family is of documents that share their least leaf among the
     lines of their own if these hold least_own of the words, else among all others, so that copies and near copies of
     a document, which belong to near-duplicate detection, don't make its lines a template.
-    long_words: a line of more words is a passage, no chance repeat; it recurs in least_alien documents of which no
-    two have a third of their other lines in common.
+    long_words: a line of more words is a passage, no chance repeat; it recurs from least_alien documents on, if all
+    but one of so many have less than a third of their other lines in common with a given one of its documents: that
+    with the least or that with the greatest sketch (see kin).
     least_share: a token is constant at its position in a node (token count and leading tokens, fewer of these for
     short lines) if it holds in least_documents lines there and in this share of them, or in more than half. Two sets
     of constants, two templates. They need more than least_constant of the line's tokens, two at least.
@@ -122,20 +123,19 @@ def family() -> Column:
 def passages(lines: DataFrame, docs: DataFrame, rules: LineTemplates) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, nth, template), staged, and templates (template, n rows) of the long lines that recur.
 
-    Of each template's documents, those with the least and greatest sketch in each bucket of families are compared,
-    so that no template collects more than a bounded number.
+    All of a template's documents are held against its two ends, the least and the greatest sketch.
     """
     long = lines.filter((F.col("words") > rules.long_words) & F.col("exact").isNotNull()).select("doc_id", "nth", "raw", "head", "leaf", F.col("exact").alias("template"))
     often = staged(long.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.least_alien), "often")
     rows = staged(counted_join(long, often, ["template"], long.count()), "passages")
-    own = rows.groupBy("doc_id", "template").agg(F.min("leaf").alias("leaf"), F.min("raw").alias("raw"), F.min("head").alias("head")).join(docs, "doc_id")
-    own = own.select("template", F.pmod(family(), F.lit(BUCKETS)).alias("bucket"), F.filter("sketch", lambda x: x != F.col("head")).alias("sketch"))
-    ends = own.groupBy("template", "bucket").agg(F.min("sketch").alias("lo"), F.max("sketch").alias("hi"))
-    found = ends.groupBy("template").agg(F.array_distinct(F.flatten(F.collect_list(F.array("lo", "hi")))).alias("all"))
-    size = lambda x, y: F.greatest(F.size(x), F.size(y))
-    akin = lambda x, y: 3 * F.size(F.array_intersect(x, y)) >= size(x, y)
-    alien = F.filter("all", lambda x, i: ~F.exists(F.slice("all", F.lit(1), i), lambda y: akin(x, y)))
-    return rows.select("doc_id", "nth", "template"), found.filter(F.size(alien) >= rules.least_alien).join(often, "template").select("template", "n")
+    own = rows.groupBy("doc_id", "template").agg(F.min("head").alias("head")).join(docs, "doc_id")
+    own = staged(own.select("template", F.filter("sketch", lambda x: x != F.col("head")).alias("sketch")), "sketches")
+    ends = own.groupBy("template").agg(F.min("sketch").alias("lo"), F.max("sketch").alias("hi"), F.count("*").alias("n"))
+    ends = staged(ends.filter(F.col("n") >= rules.least_alien), "ends")
+    held = counted_join(own, ends, ["template"], own.count())
+    alien = lambda c: F.sum((3 * F.size(F.array_intersect("sketch", c)) < F.greatest(F.size("sketch"), F.size(c))).cast("int"))
+    found = held.groupBy("template").agg(F.greatest(alien("lo"), alien("hi")).alias("aliens"))
+    return rows.select("doc_id", "nth", "template"), found.filter(F.col("aliens") >= rules.least_alien - 1).join(often, "template").select("template", "n")
 
 
 def recurring(lines: DataFrame, rules: LineTemplates) -> tuple[DataFrame, DataFrame]:

@@ -143,6 +143,20 @@ def test_long_passages_of_few_documents(spark):
     assert all(out[i] == t.replace("\n" + near[7], "") for i, t in docs if i >= 100)
 
 
+def test_one_stranger_among_many_near_copies(spark):
+    """Whichever place its sketch has, the one document that isn't a near copy makes the passage recur."""
+    rng = random.Random(17)
+    docs = []
+    for family in range(12):
+        passage, near = words(rng, 60), [words(rng, 12) for _ in range(10)]
+        copies = ["\n".join([passage] + [words(rng, 12) if k == i % 10 else x for k, x in enumerate(near)]) for i in range(70)]
+        docs += [(1000 * family + i, text) for i, text in enumerate(copies)]
+        if family % 2:
+            docs.append((1000 * family + 500, "\n".join([words(rng, 12) for _ in range(5)] + [passage])))
+    out = {r["doc_id"]: r["n_dropped"] for r in line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(out[i] == i // 1000 % 2 for i, _ in docs)
+
+
 def test_fields_of_words(spark):
     rng = random.Random(6)
     names, places = [words(rng, 1) for _ in range(5)], [words(rng, 1) for _ in range(5)]
