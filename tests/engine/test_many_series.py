@@ -179,3 +179,17 @@ def test_no_window_over_a_whole_series(spark):
             assert alone and all(any("Aggregate(key" in line and "=[_slot" in line for line in shown[i + 1 : i + 4]) for i in alone)
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+@pytest.mark.parametrize("method", ["pearson", "spearman"])
+def test_many_blocks_of_a_stripe_shuffle_no_pairs(spark, method):
+    """Nothing is exchanged once pairs are made, and no cell is copied for a join."""
+    wide, long = panel(spark)
+    out = mx.panel_corr(long, method=method, block=4, rows=1000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan[: plan.index("MapInArrow")] and "Generate" not in plan[plan.index("MapInArrow") : plan.index("CartesianProduct")]
+    got = matrix(out)
+    want = (wide.rank() if method == "spearman" else wide).corr(min_periods=2)
+    want.loc["flat"], want["flat"] = np.nan, np.nan
+    pd.testing.assert_frame_equal(got, want.reindex(index=got.index, columns=got.columns), check_names=False, rtol=1e-9)
+    assert set(got.index) == set(wide.columns)
