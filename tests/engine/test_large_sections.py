@@ -64,6 +64,22 @@ def test_quantiles_are_those_of_percentile(spark, accuracy, by):
         assert rows(got) == rows(want)
 
 
+def test_rows_of_large_groups_are_not_exchanged_for_their_bounds(spark):
+    """Only sums, sketches and counts of distinct values are, whatever Spark makes of the sizes of the two sides."""
+    df = values(spark)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = rk.exact_quantiles(df, "x", [0.01, 0.5], ["g"], 50)
+        lines = out._jdf.queryExecution().executedPlan().toString().split("\n")
+        got = sorted(map(tuple, out.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    below = [b for a, b in zip(lines, lines[1:]) if "- Exchange" in a and "RoundRobin" not in a]
+    assert below and all("Aggregate" in b for b in below)
+    assert got == sorted(map(tuple, df.groupBy("g").agg(F.percentile("x", F.array(F.lit(0.01), F.lit(0.5)))).collect()))
+
+
 def test_few_values(spark):
     df = spark.createDataFrame([("a", 3.0), ("b", 1.0), ("b", 2.0), ("c", None)], "g string, x double")
     got = {r["g"]: r["quantiles"] for r in rk.exact_quantiles(df, "x", [0.25, 0.5], ["g"]).collect()}
