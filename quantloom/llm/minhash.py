@@ -400,11 +400,12 @@ def near_duplicates(docs: DataFrame, rules: NearDuplicates = NearDuplicates(), r
     star = members.filter((F.col("node") != F.col("hub")) & alike(F.col("size"), F.col("hub_size"), rules.percent))
     links = staged(confirmed(star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, rules), "confirmed")
     dropped(members)
-    labels = components(links).select(F.col("v").alias("node"), F.col("m").alias("label"))
+    stars = components(links)
+    labels = stars.select(F.col("v").alias("node"), F.col("m").alias("label"))
     nodes = groups.select("node", F.col("n_shingles").alias("size"), "bands").join(shared_parts(sets, rules), "node")
     nodes = staged(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "nodes")
     release(spark)
-    links = staged(links.unionByName(cross_links(nodes, sets, rules)), "confirmed")
+    links = stars.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(cross_links(nodes, sets, rules))
     dropped(sets)
     dropped(nodes)
     release(spark)

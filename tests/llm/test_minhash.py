@@ -1,5 +1,6 @@
 """Near-duplicates against all pairs, and components against union-find."""
 
+import pytest
 import random
 import re
 
@@ -163,3 +164,15 @@ def test_components(spark):
     want = {n: r for n, r in roots(nodes, links).items() if n != r}
     got = {r["v"]: r["m"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("links, rounds", [([(9, 1), (8, 1), (5, 2)], 0), ([], 0), ([(1, 2), (2, 3), (2, 3), (7, 7)], 1)])
+def test_components_end_with_stars(spark, monkeypatch, links, rounds):
+    """A round is taken only while some node has two lesser ones, or a lesser and a larger one."""
+    from quantloom.llm import graph
+
+    labels = []
+    monkeypatch.setattr(graph, "staged", lambda df, label, of=graph.staged: labels.append(label) or of(df, label))
+    got = {r["v"]: r["m"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == ({9: 1, 8: 1, 5: 2} if len(links) == 3 else {2: 1, 3: 1} if links else {})
+    assert labels.count("large") == rounds
