@@ -24,7 +24,7 @@ from quantloom.llm.common import read, record, spread, staged
 SCHEMA = (("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()))
 DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: A worker keeps the ids of so many words at most, and of so many characters and bytes.
-CACHE_WORDS, CACHE_CHARS = 1_200_000, 60_000_000
+CACHE_WORDS, CACHE_CHARS = 300_000, 20_000_000
 #: str.split() also parts words at these four, which the tokenizer doesn't take for white space.
 SEPARATORS, BLANKS = "\x1c\x1d\x1e\x1f", re.compile("[ \\t\\n\\r]+")
 #: Signs of ASCII but for the apostrophe, which may begin a contraction.

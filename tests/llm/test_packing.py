@@ -97,3 +97,16 @@ def test_plan_uses_each_piece_once(counts):
 
 def test_exact_complements():
     assert sorted(plan({30: 2, 10: 2, 25: 1, 8: 1, 7: 1, 20: 1, 9: 1, 6: 1, 5: 1}, 40)) == [((20, 8, 7, 5), 1), ((25, 9, 6), 1), ((30, 10), 2)]
+
+
+def test_a_worker_keeps_few_words():
+    """What a worker keeps between tasks stays under 50 MB, whatever the number of different words."""
+    import sys
+
+    from quantloom.llm import packing
+
+    words = packing.WordEncoder(packing.default_tokenizer())
+    text = " ".join(f"w{i:x}" for i in range(450_000))
+    ids = words.ids(text)
+    assert sys.getsizeof(words) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in words.items()) < 50_000_000
+    assert words.ids(text) == ids
