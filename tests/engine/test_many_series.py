@@ -193,3 +193,51 @@ def test_many_blocks_of_a_stripe_shuffle_no_pairs(spark, method):
     want.loc["flat"], want["flat"] = np.nan, np.nan
     pd.testing.assert_frame_equal(got, want.reindex(index=got.index, columns=got.columns), check_names=False, rtol=1e-9)
     assert set(got.index) == set(wide.columns)
+
+
+@pytest.mark.parametrize("method", ["pearson", "spearman"])
+def test_stripes_are_added_up_without_a_shuffle(spark, method):
+    """Sums of two blocks over all stripes are complete where they are made."""
+    wide, long = panel(spark)
+    out = mx.panel_corr(long, method=method, block=4, rows=16)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")]
+    got = matrix(out)
+    want = (wide.rank() if method == "spearman" else wide).corr(min_periods=2)
+    want.loc["flat"], want["flat"] = np.nan, np.nan
+    pd.testing.assert_frame_equal(got, want.reindex(index=got.index, columns=got.columns), check_names=False, rtol=1e-9)
+    assert set(got.index) == set(wide.columns)
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp", "string"])
+@pytest.mark.parametrize("block, held", [(4, 1), (30, 1), (2, 1), (30, 4_000_000)])
+def test_groups_of_stripes_give_the_whole_matrix(spark, kind, block, held):
+    wide, long = panel(spark)
+    got = matrix(mx.panel_corr(long.withColumn("date", F.col("date").cast(kind)), block=block, rows=10, held=held))
+    want = wide.corr(min_periods=2)
+    want.loc["flat"], want["flat"] = np.nan, np.nan
+    pd.testing.assert_frame_equal(got, want.reindex(index=got.index, columns=got.columns), check_names=False, rtol=1e-9)
+    assert set(got.index) == set(wide.columns)
+
+
+@pytest.mark.parametrize("rows, more", [(1000, {}), (16, {}), (16, {"held": 1})])
+def test_blocks_without_names(spark, rows, more):
+    """Hashing deals no name to some of the blocks; those above them are not lost."""
+    wide, long = panel(spark, 9)
+    got = mx.panel_corr(long, block=1, rows=rows, **more)
+    known = wide.notna().astype(int)
+    assert got.count() == (known.T @ known > 0).sum().sum()
+    rolled = mx.panel_rolling(long, 20, block=1, rows=rows)
+    assert rolled.select("row", "col").distinct().count() == 11 * 10 / 2
+
+
+def test_both_orders_take_the_room_of_one(spark, tmp_path):
+    """A pair's number stands near its mirrored one's in the result, so that files hold it once."""
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"date": np.tile(pd.date_range("2000-01-01", periods=12).date, 700), "ticker": np.repeat([f"n{k:03d}" for k in range(700)], 12), "ret": rng.normal(size=8400)})
+    mx.panel_corr(spark.createDataFrame(pdf)).write.parquet(f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == 490_000
+    assert sum(f.stat().st_size for f in tmp_path.glob("out/*.parquet")) < 6 * 490_000
+    mirrored = out.select(F.col("col").alias("row"), F.col("row").alias("col"), "corr")
+    assert out.exceptAll(mirrored).isEmpty()
